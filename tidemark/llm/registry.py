@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["token_files"]
+MODULES = ["token_files", "packing", "decontaminate"]
 
 
 def entries() -> dict[str, tuple]:
