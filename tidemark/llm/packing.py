@@ -36,15 +36,19 @@ def cuts(n: int, capacity: int) -> list[tuple[int, int]]:
     return [(0, min(n, first))] + [(s, capacity) for s in range(first, n, capacity)]
 
 
-def _filling(gap: int, left: np.ndarray) -> tuple[int, ...] | None:
-    """Up to three available lengths that sum to the gap exactly, the longest first; fewest pieces first."""
-    if gap < len(left) and left[gap]:
+def _filling(gap: int, left: np.ndarray, most: int) -> tuple[int, ...] | None:
+    """Up to `most` (three at the most) available lengths that sum to the gap exactly; fewest pieces first."""
+    if most and left[gap]:
         return (gap,)
+    if most < 2:
+        return None
     have = left[: gap + 1]
     a = np.arange((gap + 1) // 2, gap)  # the longer of two
     fits = a[(have[a] > 0) & (have[gap - a] > (a == gap - a))]
     if len(fits):
         return int(fits[-1]), int(gap - fits[-1])
+    if most < 3:
+        return None
     known = np.flatnonzero(have)
     for x in known[::-1]:
         if 3 * x < gap:
@@ -60,23 +64,32 @@ def _filling(gap: int, left: np.ndarray) -> tuple[int, ...] | None:
     return None
 
 
-def plan(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
-    """Patterns (lengths, times) that together hold exactly `counts` pieces of each length."""
+Patterns = list[tuple[tuple[int, ...], int]]
+
+
+def plan(counts: dict[int, int], capacity: int) -> Patterns:
+    """Patterns (lengths, times) that together hold exactly `counts` pieces of each length.
+
+    Filling gaps with two or three short pieces can leave long ones alone, so the plans that look up triples, pairs and
+    singles at the most are all made (they take milliseconds), and best fit alone as well; the shortest wins.
+    """
+    return min((_plan(counts, capacity, most) for most in (3, 2, 1, 0)), key=lambda p: sum(times for _, times in p))
+
+
+def _plan(counts: dict[int, int], capacity: int, most: int) -> Patterns:
     left = np.zeros(capacity + 1, np.int64)
     for length, n in counts.items():
         left[length] = n
-    made: list[tuple[tuple[int, ...], int]] = []
-    over: list[int] = []
+    made: Patterns = []
     if left[capacity]:
         made.append(((capacity,), int(left[capacity])))
         left[capacity] = 0
     for length in range(capacity - 1, 0, -1):
         while left[length]:
             left[length] -= 1
-            rest = _filling(capacity - length, left)
+            rest = _filling(capacity - length, left, most)
             left[length] += 1
             if rest is None:
-                over.append(length)
                 break
             pattern = (length, *rest)
             times = min(int(left[x]) // n for x, n in Counter(pattern).items())
@@ -105,11 +118,8 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], i
     return made + [(tuple(lengths), times) for open_ in free.values() for lengths, times in open_]
 
 
-def slots(patterns: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int, int, int, int, int]]:
-    """(length, first rank, end rank, first sequence, places of that length in a sequence, offset of the first) rows.
-
-    A pattern's sequences take as many ranks of a length as it has places for it, place by place.
-    """
+def slots(patterns: Patterns) -> list[tuple[int, int, int, int, int]]:
+    """(length, first rank, end rank, first sequence, offset) rows: each place of a pattern takes a range of ranks."""
     rows, taken, sequence = [], Counter(), 0
     for lengths, times in patterns:
         offset = 0
