@@ -56,7 +56,7 @@ def write_file(folder: str, name: str, parts: list[bytes], attempt: int) -> str:
     fs, path = file_system(folder)
     fs.create_dir(path, recursive=True)
     draft = f"{path}/.{name}.{attempt}.{os.getpid()}"
-    with fs.open_output_stream(draft) as out:
+    with fs.open_output_stream(draft, compression=None) as out:
         for part in parts:
             out.write(part)
     final = f"{path}/{name}"
@@ -70,7 +70,7 @@ def write_file(folder: str, name: str, parts: list[bytes], attempt: int) -> str:
 
 def read_file(uri: str) -> bytes:
     fs, path = file_system(uri)
-    with fs.open_input_stream(path) as f:
+    with fs.open_input_stream(path, compression=None) as f:
         return f.read()
 
 
