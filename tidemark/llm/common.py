@@ -116,3 +116,19 @@ def only(df: DataFrame, *columns: str) -> DataFrame:
 def row_tie(text: Column) -> Column:
     """A second sort key that makes the order of rows with the same id settled."""
     return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+class WordHashes:
+    """64-bit hashes of words, each computed once; up to `keep` words are kept."""
+
+    def __init__(self, keep: int = 500_000) -> None:
+        from xxhash import xxh3_64_intdigest
+
+        self.digest, self.known, self.keep = xxh3_64_intdigest, {}, keep
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        if len(self.known) > self.keep:
+            self.known.clear()
+        for w in set(words).difference(self.known):
+            self.known[w] = self.digest(w)
+        return np.fromiter(map(self.known.__getitem__, words), np.uint64, len(words))

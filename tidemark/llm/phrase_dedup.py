@@ -23,28 +23,12 @@ from . import anchors, common
 
 WINDOW, GRAM = 35, 8
 SHAPE = anchors.Shape(WINDOW, GRAM, first_stays=False)
-#: Letters in one automaton's phrases at the most (some 100 MB), and words whose hashes a task keeps.
-LETTERS, KEPT_WORDS = 1_500_000, 500_000
-
-
-class WordHashes:
-    """64-bit hashes of words, each computed once."""
-
-    def __init__(self) -> None:
-        from xxhash import xxh3_64_intdigest
-
-        self.digest, self.known = xxh3_64_intdigest, {}
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        if len(self.known) > KEPT_WORDS:
-            self.known.clear()
-        for w in set(words).difference(self.known):
-            self.known[w] = self.digest(w)
-        return np.fromiter(map(self.known.__getitem__, words), np.uint64, len(words))
+#: Letters in one automaton's phrases at the most (some 100 MB).
+LETTERS = 1_500_000
 
 
 def units_of():
-    hashes = WordHashes()
+    hashes = common.WordHashes()
 
     def units(column: pa.Array):
         lists = [x.as_buffer().to_pybytes().split() for x in column.cast(pa.large_string()).cast(pa.large_binary())]
@@ -63,7 +47,7 @@ def contexts_of(text: bytes, places: np.ndarray) -> Iterator[tuple[bytes, int]]:
 
 def resolver(gram, doc_id, tie, at, before, settled, contexts) -> Iterator[tuple[int, int, bytes]]:
     del settled
-    hashes = WordHashes()
+    hashes = common.WordHashes()
     order = np.argsort(gram, kind="stable")
     gram, doc_id, tie, low = gram[order], doc_id[order], tie[order], (at - before)[order]
     lists = [contexts[k].split() for k in order.tolist()]
