@@ -164,10 +164,11 @@ def ranges_by_document(doc_id, tie, low, high) -> Iterator[tuple[int, int, bytes
         yield int(doc_id[row]), int(tie[row]), pairs[bounds[k] : bounds[k + 1]].tobytes()
 
 
-def identity(docs: DataFrame) -> DataFrame:
-    """doc_id, tie (a hash of the text), text; nulls are the smallest id and the empty text."""
+def identity(docs: DataFrame, *also: str) -> DataFrame:
+    """doc_id, tie (a hash of the text), text; nulls are the smallest id and the empty text. Other columns as `rest`."""
     text = F.coalesce("text", F.lit(""))
-    return docs.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc_id"), F.xxhash64(text).alias("tie"), text.alias("text"))
+    rest = [F.struct(*also).alias("rest")] if also else []
+    return docs.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc_id"), F.xxhash64(text).alias("tie"), text.alias("text"), *rest)
 
 
 Units = Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]
@@ -263,8 +264,9 @@ def _large(columns: list[np.ndarray]) -> list[np.ndarray]:
     return [gram, context, table[number, 0], table[number, 1], at, at - before, at + after, settled]
 
 
-def squeezed(docs: DataFrame) -> DataFrame:
-    """identity(docs) with the text compressed, for shuffling: doc_id, tie, size, packed."""
+def squeezed(docs: DataFrame, *also: str) -> DataFrame:
+    """identity(docs) with the text compressed, for shuffling: doc_id, tie, packed."""
+    rows = identity(docs, *also)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -272,10 +274,11 @@ def squeezed(docs: DataFrame) -> DataFrame:
         engine = zstandard.ZstdCompressor(level=1)
         for batch in common.slices(batches, "text"):
             raw = batch.column(2).cast(pa.large_string()).cast(pa.large_binary())
-            packed = [engine.compress(x.as_buffer()) for x in raw]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary())], names=["doc_id", "tie", "packed"])
+            packed = pa.array([engine.compress(x.as_buffer()) for x in raw], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], packed, *batch.columns[3:]], names=["doc_id", "tie", "packed", *batch.schema.names[3:]])
 
-    return identity(docs).mapInArrow(work, "doc_id long, tie long, packed binary")
+    kind = rows.select("doc_id", "tie", F.lit(None).cast("binary").alias("packed"), *rows.columns[3:]).schema
+    return rows.mapInArrow(work, kind)
 
 
 def resolve(docs: DataFrame, found: DataFrame, pieces_of, resolver, shape: Shape) -> DataFrame:
@@ -331,27 +334,32 @@ def resolve(docs: DataFrame, found: DataFrame, pieces_of, resolver, shape: Shape
     return texts.mapInArrow(fetch, "bucket int, packed binary").repartition(tasks, "bucket").mapInArrow(compare, _FOUND)
 
 
-def cover(docs: DataFrame, covered: DataFrame, finish, schema: str) -> DataFrame:
-    """finish(text bytes, merged ranges as an int64 array of pairs) -> values of `schema`, for every row of docs; after doc_id."""
+def cover(docs: DataFrame, covered: DataFrame, finish, schema: str, *also: str) -> DataFrame:
+    """finish(text bytes, merged ranges as an int64 array of pairs) -> values of `schema`, for every row of docs.
+
+    Gives doc_id, those values, and the columns `also` of docs.
+    """
     ranges = covered.where(F.col("kind") == COVERED).groupBy("doc_id", "tie").agg(F.collect_list("data").alias("ranges"))
-    names = [c.split()[0] for c in schema.split(", ")]
+    names, kinds = zip(*(c.split() for c in schema.split(", ")), strict=True)
+    targets = [{"long": pa.int64(), "string": pa.string()}[k] for k in kinds]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
         engine = zstandard.ZstdDecompressor()
-        target = None
-        for batch in batches:
-            rows = []
-            for doc_id, packed, own in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "packed", "ranges")), strict=True):
-                pairs = np.frombuffer(b"".join(own or []), "<i4").reshape(-1, 2).astype(np.int64)
-                if len(pairs) > 1:
-                    zero = np.zeros(len(pairs), np.int64)
-                    pairs = np.frombuffer(next(ranges_by_document(zero, zero, pairs[:, 0], pairs[:, 1]))[2], "<i4").reshape(-1, 2).astype(np.int64)
-                rows.append((None if doc_id == NULL_ID else doc_id, *finish(engine.decompress(packed), pairs)))
-            kinds = {"long": pa.int64(), "string": pa.string()}
-            target = target or [pa.int64(), *(kinds[c.split()[1]] for c in schema.split(", "))]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), target, strict=True)], names=["doc_id", *names])
-
-    joined = squeezed(docs).join(ranges, ["doc_id", "tie"], "left")
-    return joined.mapInArrow(work, f"doc_id long, {schema}")
+        for whole in batches:
+            for low in range(0, len(whole), 1000):
+                batch, rows = whole.slice(low, 1000), []
+                for packed, own in zip(batch.column("packed"), batch.column("ranges").to_pylist(), strict=True):
+                    pairs = np.frombuffer(b"".join(own or []), "<i4").reshape(-1, 2).astype(np.int64)
+                    if len(pairs) > 1:
+                        zero = np.zeros(len(pairs), np.int64)
+                        pairs = np.frombuffer(next(ranges_by_document(zero, zero, pairs[:, 0], pairs[:, 1]))[2], "<i4").reshape(-1, 2).astype(np.int64)
+                    rows.append(finish(engine.decompress(packed.as_buffer()), pairs))
+                made = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), targets, strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *made, *([batch.column("rest")] if also else [])], names=["doc_id", *names, *(["rest"] if also else [])])
+
+    joined = squeezed(docs, *also).join(ranges, ["doc_id", "tie"], "left")
+    kind = joined.select("doc_id", *(F.lit(None).cast(k).alias(n) for n, k in zip(names, kinds, strict=True)), *(["rest"] if also else [])).schema
+    done = joined.mapInArrow(work, kind)
+    return done.select(F.nullif("doc_id", F.lit(NULL_ID)).alias("doc_id"), *names, *(F.col(f"rest.`{c}`").alias(c) for c in also))

@@ -211,6 +211,19 @@ def dedup(docs: DataFrame) -> DataFrame:
     return anchors.cover(docs, removed(docs), _digest, "n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
+def _text(text: bytes, ranges: np.ndarray) -> tuple:
+    """What is left as text: characters that a cut splits go as well."""
+    left = kept_bytes(text, ranges).decode("utf-8", "ignore")
+    return left, len(left), len(ranges)
+
+
+def without_repeats(docs: DataFrame) -> DataFrame:
+    """docs with repeated bytes cut out of text, and n_chars counted anew; texts of which nothing is left go."""
+    others = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
+    out = anchors.cover(docs, removed(docs), _text, "text string, n_chars long, n_cuts long", *others)
+    return out.where("n_cuts = 0 or n_chars > 0").select(*docs.columns)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup(common.read(spark, sf_dir, "documents"))
 
