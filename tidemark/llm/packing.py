@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
-from .tokens import TextEncoder
+from .tokens import encoder as open_encoder
 
 CAPACITY = 1024
 END_ID = 2
@@ -138,7 +138,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
     """One row per piece of docs(doc_id, text), numbered by length within its task (part, place). A written table."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part = TextEncoder(tokenizer), TaskContext.get().partitionId()
+        encoder, part = open_encoder(tokenizer), TaskContext.get().partitionId()
         end, seen = np.array([end_id], "<u4").tobytes(), Counter()
         for batch in common.slices(batches, "text"):
             rows = []

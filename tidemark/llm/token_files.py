@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
-from .tokens import TextEncoder
+from .tokens import encoder as open_encoder
 
 MAGIC = b"TMIDS001"
 END_ID = 2
@@ -33,11 +33,11 @@ COUNTS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.uin
 
 def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(ids by rank, control bytes, data bytes) of an array of ids; equally frequent ids rank by value."""
-    distinct, back, times = np.unique(ids, return_inverse=True, return_counts=True)
-    order = np.lexsort((distinct, -times))
-    rank_of = np.empty(len(distinct), np.uint32)
-    rank_of[order] = np.arange(len(distinct), dtype=np.uint32)
-    ranks = rank_of[back]
+    times = np.bincount(ids, minlength=1)
+    order = np.argsort(-times, kind="stable")[: np.count_nonzero(times)]
+    rank_of = np.zeros(len(times), np.uint32)
+    rank_of[order] = np.arange(len(order), dtype=np.uint32)
+    ranks = rank_of[ids]
     size = np.ones(len(ranks), np.uint8)
     for bits in (8, 16, 24):
         size += ranks >= (1 << bits)
@@ -45,8 +45,13 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     codes[: len(ranks)] = size - 1
     codes = codes.reshape(-1, 4)
     control = codes[:, 0] | codes[:, 1] << 2 | codes[:, 2] << 4 | codes[:, 3] << 6
-    whole = ranks.astype("<u4").view(np.uint8).reshape(-1, 4)
-    return distinct[order].astype("<u4"), control, whole[np.arange(4) < size[:, None]]
+    at = np.cumsum(size, dtype=np.int64) - size
+    data = np.empty(int(size.sum(dtype=np.int64)), np.uint8)
+    data[at] = ranks & 255
+    for k in (1, 2, 3):
+        wide = np.flatnonzero(size > k)
+        data[at[wide] + k] = ranks[wide] >> np.uint32(8 * k) & 255
+    return order.astype("<u4"), control, data
 
 
 def unpack(by_rank: np.ndarray, control: np.ndarray, data: np.ndarray, n: int) -> np.ndarray:
@@ -94,7 +99,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_ID, fi
     rows = rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, task = TextEncoder(tokenizer), TaskContext.get()
+        encoder, task = open_encoder(tokenizer), TaskContext.get()
         end = np.array([end_id], "<u4").tobytes()
         doc_ids, ids, held, made = [], [], 0, []
 

@@ -3,22 +3,34 @@
 from __future__ import annotations
 
 import os
-import re
 from array import array
 
 #: White space before a space: there the encoder's own splitting looks further than one word.
-_LINKED = re.compile(r"\s ")
+_LINKED = [f"{chr(c)} " for c in range(0x3001) if chr(c).isspace()]
+_LINKED_ASCII = [x for x in _LINKED if x.isascii()]
+_OPEN: dict[str, TextEncoder] = {}
+
+
+def encoder(path: str) -> TextEncoder:
+    """The process's encoder for a file: tasks that follow each other in a worker share its words."""
+    if path not in _OPEN:
+        _OPEN[path] = TextEncoder(path)
+    return _OPEN[path]
+
+
+def _linked(text: str) -> bool:
+    return any(x in text for x in (_LINKED_ASCII if text.isascii() else _LINKED))
 
 
 class TextEncoder:
     """Ids of texts from a byte-level BPE file of the `tokenizers` library.
 
     That vocabulary never joins characters across the border between a non-space and a following space, so a text's ids
-    are those of its space-separated words, one after another. Words repeat; each is encoded once and kept (up to
-    `keep` words). Texts where white space meets a space, or that hold a special token's string, are encoded whole.
+    are those of its space-separated words, one after another. Words repeat; each is encoded once and kept (the first
+    `keep` words; more are encoded for each batch of texts anew). Texts where white space meets a space, or that hold a special token's string, are encoded whole.
     """
 
-    def __init__(self, path: str, keep: int = 300_000):
+    def __init__(self, path: str, keep: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -33,23 +45,25 @@ class TextEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """For each text its ids as little-endian unsigned 32-bit integers."""
-        if len(self.words) + len(self.heads) > self.keep:
-            self.heads.clear()
-            self.words.clear()
         split: list[list[str] | None] = []
         heads, words = set(), set()
         for text in texts:
-            if _LINKED.search(text) or any(s in text for s in self.special):
+            if _linked(text) or any(s in text for s in self.special):
                 split.append(None)
                 continue
             parts = text.split(" ")
             split.append(parts)
             heads.add(parts[0])
             words.update(parts[1:])
-        new = list(heads.difference(self.heads))
-        self.heads.update(zip(new, self._encode(new), strict=True))
-        new = list(words.difference(self.words))
-        self.words.update(zip(new, self._encode([f" {w}" for w in new]), strict=True))
-        of = self.words.__getitem__
+        head, of = self._known(self.heads, heads, ""), self._known(self.words, words, " ").__getitem__
         whole = iter(self._encode([t for t, parts in zip(texts, split, strict=True) if parts is None]))
-        return [next(whole) if p is None else self.heads[p[0]] + b"".join(map(of, p[1:])) for p in split]
+        return [next(whole) if p is None else head[p[0]] + b"".join(map(of, p[1:])) for p in split]
+
+    def _known(self, kept: dict[str, bytes], asked: set[str], lead: str) -> dict[str, bytes]:
+        """A table that has the ids of all asked words, each after `lead`."""
+        new = list(asked.difference(kept))
+        found = dict(zip(new, self._encode([lead + w for w in new]), strict=True))
+        if len(kept) + len(new) <= self.keep:
+            kept.update(found)
+            return kept
+        return found | {w: kept[w] for w in asked if w in kept}
