@@ -5,9 +5,15 @@ from __future__ import annotations
 import os
 from array import array
 
-#: White space before a space: there the encoder's own splitting looks further than one word.
-_LINKED = [f"{chr(c)} " for c in range(0x3001) if chr(c).isspace()]
+#: White space before a space or line end: there the encoder's own splitting looks further than one word.
+_LINKED = [chr(c) + x for c in range(0x3001) if chr(c).isspace() for x in " \n"]
 _LINKED_ASCII = [x for x in _LINKED if x.isascii()]
+#: Marks the first word of a line in a key; texts that hold it are encoded whole.
+_FIRST = "\0"
+_TAIL = ".,!?;:"
+#: How a byte-level vocabulary writes bytes: visible Latin-1 characters as themselves, the others from U+0100 on, in order.
+_VISIBLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTES = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _VISIBLE)}
 _OPEN: dict[str, TextEncoder] = {}
 
 
@@ -25,45 +31,64 @@ def _linked(text: str) -> bool:
 class TextEncoder:
     """Ids of texts from a byte-level BPE file of the `tokenizers` library.
 
-    That vocabulary never joins characters across the border between a non-space and a following space, so a text's ids
-    are those of its space-separated words, one after another. Words repeat; each is encoded once and kept (the first
-    `keep` words; more are encoded for each batch of texts anew). Texts where white space meets a space, or that hold a special token's string, are encoded whole.
+    That vocabulary never joins characters across the border between a non-space and a following space or line end, nor
+    between a letter and a following mark, so a text's ids are those of its words, line ends and marks, one after another.
+    Words repeat; each is encoded once and kept, up to two generations of `keep` words. Texts where white space meets a space or
+    line end, or that hold a special token's string, are encoded whole.
     """
 
-    def __init__(self, path: str, keep: int = 500_000):
+    def __init__(self, path: str, keep: int = 250_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] + [_FIRST]
         self.keep = keep
-        self.heads: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _learn(self, asked: set[str]) -> None:
+        """Put the ids of all asked keys into `words`. A key is a line end, a line's first word after _FIRST, or another word."""
+        if len(self.words) > self.keep:
+            self.words, self.older = {}, self.words
+        new, ended = set(), []
+        for key in asked.difference(self.words):
+            if key in self.older:
+                self.words[key] = self.older[key]
+                continue
+            stem = key.rstrip(_TAIL)
+            if stem != key and stem and stem[-1].isalpha():
+                ended.append((key, stem, key[len(stem) :]))
+                key = stem
+            if key not in self.words:
+                new.add(key)
+        letters = [k for k in new if k.removeprefix(_FIRST).isalpha()]  # one piece each: no need to split them
+        merge, ids = self.tokenizer.model.tokenize, array
+        for key in letters:
+            word = key[1:] if key[:1] == _FIRST else f" {key}"
+            self.words[key] = ids("I", [t.id for t in merge(word.encode().decode("latin-1").translate(_BYTES))]).tobytes()
+        keys = list(new.difference(letters))
+        plain = [k[1:] if k[:1] == _FIRST else k if k == "\n" else f" {k}" for k in keys]
+        self.words.update(zip(keys, self._encode(plain), strict=True))
+        tails = list({t for _, _, t in ended})
+        tails = dict(zip(tails, self._encode(tails), strict=True))
+        for key, stem, tail in ended:
+            self.words[key] = self.words[stem] + tails[tail]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """For each text its ids as little-endian unsigned 32-bit integers."""
         split: list[list[str] | None] = []
-        heads, words = set(), set()
+        asked: set[str] = set()
         for text in texts:
             if _linked(text) or any(s in text for s in self.special):
                 split.append(None)
-                continue
-            parts = text.split(" ")
-            split.append(parts)
-            heads.add(parts[0])
-            words.update(parts[1:])
-        head, of = self._known(self.heads, heads, ""), self._known(self.words, words, " ").__getitem__
+            else:
+                split.append((_FIRST + text.replace("\n", f" \n {_FIRST}")).split(" "))
+                asked.update(split[-1])
+        self._learn(asked)
+        of = self.words.__getitem__
         whole = iter(self._encode([t for t, parts in zip(texts, split, strict=True) if parts is None]))
-        return [next(whole) if p is None else head[p[0]] + b"".join(map(of, p[1:])) for p in split]
-
-    def _known(self, kept: dict[str, bytes], asked: set[str], lead: str) -> dict[str, bytes]:
-        """A table that has the ids of all asked words, each after `lead`."""
-        new = list(asked.difference(kept))
-        found = dict(zip(new, self._encode([lead + w for w in new]), strict=True))
-        if len(kept) + len(new) <= self.keep:
-            kept.update(found)
-            return kept
-        return found | {w: kept[w] for w in asked if w in kept}
+        return [next(whole) if parts is None else b"".join(map(of, parts)) for parts in split]
