@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: Where a single-machine session without spark.checkpoint.dir keeps its shared files.
 LOCAL_SHARED = "/tmp/checkpoints"
+#: Bytes of text that are encoded at once.
+ENCODED = 8 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -74,11 +76,6 @@ def read_file(uri: str) -> bytes:
         return f.read()
 
 
-def texts_of(column: pa.Array) -> list[str]:
-    """The texts of a column; null is empty."""
-    return ["" if x is None else x for x in column.to_pylist()]
-
-
 def bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a text column one after another, and where each text starts (one more entry than texts)."""
     column = column.cast(pa.large_binary()) if column.null_count == 0 else column.fill_null("").cast(pa.large_binary())

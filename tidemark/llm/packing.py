@@ -140,9 +140,9 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part = open_encoder(tokenizer), TaskContext.get().partitionId()
         end, seen = np.array([end_id], "<u4").tobytes(), Counter()
-        for batch in common.slices(batches, "text"):
+        for batch in common.slices(batches, "text", common.ENCODED):
             rows = []
-            for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.encode(common.texts_of(batch.column(1))), strict=True):
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1)), strict=True):
                 ids += end
                 for k, (start, length) in enumerate(cuts(len(ids) // 4, capacity)):
                     rows.append((doc_id, k, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)]), part, seen[length]))

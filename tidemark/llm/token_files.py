@@ -107,8 +107,8 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_ID, fi
             name = f"ids-{task.partitionId():06d}-{len(made):06d}.bin"
             made.append((common.write_file(folder, name, to_bytes(doc_ids, ids), task.taskAttemptId()), task.partitionId(), len(made), len(ids), held))
 
-        for batch in common.slices(batches, "text"):
-            for doc_id, own in zip(batch.column(0).to_pylist(), encoder.encode(common.texts_of(batch.column(1))), strict=True):
+        for batch in common.slices(batches, "text", common.ENCODED):
+            for doc_id, own in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1)), strict=True):
                 doc_ids.append(doc_id)
                 ids.append(own + end)
                 held += len(ids[-1]) // 4

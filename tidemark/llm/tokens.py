@@ -3,17 +3,23 @@
 from __future__ import annotations
 
 import os
-from array import array
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: White space before a space or line end: there the encoder's own splitting looks further than one word.
-_LINKED = [chr(c) + x for c in range(0x3001) if chr(c).isspace() for x in " \n"]
-_LINKED_ASCII = [x for x in _LINKED if x.isascii()]
+_LINKED = "[" + "".join(f"\\x{{{c:x}}}" for c in range(0x3001) if chr(c).isspace()) + r"][ \n]"
 #: Marks the first word of a line in a key; texts that hold it are encoded whole.
 _FIRST = "\0"
 _TAIL = ".,!?;:"
 #: How a byte-level vocabulary writes bytes: visible Latin-1 characters as themselves, the others from U+0100 on, in order.
 _VISIBLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
-_BYTES = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _VISIBLE)}
+_HIDDEN = [b for b in range(256) if b not in _VISIBLE]
+_WRITTEN = np.arange(256, dtype="<u4")
+_WRITTEN[_HIDDEN] = np.arange(256, 256 + len(_HIDDEN))
+#: Words that are merged with one call.
+_AT_ONCE = 50
 _OPEN: dict[str, TextEncoder] = {}
 
 
@@ -24,8 +30,36 @@ def encoder(path: str) -> TextEncoder:
     return _OPEN[path]
 
 
-def _linked(text: str) -> bool:
-    return any(x in text for x in (_LINKED_ASCII if text.isascii() else _LINKED))
+def _strings(values: list[str]) -> pa.Array:
+    return pa.array(values, pa.large_string())
+
+
+class _Table:
+    """Ids of words, as arrays: word k has ids[starts[k] : starts[k] + sizes[k]]. seen: in how many slices it occurred."""
+
+    def __init__(self) -> None:
+        self.words = _strings([])
+        self.ids, self.starts, self.sizes, self.seen = np.zeros(0, "<u4"), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+
+    def add(self, words: pa.Array, ids: list[bytes]) -> None:
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        self.words = pa.concat_arrays([self.words, words])
+        self.starts = np.append(self.starts, len(self.ids) + np.cumsum(sizes) - sizes)
+        self.ids = np.append(self.ids, np.frombuffer(b"".join(ids), "<u4"))
+        self.sizes, self.seen = np.append(self.sizes, sizes), np.append(self.seen, np.zeros(len(ids), np.int32))
+
+    def gather(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of these words one after another, where each word's end)."""
+        n = self.sizes[rows]
+        ends = np.cumsum(n)
+        return self.ids[np.repeat(self.starts[rows] - (ends - n), n) + np.arange(n.sum())], ends
+
+    def forget(self) -> None:
+        """Drop the words that occurred in one slice only."""
+        rows = np.flatnonzero(self.seen > 1)
+        ids, ends = self.gather(rows)
+        self.words, self.sizes, self.ids = self.words.take(pa.array(rows)), self.sizes[rows], ids
+        self.starts, self.seen = ends - self.sizes, np.zeros(len(rows), np.int32)
 
 
 class TextEncoder:
@@ -33,62 +67,82 @@ class TextEncoder:
 
     That vocabulary never joins characters across the border between a non-space and a following space or line end, nor
     between a letter and a following mark, so a text's ids are those of its words, line ends and marks, one after another.
-    Words repeat; each is encoded once and kept, up to two generations of `keep` words. Texts where white space meets a space or
-    line end, or that hold a special token's string, are encoded whole.
+    Words repeat; each is encoded once and kept, until there are `keep` words. Texts where white space meets a space or line
+    end, or that hold a special token's string, are encoded whole.
     """
 
-    def __init__(self, path: str, keep: int = 250_000):
+    def __init__(self, path: str, keep: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import CharDelimiterSplit
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] + [_FIRST]
-        self.keep = keep
-        self.words: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        #: Words of letters are one piece each: only merging is left to do.
+        self.merger = Tokenizer.from_file(path)
+        self.merger.pre_tokenizer = CharDelimiterSplit(chr(_WRITTEN[10]))
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.token_bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        self.token_bytes[list(vocabulary.values())] = [len(t) for t in vocabulary]
+        self.keep, self.table = keep, _Table()
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, asked: set[str]) -> None:
-        """Put the ids of all asked keys into `words`. A key is a line end, a line's first word after _FIRST, or another word."""
-        if len(self.words) > self.keep:
-            self.words, self.older = {}, self.words
-        new, ended = set(), []
-        for key in asked.difference(self.words):
-            if key in self.older:
-                self.words[key] = self.older[key]
-                continue
-            stem = key.rstrip(_TAIL)
-            if stem != key and stem and stem[-1].isalpha():
-                ended.append((key, stem, key[len(stem) :]))
-                key = stem
-            if key not in self.words:
-                new.add(key)
-        letters = [k for k in new if k.removeprefix(_FIRST).isalpha()]  # one piece each: no need to split them
-        merge, ids = self.tokenizer.model.tokenize, array
-        for key in letters:
-            word = key[1:] if key[:1] == _FIRST else f" {key}"
-            self.words[key] = ids("I", [t.id for t in merge(word.encode().decode("latin-1").translate(_BYTES))]).tobytes()
-        keys = list(new.difference(letters))
-        plain = [k[1:] if k[:1] == _FIRST else k if k == "\n" else f" {k}" for k in keys]
-        self.words.update(zip(keys, self._encode(plain), strict=True))
-        tails = list({t for _, _, t in ended})
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _merge(self, words: list[str]) -> list[bytes]:
+        """Ids of words of letters with or without a space in front. Token lengths tell where each word's ids end."""
+        if not words:
+            return []
+        raw = [w.encode() for w in words]
+        sizes = np.fromiter(map(len, raw), np.int64, len(raw))
+        written = _WRITTEN[np.frombuffer(b"\n".join(raw), np.uint8)].tobytes().decode("utf-32-le")
+        lows = (np.cumsum(sizes + 1) - sizes - 1)[::_AT_ONCE].tolist() + [len(written) + 1]
+        merged = self.merger.encode_batch_fast([written[a : b - 1] for a, b in zip(lows, lows[1:], strict=False)], add_special_tokens=False)
+        ids = np.concatenate([np.array(e.ids, "<u4") for e in merged])
+        ends = (4 * np.searchsorted(np.cumsum(self.token_bytes[ids]), np.cumsum(sizes)) + 4).tolist()
+        flat = ids.tobytes()
+        return [flat[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
+    def _ids_of(self, keys: list[str]) -> list[bytes]:
+        """A key is a line end, a line's first word after _FIRST, or another word."""
+        plain = lambda k: k[1:] if k[:1] == _FIRST else k if k == "\n" else f" {k}"
+        stems = [key.rstrip(_TAIL) for key in keys]
+        letters = dict.fromkeys(s for s in stems if s.removeprefix(_FIRST).isalpha())
+        letters = dict(zip(letters, self._merge(list(map(plain, letters))), strict=True))
+        tails = list(dict.fromkeys(k[len(s) :] for k, s in zip(keys, stems, strict=True) if s in letters))
         tails = dict(zip(tails, self._encode(tails), strict=True))
-        for key, stem, tail in ended:
-            self.words[key] = self.words[stem] + tails[tail]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """For each text its ids as little-endian unsigned 32-bit integers."""
-        split: list[list[str] | None] = []
-        asked: set[str] = set()
-        for text in texts:
-            if _linked(text) or any(s in text for s in self.special):
-                split.append(None)
-            else:
-                split.append((_FIRST + text.replace("\n", f" \n {_FIRST}")).split(" "))
-                asked.update(split[-1])
-        self._learn(asked)
-        of = self.words.__getitem__
-        whole = iter(self._encode([t for t, parts in zip(texts, split, strict=True) if parts is None]))
-        return [next(whole) if parts is None else b"".join(map(of, parts)) for parts in split]
+        others = iter(self._encode([plain(k) for k, s in zip(keys, stems, strict=True) if s not in letters]))
+        return [letters[s] + tails[k[len(s) :]] if s in letters else next(others) for k, s in zip(keys, stems, strict=True)]
+
+    def _rows(self, keys: pa.Array) -> np.ndarray:
+        """Where distinct keys stand in the table; new ones are added."""
+        found = pc.index_in(keys, value_set=self.table.words)
+        new = keys.filter(found.is_null())
+        rows = found.fill_null(-1).to_numpy().astype(np.int64)
+        if len(new):
+            rows[rows < 0] = np.arange(len(new)) + len(self.table.words)
+            self.table.add(new, self._ids_of(new.to_pylist()))
+        self.table.seen[rows] += 1
+        return rows
+
+    def _by_word(self, texts: pa.Array) -> list[bytes]:
+        if len(self.table.words) > self.keep:
+            self.table.forget()
+        text = lambda x: pa.scalar(x, pa.large_string())
+        keyed = pc.binary_join_element_wise(text(_FIRST), pc.replace_substring(texts, "\n", f" \n {_FIRST}"), text(""))
+        lists = pc.split_pattern(keyed, " ")
+        words = lists.flatten().dictionary_encode()
+        ids, ends = self.table.gather(self._rows(words.dictionary)[words.indices.to_numpy()])
+        flat, bounds = memoryview(ids.tobytes()), (4 * np.append(0, ends)[lists.offsets.to_numpy()]).tolist()
+        return [bytes(flat[a:b]) for a, b in zip(bounds, bounds[1:], strict=False)]
+
+    def encode(self, column: pa.Array) -> list[bytes]:
+        """For each text of a column its ids as little-endian unsigned 32-bit integers; null is empty."""
+        texts = column.cast(pa.large_string()).fill_null("")
+        whole = pc.match_substring_regex(texts, _LINKED)
+        for s in self.special:
+            whole = pc.or_(whole, pc.match_substring(texts, s))
+        apart = texts.filter(pc.invert(whole))
+        words = iter(self._by_word(apart) if len(apart) else [])
+        others = iter(self._encode(texts.filter(whole).to_pylist()))
+        return [next(others) if x else next(words) for x in whole.to_pylist()]
