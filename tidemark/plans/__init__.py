@@ -1 +1,6 @@
-"""Part of tidemark."""
+"""Every query of the library on the test tables, with the DuckDB SQL that gives the same rows."""
+
+from . import accounts, folds, listings, messages, queries, writes  # noqa: F401
+from .registry import FOUND
+
+__all__ = ["FOUND"]

@@ -1,51 +1,22 @@
-"""The library's queries on the test tables, each with the DuckDB SQL that gives the same rows."""
+"""Ledgers, listings, search, joins, votes, limits, runs and threads on the test tables, each with its DuckDB SQL."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scoring as S
 from ..operators import community as C
 from ..sources.tables import counted_posts, ledger, posts, table
-
-Entry = tuple[Callable[[SparkSession, str], DataFrame], str]
-FOUND: dict[str, Entry] = {}
-
-AS_OF = "2024-01-17 12:00:00"
-NOW = "TIMESTAMP '2024-01-17 12:00:00'"
-POSTS = "SELECT o_orderkey AS id, o_orderpriority AS board, o_custkey AS actor, o_orderdate AS created, o_orderstatus AS status FROM orders"
-COUNTED = f"""SELECT p.*, CAST(coalesce(up, 0) AS BIGINT) AS up, CAST(coalesce(down, 0) AS BIGINT) AS down, CAST(coalesce(comments, 0) AS BIGINT) AS comments
-FROM ({POSTS}) p LEFT JOIN (SELECT l_orderkey, count(*) FILTER (l_returnflag = 'N') AS up, count(*) FILTER (l_returnflag = 'R') AS down, count(*) AS comments FROM lineitem GROUP BY 1) l ON l_orderkey = id"""
-LEDGER = "SELECT event_id, user_id AS actor, ts, CASE WHEN event_type = 'view' THEN 1 ELSE -1 END AS delta FROM events WHERE event_type IN ('view', 'error')"
-
-
-def _bucket(unit: str, ts: str) -> str:
-    return f"(date_trunc('{unit}', {ts} + INTERVAL 9 HOUR) - INTERVAL 9 HOUR)"
-
-
-def query(name: str, sql: str):
-    def add(f):
-        FOUND[name] = (f, sql)
-        return f
-
-    return add
-
-
-def _now():
-    return F.lit(AS_OF).cast("timestamp_ntz")
-
+from .registry import COUNTED, LEDGER, NOW, POSTS, bucket, now, query
 
 # Points ledger.
 def _top(name: str, unit: str | None):
-    where = f"WHERE ts >= {_bucket(unit, NOW)}" if unit else ""
+    where = f"WHERE ts >= {bucket(unit, NOW)}" if unit else ""
 
     @query(name, f"""WITH p AS (SELECT actor, CAST(sum(delta) AS BIGINT) AS points FROM ({LEDGER}) {where} GROUP BY actor)
 SELECT row_number() OVER (ORDER BY points DESC, actor) AS rank, actor, points FROM p QUALIFY rank <= 10""")
     def run(spark, d):
-        return C.top_points(ledger(spark, d), 10, S.bucket_start(unit, _now()) if unit else None)
+        return C.top_points(ledger(spark, d), 10, S.bucket_start(unit, now()) if unit else None)
 
 
 _top("a03_weekly_points", "week")
@@ -225,7 +196,7 @@ def _(spark, d):
 
 # Limits.
 def _limit(name: str, unit: str, limit: int):
-    @query(name, f"""SELECT user_id, {_bucket(unit, 'ts')} AS bucket, count(*) AS n, least(count(*), {limit}) AS admitted FROM events GROUP BY 1, 2""")
+    @query(name, f"""SELECT user_id, {bucket(unit, 'ts')} AS bucket, count(*) AS n, least(count(*), {limit}) AS admitted FROM events GROUP BY 1, 2""")
     def run(spark, d):
         rows = C.calendar_limit(table(spark, d, "events"), ["user_id"], S.bucket_start(unit, F.col("ts")), ["ts", "event_id"], limit)
         return rows.groupBy("user_id", "bucket").agg(F.count("*").alias("n"), F.count_if("admitted").alias("admitted"))
@@ -286,14 +257,6 @@ def _(spark, d):
 
 
 # Texts.
-SAFETY = {"insult": r"idiot|stupid", "contempt": r"scum|pathetic"}
-
-
-@query("f20_safety_flags", "SELECT doc_id, array_to_string(list_filter([CASE WHEN regexp_matches(lower(text), 'idiot|stupid') THEN 'insult' END, CASE WHEN regexp_matches(lower(text), 'scum|pathetic') THEN 'contempt' END], lambda x: x IS NOT NULL), ',') AS flags FROM documents")
-def _(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.array_join(S.unsafe(F.col("text"), SAFETY), ",").alias("flags"))
-
-
 @query("f24_hash", "SELECT page_id, sha256(url || '|pepper') AS hashed FROM pages")
 def _(spark, d):
     return table(spark, d, "pages").select("page_id", S.salted_hash(F.col("url"), "pepper").alias("hashed"))
