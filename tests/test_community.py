@@ -5,8 +5,14 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.functions import documents as D
+from tidemark.functions import identity as I
+from tidemark.functions import messages as M
 from tidemark.functions import scoring as S
 from tidemark.operators import community as C
+from tidemark.operators import folds as R
+from tidemark.operators import writes as W
+from tidemark.streaming import limits
 
 
 @pytest.mark.parametrize(("clicks", "states"), [([1], [1]), ([1, 1], [1, 0]), ([1, -1], [1, -1]), ([-1, -1], [-1, 0]), ([-1, 1], [-1, 1]), ([1, 1, 1, -1, -1, 1], [1, 0, 1, -1, 0, 1])])
@@ -49,13 +55,142 @@ def test_thread(spark):
     assert got == {("a", "a", 0), ("b", "a", 1), ("c", "a", 2), ("d", "d", 0)}
 
 
-def test_streams_equal_batch(spark, tmp_path):
-    from tidemark.streaming import limits
+def _stream(spark, tmp_path, rows, make, mode="append"):
+    rows.repartition(3).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    name = f"s{abs(hash(str(tmp_path)))}"
+    q = make(stream).writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination(100)
+    return spark.table(name)
+
+
+def _minutes(spark):
+    return spark.createDataFrame([("a", datetime(2024, 1, 1, 0, m), 10 * k + m) for k in range(2) for m in range(0, 50, 7)], "key string, ts timestamp, event_id int")
+
+
+def test_distinct_stream(spark, tmp_path):
+    rows = _minutes(spark)
+    assert _stream(spark, tmp_path, rows, lambda s: limits.distinct_events(s, ["key", "ts"], "ts", "1 hour")).count() == rows.select("key", "ts").distinct().count()
+
+
+def test_points_stream(spark, tmp_path):
+    rows = spark.createDataFrame([(k % 3, 1 if k % 4 else -1) for k in range(40)], "actor int, delta long")
+    own = _stream(spark, tmp_path, rows, limits.running_points, "complete")
+    assert sorted(own.collect()) == sorted(rows.groupBy("actor").agg(F.sum("delta").alias("points")).collect())
+
+
+def test_tool_stream(spark, tmp_path):
+    rows = spark.createDataFrame([("a", 1, "x"), ("a", 2, None), ("b", 3, None), ("b", 4, "y"), ("b", 5, "z")], "call string, seq int, output string")
+    own = _stream(spark, tmp_path, rows, lambda s: limits.tool_calls(s, "call", "output", "seq"), "complete")
+    assert sorted(map(tuple, own.collect())) == [("a", "x", 2), ("b", "z", 5)]
+
 
-    rows = spark.createDataFrame([("a", datetime(2024, 1, 1, 0, m), 10 * k + m) for k in range(2) for m in range(0, 50, 7)], "key string, ts timestamp, event_id int")
-    rows.write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
-    out = limits.distinct_events(stream, ["key", "ts"], "ts", "1 hour")
-    q = out.writeStream.format("memory").queryName("seen").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+def _minute(m):
+    return datetime(2024, 1, 1, 0, m)
+
+
+RULES = [
+    (R.window_limit(2, 600), ["ts"], [(_minute(m),) for m in (0, 1, 9, 10, 11, 12)], [(True, 1, 0), (True, 0, 0), (False, 0, 60), (True, 1, 0), (True, 0, 0), (False, 0, 480)]),
+    (R.cooldown(60), ["ts"], [(_minute(0),), (_minute(0),), (_minute(2),)], [(True, 0), (False, 60), (True, 0)]),
+    (R.failure_lock(2, 300), ["ts", "flag"], [(_minute(0), True), (_minute(1), True), (_minute(3), False), (_minute(6), True), (_minute(12), False)], [("failed", 1, 0), ("locking", 2, 300), ("locked", 2, 180), ("locking", 3, 300), ("ok", 0, 0)]),
+    (R.reservation(1, 600), ["ts", "flag"], [(_minute(0), False), (_minute(5), False), (_minute(10), False), (_minute(11), True), (_minute(30), False)], [("reserved", 0), ("held", 0), ("reserved", 0), ("bound", 1), ("limit", 1)]),
+]
+
+
+@pytest.mark.parametrize("k", range(len(RULES)))
+def test_rules(spark, tmp_path, k):
+    """Batch and stream give a rule's literal results."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    rule, values, given, expected = RULES[k]
+    schema = "key string, id int, ts timestamp" + ", flag boolean" * ("flag" in values)
+    rows = spark.createDataFrame([(key, i, *g) for key in (None, "a", "b") for i, g in enumerate(given)], schema)
+    names = [c.split()[0] for c in rule[0].split(", ")]
+    told = lambda df, key: [tuple(r[n] for n in names) for r in df.where(F.col("key").eqNullSafe(key)).orderBy("id").collect()]
+    batch = R.fold(rows, "key", ["ts", "id"], values, rule)
+    assert all(told(batch, F.lit(key)) == expected for key in (None, "a", "b"))
+    rows = rows.coalesce(1).where("key is not null")
+    rows.write.parquet(str(tmp_path / "rows"))
+    stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "rows"))
+    q = limits.fold(stream, "key", ["ts", "id"], values, rule).writeStream.format("memory").queryName(f"rule{k}").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination(100)
-    assert spark.table("seen").count() == rows.select("key", "ts").distinct().count()
+    assert all(told(spark.table(f"rule{k}"), F.lit(key)) == expected for key in ("a", "b"))
+
+
+def test_challenge_and_growing_text():
+    end, step = _minute(5), R.challenge(2)[1]
+    state, told = None, []
+    for m, given in ((0, ""), (1, "x"), (2, "x"), (3, "y"), (6, "y"), (7, "y")):
+        state, out = step(state, _minute(m), end, given, "y")
+        told.append(out[0])
+    assert told == ["required", "invalid", "invalid", "locked", "expired", "not_found"]
+    state, shown = None, []
+    for text in ("a", "abc", None, "ab", "abd"):
+        state, out = R.growing_text()[1](state, text)
+        shown.append(out[0])
+    assert shown == ["a", "abc", "abc", "abc", "abd"]
+
+
+def test_gaps(spark):
+    rows = spark.createDataFrame([("a", 1), ("a", 2), ("a", 5), ("b", 3)], "key string, seq int")
+    out = R.fold(rows, "key", ["seq"], ["seq"], R.sequence_gaps())
+    assert sorted((r["key"], r["seq"]) for r in out.where("expected is not null").collect()) == [("a", 5)]
+    assert R.fold(rows.limit(0), "key", ["seq"], ["seq"], R.sequence_gaps()).count() == 0
+
+
+def _value(spark, column):
+    return spark.range(1).select(column.alias("x")).first()["x"]
+
+
+@pytest.mark.parametrize(("raw", "shown", "key", "error"), [("  AbC   \ud14c\uc2a4\ud2b8  ", "AbC \ud14c\uc2a4\ud2b8", "abc \ud14c\uc2a4\ud2b8", None), ("\uad00\ub9ac\uc790", "\uad00\ub9ac\uc790", "\uad00\ub9ac\uc790", "NICK_RESERVED"), ("\u3147\u3147", "\u110b\u110b", "\u110b\u110b", None), ("\u200bx", "x", "x", "NICK_INVALID"), (None, None, None, "NICK_REQUIRED"), ("\uff21\uff22", "AB", "ab", None)])
+def test_nicknames(spark, raw, shown, key, error):
+    row = spark.createDataFrame([(raw,)], "n string").select(I.nickname(F.col("n")), I.nickname_key(F.col("n")), I.nickname_error(I.nickname_key(F.col("n")))).first()
+    assert tuple(row) == (shown, key, error)
+
+
+def test_unsafe(spark):
+    assert _value(spark, S.unsafe(F.lit("\uc528\ubc1c \uc8fd\uc5ec"), M.unsafe_rules())) == ["hate_or_slur", "threats"]
+
+
+@pytest.mark.parametrize(("text", "left"), [("[Signal +1] hi", "hi"), ("[2024-01-02T03:04Z] hi", "hi"), ("[other] hi", "[other] hi"), ("hi", "hi"), (None, None)])
+def test_envelope(spark, text, left):
+    assert _value(spark, M.strip_envelope(F.lit(text).cast("string"))) == left
+
+
+def test_message_parts(spark):
+    items = F.from_json(F.lit('[{"type": "text", "text": "a"}, {"type": "x"}, {"type": "text", "text": "b"}, {"type": "thinking", "thinking": " t "}]'), M.ITEMS)
+    none = F.lit(None).cast("string")
+    assert _value(spark, M.raw_text(none, items, F.lit("f"))) == "a\nb"
+    assert _value(spark, M.thinking(none, items, none)) == "t"
+    assert _value(spark, M.message_role(none, none, none, items)) == "unknown"
+    assert _value(spark, M.message_role(F.lit("user"), F.lit("1"), none, items)) == "toolResult"
+    assert [_value(spark, M.role_group(F.lit(r))) for r in ("Tool_Result", "User", "function")] == ["tool", "User", "tool"]
+
+
+@pytest.mark.parametrize(("name", "allow", "deny", "ok"), [("read", [], [], True), ("read", ["*"], ["re*"], False), ("apply_patch", ["exec"], [], True), ("Apply_Patch ", ["exec"], ["apply*"], False), ("a.b", ["a.*"], [], True), ("axb", ["a.*"], [], False)])
+def test_policy(spark, name, allow, deny, ok):
+    assert _value(spark, M.allowed(F.lit(name), allow, deny)) is ok
+
+
+def test_display_texts(spark):
+    assert [_value(spark, M.byte_size(F.lit(n).cast("long"))) for n in (None, 5, 2304, 20 * 1024, 3 * 2**30)] == ["-", "5 B", "2.3 KB", "20 KB", "3.0 GB"]
+    assert [_value(spark, M.duration_text(F.lit(n).cast("long"))) for n in (None, 5, 90_000, 3 * 3_600_000, 72 * 3_600_000)] == ["n/a", "5ms", "2m", "3h", "3d"]
+    assert _value(spark, M.number_or(F.lit("x"), 3)) == 3.0
+    assert _value(spark, M.parse_list(F.lit(" a, b\n,c "))) == ["a", "b", "c"]
+
+
+def test_documents(spark):
+    row = spark.createDataFrame([('{"a": {"b": 1, "c": [1]}}', '{"a": {"b": 2, "c": [1]}, "d": null}')], "x string, y string")
+    out = row.select(D.diff(F.col("x"), F.col("y")).alias("d"), D.set_path(F.col("x"), ["a", "b"], 5).alias("s"), D.remove_path(F.col("x"), ["a", "c"]).alias("r"), D.diff(F.lit("no"), F.col("y")).alias("n")).first()
+    assert [tuple(d) for d in out["d"]] == [("a.b", "1", "2"), ("d", None, "null")]
+    assert (out["s"], out["r"], out["n"]) == ('{"a":{"b":5,"c":[1]}}', '{"a":{"b":1}}', [])
+
+
+def test_zero_bits(spark):
+    assert [_value(spark, I.leading_zero_bits(F.lit("07ff"), n)) for n in (0, 4, 5, 6)] == [True, True, True, False]
+
+
+def test_confiscation(spark):
+    ledger = spark.createDataFrame([("a", 10), ("b", 3), ("c", -3), ("d", 5)], "target string, delta int")
+    targets = spark.createDataFrame([(t, 1) for t in "abcde"], "target string, author int")
+    out = W.confiscate_once(ledger, targets, targets.where("target = 'd'"))
+    assert sorted((r["target"], r["taken"]) for r in out.collect()) == [("a", 10), ("b", 3), ("c", 0), ("e", 0)]

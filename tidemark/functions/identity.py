@@ -12,13 +12,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: White space as the domain's own rules see it (ASCII, no-break and wide spaces).
-SPACE = r"[\s   -     　﻿]"
+SPACE = r"[\s\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
 
 # Fixed values.
 NICKNAME_CONTAINS = ["관리자", "운영자", "admin", "administrator", "mod", "moderator", "system", "agent"]
 NICKNAME_PREFIXES = ["휴먼", "에이전트"]
 NICKNAME_PROFANE = ["씨발", "시발", "병신", "좆", "ㅅㅂ"]
-NICKNAME_ALLOWED = r"^[a-z0-9_가-힣ᄀ-ᇿ㄰-㆏ ]+$"
+NICKNAME_ALLOWED = r"^[a-z0-9_\x{AC00}-\x{D7A3}\x{1100}-\x{11FF}\x{3130}-\x{318F} ]+$"
 USERNAMES_RESERVED = ["admin", "root", "system", "support", "help"]
 PASSWORDS_COMMON = ["password", "qwerty", "12345678", "11111111"]
 UNNAMED = "(닉네임 미설정)"
@@ -34,7 +34,7 @@ def trimmed(value: Column) -> Column:
 
 def nickname(value: Column) -> Column:
     """Shown form: no zero-width characters, NFKC, trimmed, single spaces. NFKC has no built-in, so it runs in Arrow batches."""
-    plain = F.regexp_replace(value, r"[​-‍﻿]", "")
+    plain = F.regexp_replace(value, r"[\x{200B}-\x{200D}\x{FEFF}]", "")
     composed = F.when(plain.rlike(r"^[\x00-\x7F]*$"), plain).otherwise(F.pandas_udf(_nfkc, "string")(plain))
     return F.regexp_replace(trimmed(composed), f"{SPACE}+", " ")
 

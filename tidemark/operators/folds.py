@@ -139,3 +139,13 @@ def growing_text() -> Rule:
         return state, (state,)
 
     return "shown string", step
+
+
+def sequence_gaps() -> Rule:
+    """values: seq. expected: the number that should have come, where one or more are missing before seq."""
+
+    def step(last, seq):
+        gap = last + 1 if last is not None and seq > last + 1 else None
+        return seq, (gap,)
+
+    return "expected long", step

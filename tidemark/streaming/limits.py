@@ -1,7 +1,8 @@
-"""Streaming forms of the admission rules; each gives the rows of its batch form once the stream has been read."""
+"""Streaming forms; each gives the rows of its batch form once the stream has been read."""
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import pandas as pd
@@ -9,9 +10,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from ..operators.folds import Rule
+
 
 def distinct_events(events: DataFrame, keys: list[str], ts: str, late: str) -> DataFrame:
-    """The first event of each key within the watermark: replay de-duplication."""
+    """The first event of each key within the watermark: replay and view de-duplication."""
     return events.withWatermark(ts, late).dropDuplicatesWithinWatermark(keys)
 
 
@@ -21,31 +24,46 @@ def calendar_counts(events: DataFrame, key: str, ts: str, late: str, unit: str =
     return events.withWatermark(ts, late).groupBy(key, windows.alias("w")).agg(F.count("*").alias("n")).select(key, F.col("w.start").alias("bucket"), "n")
 
 
-class Cooldown(StatefulProcessor):
-    """Admits an event if `wait` seconds have passed since the last admitted one of its key."""
+def running_points(ledger: DataFrame) -> DataFrame:
+    """actor, points so far (update or complete mode): the incremental form of a summed ledger."""
+    return ledger.groupBy("actor").agg(F.sum("delta").alias("points"))
+
+
+def tool_calls(events: DataFrame, key: str, output: str, order: str) -> DataFrame:
+    """key, its last output that isn't null and its last event so far (update or complete mode)."""
+    known = F.when(F.col(output).isNotNull(), F.col(order))
+    return events.groupBy(key).agg(F.max_by(output, known).alias(output), F.max(order).alias("last"))
 
-    def __init__(self, wait: int) -> None:
-        self.wait = wait
+
+class _Fold(StatefulProcessor):
+    """Keeps a rule's state of each key, pickled."""
+
+    def __init__(self, order: list[str], values: list[str], names: list[str], rule: Rule) -> None:
+        self.order, self.values, self.names, self.step = order, values, names, rule[1]
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "ts timestamp")
+        self.state = handle.getValueState("state", "state binary")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        last = self.last.get()[0] if self.last.exists() else None
-        batch = pd.concat(list(rows)).sort_values(["ts", "event_id"])
-        kept = []
-        for t in batch["ts"]:
-            ok = last is None or (t - pd.Timestamp(last)).total_seconds() >= self.wait
-            last = t if ok else last
-            kept.append(ok)
-        if last is not None:
-            self.last.update((last,))
-        yield batch[kept]
+        state = pickle.loads(self.state.get()[0]) if self.state.exists() else None
+        batch = pd.concat(list(rows)).sort_values(self.order)
+        made = []
+        for values in zip(*(batch[c] for c in self.values), strict=True):
+            state, out = self.step(state, *values)
+            made.append(out)
+        self.state.update((pickle.dumps(state),))
+        yield batch.assign(**dict(zip(self.names, zip(*made, strict=True), strict=True)))
 
     def close(self) -> None:
         pass
 
 
-def cooldown(events: DataFrame, key: str, wait: int) -> DataFrame:
-    """Admitted events of events(key, ts timestamp, event_id), per key in order of ts within each micro-batch."""
-    return events.groupBy(key).transformWithStateInPandas(Cooldown(wait), events.schema, outputMode="Append", timeMode="None")
+def fold(events: DataFrame, key: str, order: list[str], values: list[str], rule: Rule) -> DataFrame:
+    """`operators.folds.fold` on a stream: all events with the rule's columns, in order within each micro-batch.
+
+    A micro-batch's rows of one key are sorted in memory; events that come in a later micro-batch count as later.
+    Spark needs its RocksDB state store for this (spark.sql.streaming.stateStore.providerClass).
+    """
+    added = [c.split() for c in rule[0].split(", ")]
+    schema = events.select("*", *(F.lit(None).cast(kind).alias(name) for name, kind in added)).schema
+    return events.groupBy(key).transformWithStateInPandas(_Fold(order, values, [name for name, _ in added], rule), schema, outputMode="Append", timeMode="None")
