@@ -10,6 +10,7 @@ import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.llm import chat, common, decontaminate, jaccard_join, packing, phrase_dedup, quality_rules, suffix_dedup, token_files, url_filter, warc
 
@@ -261,6 +262,55 @@ def test_empty_tables_and_repeated_rows(spark):
     assert token_files.read(token_files.write(some, common.shared_folder(spark, "r"), TOKENIZER)).count() == 5
 
 
+CLASHING = ", ".join(f"{c} string" for c in "tie packed rest id n hi lo root copies kept n_words hit_ranges start length part place digest short found size origin chain words ranges kind data gram".split())
+
+
+def _odd(spark, schema, rows):
+    """A table with extra columns named as the operators' own ones, and with null rows."""
+    n = len(CLASHING.split(", "))
+    return spark.createDataFrame([(*r, *["extra"] * n) for r in rows], f"{schema}, {CLASHING}")
+
+
+def test_odd_documents(spark):
+    long = " ".join(_words(random.Random(3), 30_000))
+    rows = [(1, "a b c " * 60), (1, "a b c " * 60), (2, None), (3, ""), (None, "x"), (None, None), (4, long)]
+    docs = _odd(spark, "doc_id long, text string", rows)
+    labels = spark.createDataFrame([(None, None, None), (1, 0, 0), (1, 1, 0)], "doc_id long, quality int, toxic int")
+    benchmark = spark.createDataFrame([(None, "x"), (7, None), (8, ""), (9, "A b")], "item_id long, text string")
+    assert jaccard_join.group(docs).count() == suffix_dedup.dedup(docs).count() == phrase_dedup.dedup(docs).count() == len(rows)
+    assert suffix_dedup.without_repeats(docs).columns == docs.columns
+    assert jaccard_join.one_of_each(docs).columns == docs.columns
+    assert token_files.read(token_files.write(docs, common.shared_folder(spark, "o"), TOKENIZER)).count() == len(rows)
+    packed = packing.pack_documents(docs)
+    assert packed.where("piece = 0").count() == len(rows)
+    judged = quality_rules.judge(docs.select(F.struct("*").alias("row"), "text"), quality_rules.fit(docs, labels))
+    assert judged.select("row.*").columns == docs.columns and judged.where("kept").count() == 1
+    found = decontaminate.digests(decontaminate.scan(docs, benchmark)).collect()
+    assert {r["doc_id"] for r in found if r["contaminated"]} == {1} and len(found) == len(rows)
+    for none in (docs.limit(0), docs.where("doc_id < 0")):
+        assert quality_rules.judge(none.select("doc_id", "text"), quality_rules.fit(none, labels.limit(0))).count() == 0
+        assert decontaminate.scan(none, benchmark.limit(0)).count() == 0
+    assert not [r for r in decontaminate.digests(decontaminate.scan(docs, benchmark.limit(0))).collect() if r["contaminated"]]
+
+
+def test_odd_pages_and_turns(spark):
+    rules = spark.createDataFrame(url_filter.RULES, "host string, path string, verdict string")
+    pages = _odd(spark, "page_id long, url string, html string", [(1, None, None), (None, "http://example.com/en/x", "y" * 200), (2, "://", "y" * 200), (2, "://", "y" * 200), (3, "http://A.NET/es/" + "z" * 50_000, "")])
+    verdicts = sorted((str(r["page_id"]), r["rule"], r["verdict"]) for r in url_filter.judge(pages, rules).collect())
+    assert verdicts == [("1", None, "allow"), ("2", None, "allow"), ("2", None, "allow"), ("3", "net/es/", "block"), ("None", "example.com/en/", "block")]
+    assert [r["verdict"] for r in url_filter.judge(pages, rules.limit(0)).collect()] == ["allow"] * 5
+    assert url_filter.judge(pages.limit(0), rules).count() == 0
+    index = warc.normalise(warc.write(warc.with_origin(pages), common.shared_folder(spark, "w")), common.shared_folder(spark, "n"))
+    read = [(r["page_id"], r["payload_bytes"], r["record_type"], r["refers_to"]) for r in warc.read(index).collect()]
+    assert Counter(read) == Counter({(1, 0, "response", None): 1, (2, 200, "response", None): 2, (3, 0, "response", None): 1, (None, 200, "revisit", 2): 1})
+    none = warc.write(warc.with_origin(pages.limit(0)), common.shared_folder(spark, "w"))
+    assert warc.read(warc.normalise(none, common.shared_folder(spark, "n"))).count() == 0
+    turns = _odd(spark, "conv_id long, turn long, role string, text string", [(1, 0, "user", "a"), (2, 0, "user", "a"), (2, 1, None, None), (3, 0, "user", "a"), (None, None, None, ""), (4, 0, "user", "w " * 100_000)])
+    told = {r["conv_id"]: (r["n_turns"], r["n_equal"]) for r in chat.format_chats(turns).collect()}
+    assert told == {2: (2, 1), None: (1, 1), 4: (1, 1)}
+    assert chat.format_chats(turns.limit(0)).count() == 0
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
