@@ -37,10 +37,15 @@ def test_sanitize(spark):
     assert "script" not in out and "onclick" not in out
 
 
-def test_cooldown(spark):
-    at = [datetime(2024, 1, 1, 0, 0, 0), datetime(2024, 1, 1, 0, 0, 30), datetime(2024, 1, 1, 0, 1, 10), datetime(2024, 1, 1, 0, 2, 0)]
-    rows = spark.createDataFrame([("a", t, k) for k, t in enumerate(at)], "key string, ts timestamp_ntz, id int")
-    assert [r["admitted"] for r in C.sequential_admission(rows, "key", "ts", "id", 60).orderBy("id").collect()] == [True, False, True, False]
+def test_ranks(spark):
+    """Ties across blocks of ids, negative points, and asked actors without points."""
+    points = {k: k * 7 % 5 - 2 for k in range(40)}
+    ledger = spark.createDataFrame([(k, p) for k, p in points.items()], "actor long, delta long")
+    asked = [0, 3, 17, 39, 100, -5]
+    own = {r["actor"]: (r["points"], r["rank"]) for r in C.rank_of(ledger, spark.createDataFrame([(a,) for a in asked], "actor long"), block=4).collect()}
+    for a in asked:
+        p = points.get(a, 0)
+        assert own[a] == (p, 1 + sum(q > p or (q == p and b < a) for b, q in points.items()))
 
 
 def test_calendar_limit(spark):
@@ -50,11 +55,16 @@ def test_calendar_limit(spark):
 
 
 def test_thread(spark):
-    rows = spark.createDataFrame([("a", None), ("b", "a"), ("c", "b"), ("d", "gone"), ("e", "e"), ("f", "g"), ("g", "f")], "id string, parent string")
+    rows = spark.createDataFrame([("a", None), ("b", "a"), ("c", "b"), ("d", "gone"), ("e", "e"), ("f", "g"), ("g", "f"), ("h", "g")], "id string, parent string")
     got = {(r["id"], r["root"], r["depth"]) for r in C.thread_paths(rows, "id", "parent").collect()}
     assert got == {("a", "a", 0), ("b", "a", 1), ("c", "a", 2), ("d", "d", 0)}
 
 
+def test_deep_thread(spark):
+    rows = spark.range(200).select("id", (F.col("id") - 1).alias("parent"))
+    assert sorted(map(tuple, C.thread_paths(rows, "id", "parent").collect())) == [(k, 0, k) for k in range(200)]
+
+
 def _stream(spark, tmp_path, rows, make, mode="append"):
     rows.repartition(3).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))

@@ -7,6 +7,8 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import settled
+
 
 def top_points(ledger: DataFrame, k: int, since: Column | None = None) -> DataFrame:
     """rank, actor, points of the k actors with most points; ties by actor."""
@@ -15,18 +17,31 @@ def top_points(ledger: DataFrame, k: int, since: Column | None = None) -> DataFr
     return best.select(F.row_number().over(Window.orderBy(F.desc("points"), "actor")).cast("long").alias("rank"), "actor", "points")
 
 
-def rank_of(ledger: DataFrame, actors: DataFrame, since: Column | None = None) -> DataFrame:
-    """actor, points, rank of each of actors(actor): 1 + those with more points, or as many and a smaller id.
+#: Actor ids that share a sorting task within one points value.
+BLOCK = 65_536
+
+
+def rank_of(ledger: DataFrame, actors: DataFrame, since: Column | None = None, block: int = BLOCK) -> DataFrame:
+    """actor, points, rank of each of actors(actor, a number): 1 + those with more points, or as many and a smaller id.
 
-    Ranks come from a count of actors per points value, so no single task sorts all actors.
+    Asked actors without a ledger row have 0 points and are not counted for others. A rank is the sum of three counts: actors of
+    higher points values (a window over one row per value), actors of the same value in earlier blocks of ids, and actors
+    before it in its own block. So a value that a third of all actors share is sorted block by block.
     """
     own = ledger if since is None else ledger.where(F.col("ts") >= since)
-    points = own.groupBy("actor").agg(F.sum("delta").alias("points"))
-    asked = actors.join(points, "actor", "left").select("actor", F.coalesce("points", F.lit(0)).alias("points"))
-    by_value = points.groupBy("points").agg(F.count("*").alias("n"))
-    above = asked.select("points").distinct().alias("a").join(by_value.alias("b"), F.col("b.points") > F.col("a.points"), "left").groupBy("a.points").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("above"))
-    equal = asked.alias("a").join(points.alias("b"), (F.col("a.points") == F.col("b.points")) & (F.col("b.actor") < F.col("a.actor")), "left").groupBy("a.actor", "a.points").agg(F.count("b.actor").alias("equal"))
-    return equal.join(above, "points").select("actor", "points", (1 + F.col("above") + F.col("equal")).alias("rank"))
+    points = own.groupBy("actor").agg(F.sum("delta").alias("points"), F.lit(1).alias("counts"))
+    asked = actors.select("actor").distinct().withColumn("asked", F.lit(True))
+    rows = points.join(asked, "actor", "full_outer").select(
+        "actor", F.coalesce("points", F.lit(0)).alias("points"), F.coalesce("counts", F.lit(0)).alias("counts"), F.coalesce("asked", F.lit(False)).alias("asked"), F.floor(F.col("actor") / block).alias("block")
+    )
+    until_before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    blocks = rows.groupBy("points", "block").agg(F.sum("counts").alias("n"))
+    earlier = F.coalesce(F.sum("n").over(until_before(Window.partitionBy("points").orderBy("block"))), F.lit(0))
+    values = blocks.groupBy("points").agg(F.sum("n").alias("n"))
+    above = F.coalesce(F.sum("n").over(until_before(Window.orderBy(F.desc("points")))), F.lit(0))
+    before = blocks.withColumn("earlier", earlier).join(values.select("points", above.alias("above")), "points").select("points", "block", (F.col("above") + F.col("earlier")).alias("before"))
+    within = F.coalesce(F.sum("counts").over(until_before(Window.partitionBy("points", "block").orderBy("actor"))), F.lit(0))
+    return rows.withColumn("within", within).where("asked").join(before, ["points", "block"]).select("actor", "points", (1 + F.col("before") + F.col("within")).alias("rank"))
 
 
 def confiscate(ledger: DataFrame, target: str) -> DataFrame:
@@ -94,44 +109,22 @@ def upsert(base: DataFrame, changes: DataFrame, key: str, columns: Iterable[str]
     return b.join(c, key, "full_outer").select(key, F.coalesce("new", "old").alias("row")).select(key, "row.*")
 
 
-def sequential_admission(events: DataFrame, key: str, ts: str, tie: str, wait: int) -> DataFrame:
-    """Events that are admitted if `wait` seconds have passed since the last admitted one of their key.
-
-    Each decision depends on the one before, so a key is folded in order: its rows arrive sorted, and one time per key is held.
-    """
-    schema = events.withColumn("admitted", F.lit(True)).schema
-    own = events.repartition(key).sortWithinPartitions(key, ts, tie)
-
-    def fold(batches):
-        import pandas as pd
-
-        at, last = None, None
-        for batch in batches:
-            kept = []
-            for k, t in zip(batch[key], batch[ts], strict=True):
-                if k != at:
-                    at, last = k, None
-                ok = last is None or t - last >= pd.Timedelta(seconds=wait)
-                last = t if ok else last
-                kept.append(ok)
-            yield batch.assign(admitted=kept)
-
-    return own.mapInPandas(fold, schema)
-
-
-def thread_paths(edges: DataFrame, id_: str, parent: str, most_depth: int = 100) -> DataFrame:
-    """id, root, depth of a reply forest: rows without a known parent are roots; cycles vanish.
+def thread_paths(edges: DataFrame, id_: str, parent: str) -> DataFrame:
+    """id, root, depth of a reply forest: rows without a known parent are roots; cycles and what hangs on them vanish.
 
-    Breadth-first: each round joins the last level's children; it ends when a level is empty.
+    Pointer jumping: each round takes every open row to the ancestor of its ancestor, so a thread of depth d needs log2(d) rounds. A
+    round that finishes no row has only cycles left. Ids must be unique; each round is checkpointed.
     """
     known = edges.select(F.col(id_).alias("p_id"))
-    nodes = edges.join(known, F.col(parent) == F.col("p_id"), "left").select(id_, F.when(F.col("p_id").isNotNull(), F.col(parent)).alias(parent))
-    level = nodes.where(F.col(parent).isNull()).select(id_, F.col(id_).alias("root"), F.lit(0).cast("long").alias("depth"))
-    out = level
-    for depth in range(1, most_depth):
-        children = nodes.join(level.select(F.col(id_).alias(parent), "root"), parent).select(id_, "root", F.lit(depth).cast("long").alias("depth"))
-        level = children.checkpoint() if children.sparkSession.conf.get("spark.checkpoint.dir", None) else children
-        if not level.limit(1).count():
-            break
-        out = out.unionByName(level)
-    return out
+    rows = edges.join(known, F.col(parent) == F.col("p_id"), "left")
+    top = F.col("p_id").isNull()
+    rows = settled(rows.select(id_, F.when(top, F.col(id_)).otherwise(F.col(parent)).alias("root"), F.when(top, 0).otherwise(1).cast("long").alias("depth"), top.alias("done")))
+    while True:
+        open_ = rows.where("not done")
+        above = rows.select(F.col(id_).alias("a_id"), F.col("root").alias("a_root"), F.col("depth").alias("a_depth"), F.col("done").alias("a_done"))
+        moved = open_.join(above, open_["root"] == above["a_id"]).select(id_, F.col("a_root").alias("root"), (F.col("depth") + F.col("a_depth")).alias("depth"), F.col("a_done").alias("done"))
+        moved = settled(moved)
+        rows = rows.where("done").unionByName(moved)
+        if not moved.where("done").limit(1).count():
+            return rows.where("done").select(id_, "root", "depth")
+        rows = settled(rows)

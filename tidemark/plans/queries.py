@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scoring as S
 from ..operators import community as C
+from ..operators import folds as R
 from ..sources.tables import counted_posts, ledger, posts, table
 from .registry import COUNTED, LEDGER, NOW, POSTS, bucket, now, query
 
@@ -211,7 +212,7 @@ UNION ALL SELECT a.user_id, (SELECT min(e.ts) FROM events e WHERE e.user_id = a.
 SELECT user_id, count(ts) AS admitted, max(ts) AS last FROM a WHERE ts IS NOT NULL GROUP BY user_id""")
 def _(spark, d):
     events = table(spark, d, "events").select("user_id", "ts", "event_id")
-    kept = C.sequential_admission(events, "user_id", "ts", "event_id", 21_600).where("admitted")
+    kept = R.fold(events, "user_id", ["ts", "event_id"], ["ts"], R.cooldown(21_600)).where("admitted")
     return kept.groupBy("user_id").agg(F.count("*").alias("admitted"), F.max("ts").alias("last"))
 
 

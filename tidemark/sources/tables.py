@@ -1,7 +1,9 @@
-"""Bindings of the test tables to the roles of a discussion community."""
+"""Bindings of the test tables to the roles of a discussion community, and tables written between steps."""
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,3 +30,14 @@ def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """actor, ts, delta: views give a point, errors take one."""
     e = table(spark, sf_dir, "events").where(F.col("event_type").isin("view", "error"))
     return e.select("event_id", F.col("user_id").alias("actor"), "ts", F.when(F.col("event_type") == "view", 1).otherwise(-1).cast("long").alias("delta"))
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """`df` written to spark.checkpoint.dir and read again, which cuts its lineage. A local session without that setting gets a folder."""
+    spark = df.sparkSession
+    context = spark.sparkContext
+    if not spark.conf.get("spark.checkpoint.dir", None) and context.getCheckpointDir() is None:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-"))
+    return df.checkpoint()
