@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 #: Where a single-machine session without spark.checkpoint.dir keeps its shared files.
 LOCAL_SHARED = "/tmp/checkpoints"
 #: Bytes of text that are encoded at once.
-ENCODED = 8 << 20
+ENCODED = 5 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

@@ -20,6 +20,8 @@ _WRITTEN = np.arange(256, dtype="<u4")
 _WRITTEN[_HIDDEN] = np.arange(256, 256 + len(_HIDDEN))
 #: Words that are merged with one call.
 _AT_ONCE = 50
+#: Words that are held as Python strings at once.
+_LEARNED = 40_000
 _OPEN: dict[str, TextEncoder] = {}
 
 
@@ -52,7 +54,9 @@ class _Table:
         """(ids of these words one after another, where each word's end)."""
         n = self.sizes[rows]
         ends = np.cumsum(n)
-        return self.ids[np.repeat(self.starts[rows] - (ends - n), n) + np.arange(n.sum())], ends
+        at = np.repeat((self.starts[rows] - (ends - n)).astype(np.int32), n)
+        at += np.arange(len(at), dtype=np.int32)
+        return self.ids[at], ends
 
     def forget(self) -> None:
         """Drop the words that occurred in one slice only."""
@@ -121,7 +125,9 @@ class TextEncoder:
         rows = found.fill_null(-1).to_numpy().astype(np.int64)
         if len(new):
             rows[rows < 0] = np.arange(len(new)) + len(self.table.words)
-            self.table.add(new, self._ids_of(new.to_pylist()))
+            for low in range(0, len(new), _LEARNED):
+                part = new.slice(low, _LEARNED)
+                self.table.add(part, self._ids_of(part.to_pylist()))
         self.table.seen[rows] += 1
         return rows
 
