@@ -30,6 +30,8 @@ LEAST_BYTES = 100
 DATE = "2024-01-01T00:00:00Z"
 #: Uncompressed bytes after which a task starts a new archive.
 FILE_BYTES = 64 << 20
+#: Of compression: the archives stand beside each other and the shuffled pages until the job ends.
+LEVEL = 6
 _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -111,7 +113,7 @@ def write(pages: DataFrame, folder: str, file_bytes: int = FILE_BYTES) -> DataFr
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, made, parts, size, count = TaskContext.get(), [], [], 0, 0
-        engine = zlib.compressobj(1, zlib.DEFLATED, 31)
+        engine = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
 
         def close() -> None:
             name = f"pages-{task.partitionId():06d}-{len(made):06d}.warc.gz"
@@ -124,7 +126,7 @@ def write(pages: DataFrame, folder: str, file_bytes: int = FILE_BYTES) -> DataFr
                 size, count = size + len(raw), count + 1
                 if size >= file_bytes:
                     close()
-                    engine, parts, size, count = zlib.compressobj(1, zlib.DEFLATED, 31), [], 0, 0
+                    engine, parts, size, count = zlib.compressobj(LEVEL, zlib.DEFLATED, 31), [], 0, 0
         if count:
             close()
         yield pa.RecordBatch.from_pydict({"file": pa.array([x[0] for x in made], pa.string()), "n_records": pa.array([x[1] for x in made], pa.int64())})
@@ -146,7 +148,7 @@ def normalise(files: DataFrame, folder: str) -> DataFrame:
                 fs, path = common.file_system(source)
                 with fs.open_input_stream(path, compression=None) as stream:
                     for head, raw in records(inflate(stream)):
-                        parts.append(gzip.compress(raw, 4, mtime=0))
+                        parts.append(gzip.compress(raw, LEVEL, mtime=0))
                         rows.append({"file": f"{folder}/{name}", "offset": offset, "length": len(parts[-1]), "record_id": head["WARC-Record-ID"], "uri": head["WARC-Target-URI"]})
                         offset += len(parts[-1])
                 common.write_file(folder, name, parts, task.taskAttemptId())
