@@ -12,6 +12,7 @@ from tidemark.functions import scoring as S
 from tidemark.operators import community as C
 from tidemark.operators import folds as R
 from tidemark.operators import writes as W
+from tidemark.plans import FOUND
 from tidemark.streaming import limits
 
 
@@ -199,6 +200,18 @@ def test_zero_bits(spark):
     assert [_value(spark, I.leading_zero_bits(F.lit("07ff"), n)) for n in (0, 4, 5, 6)] == [True, True, True, False]
 
 
+def test_signature_query(spark):
+    import hashlib
+    import hmac
+
+    sf = "/root/testdata/sf0.001"
+    names = {r["c_custkey"]: r["c_name"] for r in spark.read.parquet(f"{sf}/customer.parquet").collect()}
+    for r in FOUND["f26_signature"][0](spark, sf).collect():
+        want = hmac.new(b"secret", names.pop(r["c_custkey"]).encode(), hashlib.sha256).hexdigest()
+        assert (r["signature"], r["ok"]) == (want, int(want[0], 16) < 2)
+    assert not names
+
+
 def test_confiscation(spark):
     ledger = spark.createDataFrame([("a", 10), ("b", 3), ("c", -3), ("d", 5)], "target string, delta int")
     targets = spark.createDataFrame([(t, 1) for t in "abcde"], "target string, author int")
