@@ -133,6 +133,15 @@ def test_jaccard_long_lists_and_derived_links(spark):
     test_jaccard(df, dict(rows))
 
 
+def test_jaccard_short_lists_with_an_unlike_centre(spark):
+    rng = random.Random(1)
+    a, b = ([f"w{rng.randrange(10**9)}" for _ in range(104)] for _ in range(2))
+    mixed = [a[:52] + b[:52], a[52:] + b[52:]]  # the smallest ids of each list, a third like the others
+    frequent = [x[48:56] for x in (a, b, *mixed)]  # shingles that come last in every order
+    rows = [(k, " ".join(t)) for k, t in enumerate([*mixed, a, [*a, "more"], b, [*b, "more"], *frequent * 10])]
+    test_jaccard(spark.createDataFrame(rows, "doc_id long, text string"), dict(rows))
+
+
 def test_chat(spark):
     rows = [(1, 0, "user", "hi"), (1, 1, "assistant", "yo"), (2, 0, "user", "hi"), (3, 0, "user", "hi"), (3, 1, "assistant", "yo"), (4, 0, "user", None), (5, 0, None, "<|im_end|>"), (5, 1, "user", "")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")

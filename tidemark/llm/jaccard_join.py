@@ -212,9 +212,10 @@ def lists(vertices: DataFrame) -> DataFrame:
         # The centre is the smallest set by id, so that lists of the same sets have the same one.
         by = np.lexsort((tie, id_, gram))
         centre = by[first]
-        may = _may_link(n, at, centre, np.arange(len(gram))) & (centre != np.arange(len(gram)))
+        rim = centre != np.arange(len(gram))
+        may = _may_link(n, at, centre, np.arange(len(gram))) & rim
         yield from _listed(STAR, _unique_pairs(id_[centre[may]], tie[centre[may]], id_[may], tie[may]))
-        told = may | (centre == np.arange(len(gram)))  # compared with the list's centre
+        # The centre may be unlike the others: every other pair is kept until the comparisons with centres are known.
         short = np.flatnonzero((size <= SHORT_LIST) & (size > 2))
         found = [[np.zeros(0, np.int64)] * 4]
         for step in range(1, SHORT_LIST):
@@ -222,7 +223,7 @@ def lists(vertices: DataFrame) -> DataFrame:
             if not len(a):
                 break
             b = a + step
-            good = _may_link(n, at, a, b) & ~(told[a] & told[b])
+            good = _may_link(n, at, a, b) & rim[a] & rim[b]
             a, b = a[good], b[good]
             flip = (id_[a] > id_[b]) | ((id_[a] == id_[b]) & (tie[a] > tie[b]))
             a, b = np.where(flip, b, a), np.where(flip, a, b)
