@@ -218,6 +218,15 @@ def test_suffixes(docs, texts):
     assert left.columns == docs.columns and 7 not in {r["doc_id"] for r in left.collect()}
 
 
+def test_suffixes_of_repeated_rows_that_share_a_gram(spark):
+    rng = random.Random(4)
+    part = lambda n: "".join(rng.choice("abcdefghij") for _ in range(n))
+    passage = part(90)  # shorter than a window, so nothing repeats
+    text, other = (part(150) + passage + part(150) for _ in range(2))
+    rows = spark.createDataFrame([(1, text), (1, text), (2, other)], "doc_id long, text string")
+    assert sorted((r["doc_id"], r["n_removed"]) for r in suffix_dedup.dedup(rows).collect()) == [(1, 0), (1, 0), (2, 0)]
+
+
 def test_phrases(docs, texts):
     lists = {k: WORD.findall(t) for k, t in texts.items()}
     times = Counter(tuple(w[s : s + 35]) for w in lists.values() for s in range(len(w) - 34))

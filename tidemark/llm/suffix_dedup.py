@@ -113,6 +113,8 @@ class Suffixes:
 def resolver(gram, doc_id, tie, at, before, settled, contexts) -> Iterator[tuple[int, int, bytes]]:
     del settled
     order = np.lexsort((at, tie, doc_id, gram))  # earlier ones first in each group
+    # Rows that repeat whole are one document, and their anchors one place.
+    order = order[~anchors._same_as_before(*(x[order] for x in (gram, doc_id, tie, at)))]
     gram, doc_id, tie, at, before = (x[order] for x in (gram, doc_id, tie, at, before))
     contexts = [contexts[k] for k in order.tolist()]
     lengths = np.array([len(c) for c in contexts])
