@@ -5,8 +5,8 @@ conversation whose whole digest is a shorter prefix of another is a snapshot of
 conversations collapse to the smallest conv_id first, so both sides of the anti-join hold each digest once, however many
 conversations share a first turn or all turns. All of it is DataFrame expressions.
 
-Turns are ordered by turn, then role and text (nulls first); a null role or text differs from an empty one in the digest
-and is rendered as empty. Rows with a null conv_id form one conversation of their own. A conversation is one output row,
+Turns are ordered by turn, then role (nulls first), then the digest of role and text, so that only digests travel until a
+conversation is rendered. A null role or text differs from an empty one in order and digest, and is rendered as empty. Rows with a null conv_id form one conversation of their own. A conversation is one output row,
 so its turns must fit in a row; that is the only group that is ever gathered.
 """
 
@@ -27,10 +27,8 @@ def _turn_digest(role: Column, text: Column) -> Column:
 
 def prefixes(turns: DataFrame) -> DataFrame:
     """conv_id, chain: the rolling digest after each turn."""
-    ordered = F.array_sort(F.collect_list(F.struct("turn", F.coalesce("role", F.lit("")).alias("r"), F.coalesce("text_tie", F.lit("")).alias("t"), "digest")))
-    rows = turns.select("conv_id", "turn", "role", F.col("text").alias("text_tie"), _turn_digest(F.col("role"), F.col("text")).alias("digest"))
-    # Only digests travel: the text's place among equal (turn, role) is settled by its digest.
-    rows = rows.withColumn("text_tie", F.col("digest"))
+    ordered = F.array_sort(F.collect_list(F.struct("turn", "role", "digest")))
+    rows = turns.select("conv_id", "turn", "role", _turn_digest(F.col("role"), F.col("text")).alias("digest"))
     lists = rows.groupBy("conv_id").agg(ordered.alias("own"))
     chain = F.aggregate("own", F.array().cast("array<string>"), lambda done, t: F.concat(done, F.array(F.sha2(F.concat(F.coalesce(F.element_at(F.when(F.size(done) > 0, done), -1), F.lit("")), t["digest"]), 256))))
     return lists.select("conv_id", chain.alias("chain"))
@@ -48,7 +46,7 @@ def render(turns: DataFrame, start: str = START, end: str = END) -> DataFrame:
     """conv_id and text: each turn between marks. A mark inside a text is broken by a space after its first character."""
     safe = lambda c: F.replace(F.replace(F.coalesce(c, F.lit("")), F.lit(start), F.lit(f"{start[0]} {start[1:]}")), F.lit(end), F.lit(f"{end[0]} {end[1:]}"))
     line = lambda t: F.concat(F.lit(start), safe(t["role"]), F.lit("\n"), safe(t["text"]), F.lit(f"{end}\n"))
-    tie = F.struct("turn", F.coalesce("role", F.lit("")).alias("r"), _turn_digest(F.col("role"), F.col("text")).alias("digest"), "role", "text")
+    tie = F.struct("turn", "role", _turn_digest(F.col("role"), F.col("text")).alias("digest"), "text")
     lists = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(tie)).alias("own"))
     return lists.select("conv_id", F.array_join(F.transform("own", line), "").alias("text"))
 
@@ -66,11 +64,13 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL = r"""
-WITH c AS (
-  SELECT conv_id, list({'r': role, 't': text} ORDER BY turn, role, text) AS ts,
+WITH d AS (
+  SELECT *, sha256(coalesce('=' || sha256(role), 'null') || ';' || coalesce('=' || sha256(text), 'null')) AS digest FROM conversations),
+c AS (
+  SELECT conv_id, list({'r': role, 't': text} ORDER BY turn NULLS FIRST, role NULLS FIRST, digest) AS ts,
          string_agg('<|im_start|>' || replace(replace(coalesce(role, ''), '<|im_start|>', '< |im_start|>'), '<|im_end|>', '< |im_end|>') || chr(10)
-           || replace(replace(coalesce(text, ''), '<|im_start|>', '< |im_start|>'), '<|im_end|>', '< |im_end|>') || '<|im_end|>' || chr(10), '' ORDER BY turn, role, text) AS text
-  FROM conversations GROUP BY conv_id),
+           || replace(replace(coalesce(text, ''), '<|im_start|>', '< |im_start|>'), '<|im_end|>', '< |im_end|>') || '<|im_end|>' || chr(10), '' ORDER BY turn NULLS FIRST, role NULLS FIRST, digest) AS text
+  FROM d GROUP BY conv_id),
 one AS (SELECT min(conv_id) AS conv_id, ts, count(*) AS n_equal, any_value(text) AS text FROM c GROUP BY ts)
 SELECT a.conv_id, CAST(len(a.ts) AS BIGINT) AS n_turns, CAST(a.n_equal AS BIGINT) AS n_equal, a.text
 FROM one a WHERE NOT EXISTS (SELECT 1 FROM one b WHERE len(b.ts) > len(a.ts) AND b.ts[1 : len(a.ts)] = a.ts)

@@ -8,8 +8,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: White space before a space or line end: there the encoder's own splitting looks further than one word.
-_LINKED = "[" + "".join(f"\\x{{{c:x}}}" for c in range(0x3001) if chr(c).isspace()) + r"][ \n]"
+#: Two white-space characters in a row, of any kind: there the encoder's own splitting looks further than one word.
+_LINKED = "[" + "".join(f"\\x{{{c:x}}}" for c in range(0x3001) if chr(c).isspace()) + "]{2}"
+#: Letters below this one are letters in every version of Unicode; words of others are left to the library's own splitting.
+_SURE = "\u0250"
 #: Marks the first word of a line in a key; texts that hold it are encoded whole.
 _FIRST = "\0"
 _TAIL = ".,!?;:"
@@ -71,8 +73,8 @@ class TextEncoder:
 
     That vocabulary never joins characters across the border between a non-space and a following space or line end, nor
     between a letter and a following mark, so a text's ids are those of its words, line ends and marks, one after another.
-    Words repeat; each is encoded once and kept, until there are `keep` words. Texts where white space meets a space or line
-    end, or that hold a special token's string, are encoded whole.
+    Words repeat; each is encoded once and kept, until there are `keep` words. Texts with two white-space characters in a
+    row, where the splitting looks ahead, and texts that hold a special token's string are encoded whole.
     """
 
     def __init__(self, path: str, keep: int = 600_000):
@@ -111,7 +113,7 @@ class TextEncoder:
         """A key is a line end, a line's first word after _FIRST, or another word."""
         plain = lambda k: k[1:] if k[:1] == _FIRST else k if k == "\n" else f" {k}"
         stems = [key.rstrip(_TAIL) for key in keys]
-        letters = dict.fromkeys(s for s in stems if s.removeprefix(_FIRST).isalpha())
+        letters = dict.fromkeys(s for s in stems if s.removeprefix(_FIRST).isalpha() and max(s) < _SURE)
         letters = dict(zip(letters, self._merge(list(map(plain, letters))), strict=True))
         tails = list(dict.fromkeys(k[len(s) :] for k, s in zip(keys, stems, strict=True) if s in letters))
         tails = dict(zip(tails, self._encode(tails), strict=True))

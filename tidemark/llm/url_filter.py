@@ -43,7 +43,7 @@ def digest_rules(rules: DataFrame) -> DataFrame:
     digest = F.sha2(F.concat("host", F.lit("\n"), "path"), 256)
     return one.select(
         digest.substr(1, PREFIX_DIGITS).alias("short"),
-        digest.alias("digest"),
+        digest.alias("rule_digest"),
         F.struct(F.length(key).alias("size"), F.length("host").alias("host_size"), "blocks", key.alias("rule")).alias("found"),
     )
 
@@ -67,13 +67,14 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", most_rules
     # Equal rows are judged once, before anything is expanded.
     rows = split_url(pages.select("page_id", "url")).groupBy("page_id", "host", "path").agg(F.count("*").alias("copies"))
     wide = rows.withColumn("digest", F.explode(expressions(lengths))).withColumn("short", F.substring("digest", 1, PREFIX_DIGITS))
-    keys = ["short", "digest"]
     if small:
-        joined = wide.join(F.broadcast(rules), keys, "left")
+        joined = wide.join(F.broadcast(rules), "short", "left")
     else:
         salt = F.pmod(F.xxhash64("page_id", "host", "path"), F.lit(salts)).cast("int")
         many = rules.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        joined = wide.withColumn("salt", salt).join(many, [*keys, "salt"], "left")
+        joined = wide.withColumn("salt", salt).join(many, ["short", "salt"], "left")
+    # The short hash only brings candidates: the full digest confirms them, and a row without a confirmed rule stays.
+    joined = joined.withColumn("found", F.when(F.col("digest") == F.col("rule_digest"), F.col("found")))
     best = joined.groupBy("page_id", "host", "path").agg(F.max("found").alias("found"), F.max("copies").alias("copies"))
     verdict = F.when(F.col("found").isNull(), default).when(F.col("found.blocks"), "block").otherwise("allow")
     return best.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("page_id", "host", "path", F.col("found.rule").alias("rule"), verdict.alias("verdict"))
