@@ -1,19 +1,17 @@
-"""Repeated windows of a corpus, found through anchors.
+"""Repeated windows of a corpus, brought together through anchors.
 
 A unit is a byte or a word; a window is `window` consecutive units of one document. Of the grams of `gram` units in a window,
 the one with the smallest hash is its anchor (the leftmost of equal ones), so equal windows have equal anchors at equal
 places. An anchor's context is all that its windows can reach: `window - gram` units before it and `window` from its start.
 
-1. `scan` finds the anchors of each document, about 2 in window - gram + 2 units, and keeps one of each (gram, context) per
-   task. They are dealt out by gram as packed numpy arrays.
-2. `meet` brings each gram's contexts together. Equal contexts (128 bits of hashes) settle each other. Grams with several
-   different contexts go on.
-3. `fetch` reads those contexts from the documents, and the caller's resolver compares them.
-4. `cover` joins all ranges found to their documents.
+1. `meet` finds the anchors of each document, about 2 in window - gram + 2 units, and tells those whose gram occurs at several
+   places: its points. A task sends on each gram once, however often it has it.
+2. `read_contexts` reads the contexts of such points. Callers compare them in groups of a key: the gram, or, for grams with very
+   many contexts (`hot_grams`), the gram with most of a window around it, so that one common line doesn't make one group.
+3. `cover` joins ranges found to their documents.
 
-With `first_stays`, a window counts as repeated if it also starts earlier (smaller doc_id, or earlier in the same document);
-else if it also starts anywhere else. A document is known by doc_id and a hash of its text: rows that share both are one
-document, and get the same result. A null doc_id is smaller than all others.
+A document is known by doc_id and a hash of its text: rows that share both are one document, and get the same result. A null
+doc_id is smaller than all others.
 """
 
 from __future__ import annotations
@@ -34,44 +32,69 @@ _BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2^64
 _INVERSE = pow(_BASE, -1, 1 << 64)
 NULL_ID = -(1 << 63)
 #: Anchors held by a task before they are packed and passed on.
-HELD = 4_000_000
+HELD = 1_500_000
+#: Units that are searched for anchors at once.
+SEARCHED = 1 << 20
+#: A gram is hot from this many contexts on, and from a ten-thousandth of those of all such grams: 10,000 grams at most.
+HOT, HOT_SHARE = 10_000, 10_000
+#: Keys of a hot gram: each has the windows of a tenth of the offsets, and all but a tenth of a window is in the key.
+HOT_KEYS = 10
 
 
-class Rolling:
-    """Prefix polynomial hashes modulo 2^64 of an array of 64-bit units."""
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, _U)
+    out[0] = 1
+    return np.cumprod(out, dtype=_U)
+
 
-    _up = _down = np.ones(1, _U)
+_BLOCK = 1 << 16
+_UP, _DOWN = _powers(_BASE, _BLOCK), _powers(_INVERSE, _BLOCK)
+_UP_STEP, _DOWN_STEP = pow(_BASE, _BLOCK, 1 << 64), pow(_INVERSE, _BLOCK, 1 << 64)
 
-    def __init__(self, units: np.ndarray):
-        n = len(units) + 1
-        if len(Rolling._up) < n:
-            size = max(n, 1 << 18)
-            for name, base in (("_up", _BASE), ("_down", _INVERSE)):
-                powers = np.full(size, base, _U)
-                powers[0] = 1
-                setattr(Rolling, name, np.cumprod(powers, dtype=_U))
-        self.sums = np.zeros(n, _U)
-        np.cumsum(units * Rolling._up[: n - 1], out=self.sums[1:])
+
+class Rolling:
+    """Prefix polynomial hashes modulo 2^64 of an array of 64-bit units, or of numbers into a table `values` of them."""
+
+    def __init__(self, units: np.ndarray, values: np.ndarray | None = None):
+        n = len(units)
+        up = _powers(_UP_STEP, n // _BLOCK + 1)
+        self.down = _powers(_DOWN_STEP, n // _BLOCK + 1)
+        self.sums = np.zeros(n + 1, _U)
+        for k in range(0, n, _BLOCK):
+            part = units[k : k + _BLOCK] if values is None else values[units[k : k + _BLOCK]]
+            own = self.sums[k + 1 : k + 1 + len(part)]
+            np.cumsum(part * _UP[: len(part)], out=own)
+            own *= up[k // _BLOCK]
+            own += self.sums[k]
+
+    def _scaled(self, sums: np.ndarray, low: np.ndarray) -> np.ndarray:
+        sums *= _DOWN[low & (_BLOCK - 1)]
+        sums *= self.down[low >> 16]
+        return sums
 
     def span(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
         """Hashes of the unit ranges [low, high); equal ranges have equal hashes wherever they lie."""
-        return (self.sums[high] - self.sums[low]) * Rolling._down[low]
+        return self._scaled(self.sums[high] - self.sums[low], low)
 
     def grams(self, size: int) -> np.ndarray:
         n = len(self.sums) - size
-        return (self.sums[size:] - self.sums[:-size]) * Rolling._down[:n] if n > 0 else np.zeros(0, _U)
+        return self._scaled(self.sums[size:] - self.sums[:-size], np.arange(n)) if n > 0 else np.zeros(0, _U)
 
 
 @dataclass(frozen=True)
 class Shape:
     window: int
     gram: int
-    first_stays: bool
 
     @property
     def before(self) -> int:
         return self.window - self.gram
 
+    def key_ranges(self) -> list[tuple[int, int]]:
+        """(units before the anchor, units from it on) that all windows of each tenth of the offsets have."""
+        edges = np.linspace(0, self.before + 1, min(HOT_KEYS, self.before + 1) + 1).astype(int).tolist()
+        return [(a, self.window - (b - 1)) for a, b in zip(edges, edges[1:], strict=False)]
+
 
 def sliding_min(x: np.ndarray, size: int) -> np.ndarray:
     """Minimum of each `size` consecutive values."""
@@ -82,14 +105,10 @@ def sliding_min(x: np.ndarray, size: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (size - width)], x[size - width :]) if size > width else x
 
 
-def find(units: np.ndarray, starts: np.ndarray, shape: Shape) -> tuple[np.ndarray, ...]:
-    """(document, place in it, gram hash, context hash) of the anchors of concatenated documents, and ends of contexts."""
-    none = np.zeros(0, np.int64)
-    if len(units) < shape.window:
-        return none, none, none.astype(_U), none.astype(_U), none, none
+def _find(units: np.ndarray, starts: np.ndarray, shape: Shape) -> tuple[np.ndarray, ...]:
     rolling = Rolling(units)
     grams = common.mix(rolling.grams(shape.gram))
-    bits = len(grams).bit_length()
+    bits = SEARCHED.bit_length()
     keys = (grams >> _U(bits) << _U(bits)) | np.arange(len(grams), dtype=_U)
     least = sliding_min(keys, shape.before + 1)
     lengths = np.diff(starts)
@@ -99,69 +118,45 @@ def find(units: np.ndarray, starts: np.ndarray, shape: Shape) -> tuple[np.ndarra
     at = np.flatnonzero(chosen)
     doc = np.searchsorted(starts, at, "right") - 1
     low, high = np.maximum(starts[doc], at - shape.before), np.minimum(starts[doc + 1], at + shape.window)
-    context = common.mix(rolling.span(low, high) ^ ((at - low) << 32 | (high - at)).astype(_U))
-    return doc, at - starts[doc], grams[at], context, low - starts[doc], high - starts[doc]
+    return doc, at - starts[doc], grams[at], rolling.span(low, high)
+
+
+def find(units: np.ndarray, starts: np.ndarray, shape: Shape) -> Iterator[tuple[np.ndarray, ...]]:
+    """(document, place in it, gram hash, hash of the context) of the anchors of concatenated documents, a part at a time.
+
+    Places near the cut of two parts may come twice, and contexts there are cut.
+    """
+    for low in range(0, len(units), SEARCHED):
+        own = units[low : low + SEARCHED + shape.window - 1]
+        if len(own) < shape.window:
+            return
+        bounds = np.clip(starts, low, low + len(own))
+        doc, at, gram, context = _find(own, bounds - low, shape)
+        yield doc, at + bounds[doc] - starts[doc], gram, context
 
 
-def _same_as_before(*columns: np.ndarray) -> np.ndarray:
+def same_as_before(*columns: np.ndarray) -> np.ndarray:
     out = np.zeros(len(columns[0]), bool)
     if len(out) > 1:
         out[1:] = np.logical_and.reduce([c[1:] == c[:-1] for c in columns])
     return out
 
 
-class Occurrences:
-    """Anchors as columns: gram, context, doc_id, text hash, place, reach before and after, and whether it is settled."""
-
-    names = ("gram", "context", "doc_id", "tie", "at", "low", "high", "settled")
-    kinds = (_U, _U, np.int64, np.int64, np.uint32, np.uint32, np.uint32, bool)
-
-    def __init__(self, columns: list[np.ndarray]):
-        self.columns = columns
-
-    @classmethod
-    def joined(cls, parts: list[list[np.ndarray]]) -> Occurrences:
-        return cls([np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, t) for k, t in enumerate(cls.kinds)])
-
-    def __getattr__(self, name: str) -> np.ndarray:
-        return self.columns[self.names.index(name)]
-
-    def take(self, rows: np.ndarray) -> Occurrences:
-        return Occurrences([c[rows] for c in self.columns])
-
-    def settle(self, first_stays: bool) -> tuple[Occurrences, Occurrences]:
-        """(one occurrence of each context, the earliest; those whose whole context is covered by an equal one)."""
-        own = self.take(np.lexsort((self.at, self.tie, self.doc_id, self.context, self.gram)))
-        own = own.take(~_same_as_before(own.gram, own.context, own.doc_id, own.tie, own.at))
-        later = _same_as_before(own.gram, own.context)
-        first = np.flatnonzero(~later)
-        if first_stays:
-            return own.take(first), own.take(later)
-        several = np.diff(np.append(first, len(later))) > 1
-        covered = later.copy()
-        covered[first[several]] = True
-        covered &= ~own.settled
-        reps = own.take(first)
-        reps.columns[-1] = reps.settled | several
-        return reps, own.take(covered)
+def merged(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Ranges as the fewest pairs."""
+    order = np.argsort(low, kind="stable")
+    low, high = low[order], np.maximum.accumulate(high[order])
+    new = np.append(True, low[1:] > high[:-1])
+    return np.stack([low[new], high[np.append(new[1:], True)]], 1)
 
 
 def ranges_by_document(doc_id, tie, low, high) -> Iterator[tuple[int, int, bytes]]:
     """Merged ranges of each document as int32 pairs."""
     order = np.lexsort((low, tie, doc_id))
-    doc_id, tie, low, high = doc_id[order], tie[order], low[order].astype(np.int64), high[order].astype(np.int64)
-    first = np.flatnonzero(~_same_as_before(doc_id, tie))
-    number = np.cumsum(~_same_as_before(doc_id, tie)) - 1
-    shift = number * (1 << 40)
-    reach = np.maximum.accumulate(high + shift) if len(high) else high
-    new = np.ones(len(low), bool)
-    new[1:] = (low + shift)[1:] > reach[:-1]
-    at = np.flatnonzero(new)
-    ends = np.append(at[1:], len(low)) - 1
-    pairs = np.stack([low[at], reach[ends] - shift[ends]], 1).astype("<i4") if len(at) else np.zeros((0, 2), "<i4")
-    bounds = np.append(np.searchsorted(at, first), len(at))
-    for k, row in enumerate(first.tolist()):
-        yield int(doc_id[row]), int(tie[row]), pairs[bounds[k] : bounds[k + 1]].tobytes()
+    doc_id, tie, low, high = doc_id[order], tie[order], low[order], high[order]
+    edges = [*np.flatnonzero(~same_as_before(doc_id, tie)).tolist(), len(low)]
+    for a, b in zip(edges, edges[1:], strict=False):
+        yield int(doc_id[a]), int(tie[a]), merged(low[a:b], high[a:b]).astype("<i4").tobytes()
 
 
 def identity(docs: DataFrame, *also: str) -> DataFrame:
@@ -173,95 +168,160 @@ def identity(docs: DataFrame, *also: str) -> DataFrame:
 
 Units = Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]
 
+FOUND = "doc_id long, tie long, kind int, data binary"
+COVERED, POINTS, MANY = 0, 1, 2
+POINT = np.dtype([("gram", "<u8"), ("at", "<u4")])
+
+
+def found_rows(rows: list[tuple[int, int, int, bytes]]) -> Iterator[pa.RecordBatch]:
+    for low in range(0, len(rows), 20_000):
+        columns = zip(*rows[low : low + 20_000], strict=True)
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["doc_id", "tie", "kind", "data"])
+
 
-def _tasks(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def packed_rows(rows: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
+    for low in range(0, len(rows), 64):
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows[low : low + 64]], pa.int32()), pa.array([r[1] for r in rows[low : low + 64]], pa.binary())], names=["bucket", "packed"])
 
 
-_FOUND = "doc_id long, tie long, kind int, data binary"
-COVERED, OPEN = 0, 1
+def by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
+    """The packed values of one bucket after another, from rows (bucket, packed) sorted by bucket."""
+    held, own = [], None
+    for batch in batches:
+        for b, packed in zip(batch.column("bucket").to_pylist(), batch.column("packed"), strict=True):
+            if b != own and held:
+                yield held
+                held = []
+            own = b
+            held.append(packed.as_buffer())
+    if held:
+        yield held
 
 
-def _found(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
-    columns = list(zip(*rows, strict=True)) if rows else [[]] * 4
-    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["doc_id", "tie", "kind", "data"])
+def dealt(rows: DataFrame) -> DataFrame:
+    return rows.repartition(common.tasks(rows), "bucket").sortWithinPartitions("bucket")
+
+
+def parts(numbers: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(number, rows that have it) of each number below n that occurs."""
+    order = np.argsort(numbers, kind="stable")
+    edges = np.searchsorted(numbers[order], np.arange(n + 1))
+    for k in range(n):
+        if edges[k] < edges[k + 1]:
+            yield k, order[edges[k] : edges[k + 1]]
+
+
+def _points(doc_id, tie, gram, at) -> list[tuple[int, int, int, bytes]]:
+    """Rows of POINTS by document."""
+    order = np.lexsort((at, tie, doc_id))
+    doc_id, tie, points = doc_id[order], tie[order], np.rec.fromarrays([gram[order], at[order]], dtype=POINT)
+    edges = [*np.flatnonzero(~same_as_before(doc_id, tie)).tolist(), len(points)]
+    return [(int(doc_id[a]), int(tie[a]), POINTS, points[a:b].tobytes()) for a, b in zip(edges, edges[1:], strict=False) if a < b]
 
 
 def meet(docs: DataFrame, units_of: Callable[[], Units], shape: Shape) -> DataFrame:
-    """Rows (doc_id, tie, kind, data) of identity(docs): COVERED ranges, and OPEN anchors to be compared. A written table."""
-    tasks = _tasks(docs)
-    buckets = 8 * tasks
+    """Rows (doc_id, tie, kind, data) of identity(docs). A written table.
+
+    POINTS: the document's anchors whose gram occurs at several places. MANY: a gram (as doc_id) with `HOT` contexts or more,
+    and how many (as tie; contexts that several tasks have count once for each).
+    """
+    buckets = 4 * common.tasks(docs)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        units, parts, held = units_of(), [], 0
+        units, held, ids, ties = units_of(), [], [], []
+        docs_held = anchors_held = 0
 
         def pack() -> Iterator[pa.RecordBatch]:
-            reps, covered = Occurrences.joined(parts).settle(shape.first_stays)
-            deal = (reps.gram % _U(buckets)).astype(np.int64)
-            order = np.argsort(deal, kind="stable")
-            bounds = np.searchsorted(deal[order], np.arange(buckets + 1))
-            out = covered.doc_id % buckets  # ranges found here only pass through
-            out_order = np.argsort(out, kind="stable")
-            out_bounds = np.searchsorted(out[out_order], np.arange(buckets + 1))
+            doc, at, gram, context = (np.concatenate(c) for c in zip(*held, strict=True))
+            table, number = np.unique(np.stack([np.concatenate(ids), np.concatenate(ties)], 1), axis=0, return_inverse=True)
+            who = number.reshape(-1)[doc].astype(np.uint32)
+            order = np.lexsort((at, who, gram))
+            order = order[~same_as_before(gram[order], who[order], at[order])]
+            gram, who, at, context = gram[order], who[order], at[order], context[order]
+            first = np.flatnonzero(~same_as_before(gram))
+            places = np.diff(np.append(first, len(gram)))
+            several = np.flatnonzero(np.repeat(places > 1, places))
+            # Of a gram that is here at several places, only the number of its contexts goes on.
+            kinds = np.zeros(len(first), np.uint32)
+            own = several[np.lexsort((context[several], gram[several]))]
+            differs = ~same_as_before(gram[own], context[own])
+            kinds[places > 1] = np.add.reduceat(differs, np.flatnonzero(~same_as_before(gram[own]))) if len(own) else 0
+            done: dict[int, list] = {}
+            for row in _points(table[who[several], 0], table[who[several], 1], gram[several], at[several]):
+                done.setdefault(row[0] % buckets, []).append(row)
+            sent = dict(parts((gram[first] % _U(buckets)).astype(np.int64), buckets))
             rows = []
-            for b in range(buckets):
-                own, done = reps.take(order[bounds[b] : bounds[b + 1]]), covered.take(out_order[out_bounds[b] : out_bounds[b + 1]])
-                if len(own.gram) or len(done.gram):
-                    rows.append((b, pickle.dumps((_small(own.columns), list(ranges_by_document(done.doc_id, done.tie, done.low, done.high))), 5)))
-            for low in range(0, len(rows), 64):
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows[low : low + 64]], pa.int32()), pa.array([r[1] for r in rows[low : low + 64]], pa.binary())], names=["bucket", "packed"])
+            for b in sorted(sent.keys() | done.keys()):
+                own = first[sent.get(b, first[:0])]
+                some, number = np.unique(who[own], return_inverse=True)
+                rows.append((b, pickle.dumps((gram[own], table[some], number.astype(np.uint32), at[own], kinds[sent.get(b, first[:0])], done.get(b, [])), 5)))
+            yield from packed_rows(rows)
 
         for batch in common.slices(batches, "text", 1 << 20):
-            ids, ties = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            doc, at, gram, context, low, high = find(*units(batch.column(2)), shape)
-            parts.append([gram, context, ids[doc], ties[doc], at.astype(np.uint32), low.astype(np.uint32), high.astype(np.uint32), np.zeros(len(at), bool)])
-            held += len(at)
-            if held >= HELD:
+            ids.append(batch.column(0).to_numpy())
+            ties.append(batch.column(1).to_numpy())
+            for doc, at, gram, context in find(*units(batch.column(2)), shape):
+                held.append((doc + docs_held, at.astype(np.uint32), gram, context))
+                anchors_held += len(at)
+            docs_held += len(batch)
+            if anchors_held >= HELD:
                 yield from pack()
-                parts, held = [], 0
-        if held:
+                held, ids, ties, docs_held, anchors_held = [], [], [], 0, 0
+        if anchors_held:
             yield from pack()
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, rows = [], []
-        for batch in batches:
-            for packed in batch.column("packed"):
-                columns, done = pickle.loads(packed.as_buffer())
-                parts.append(_large(columns))
-                rows += [(d, t, COVERED, r) for d, t, r in done]
-        reps, covered = Occurrences.joined(parts).settle(shape.first_stays)
-        rows += [(d, t, COVERED, r) for d, t, r in ranges_by_document(covered.doc_id, covered.tie, covered.low, covered.high)]
-        same = _same_as_before(reps.gram)
-        several = same | np.append(same[1:], False)
-        if not shape.first_stays:  # a gram whose contexts are all settled has nothing left to find
-            first = np.flatnonzero(~same)
-            undone = np.add.reduceat(~reps.settled, first) > 0 if len(first) else np.zeros(0, bool)
-            several &= np.repeat(undone, np.diff(np.append(first, len(same))))
-        left = reps.take(several)
-        left = left.take(np.lexsort((left.at, left.tie, left.doc_id)))
-        first = np.append(np.flatnonzero(~_same_as_before(left.doc_id, left.tie)), len(left.gram))
-        for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
-            rows.append((int(left.doc_id[a]), int(left.tie[a]), OPEN, np.rec.fromarrays([left.gram[a:b], left.at[a:b], left.settled[a:b]], dtype=_POINT).tobytes()))
-        for low in range(0, len(rows), 20_000):
-            yield _found(rows[low : low + 20_000])
-
-    dealt = identity(docs).mapInArrow(scan, "bucket int, packed binary").repartition(tasks, "bucket")
-    return common.settle(dealt.mapInArrow(gather, _FOUND), "anchors")
-
-
-_POINT = np.dtype([("gram", "<u8"), ("at", "<u4"), ("settled", "?")])
-
-
-def _small(columns: list[np.ndarray]) -> list[np.ndarray]:
-    """Documents as numbers into a table, reaches as bytes: about 26 bytes an anchor."""
-    gram, context, doc_id, tie, at, low, high, settled = columns
-    table, number = np.unique(np.stack([doc_id, tie], 1), axis=0, return_inverse=True) if len(gram) else (np.zeros((0, 2), np.int64), np.zeros(0, np.int64))
-    return [gram, context, table, number.reshape(-1).astype(np.uint32), at, (at - low).astype(np.uint8), (high - at).astype(np.uint8), settled]
-
-
-def _large(columns: list[np.ndarray]) -> list[np.ndarray]:
-    gram, context, table, number, at, before, after, settled = columns
-    return [gram, context, table[number, 0], table[number, 1], at, at - before, at + after, settled]
+        for bucket in by_bucket(batches):
+            columns, rows = [], []
+            for packed in bucket:
+                gram, table, number, at, kinds, done = pickle.loads(packed)
+                columns.append((gram, table[number, 0], table[number, 1], at, kinds))
+                rows += done
+            gram, doc_id, tie, at, kinds = (np.concatenate(c) for c in zip(*columns, strict=True))
+            order = np.lexsort((at, tie, doc_id, kinds, gram))
+            gram, doc_id, tie, at, kinds = (c[order] for c in (gram, doc_id, tie, at, kinds))
+            own = ~(same_as_before(gram, kinds, doc_id, tie, at) & (kinds == 0))
+            gram, doc_id, tie, at, kinds = (c[own] for c in (gram, doc_id, tie, at, kinds))
+            first = np.flatnonzero(~same_as_before(gram))
+            if len(first):
+                entries = np.diff(np.append(first, len(gram)))
+                open_ = (entries > 1) | (np.maximum.reduceat(kinds, first) > 0)
+                left = np.flatnonzero(np.repeat(open_, entries) & (kinds == 0))
+                rows += _points(doc_id[left], tie[left], gram[left], at[left])
+                contexts = np.add.reduceat(np.maximum(kinds, 1).astype(np.int64), first)
+                rows += [(int(g), int(n), MANY, b"") for g, n in zip(gram[first[contexts >= HOT]].view(np.int64), contexts[contexts >= HOT], strict=True)]
+            yield from found_rows(rows)
+
+    sent = common.in_arrow(identity(docs), scan, "bucket int, packed binary")
+    return common.settle(common.in_arrow(dealt(sent), gather, FOUND), "anchors")
+
+
+def hot_grams(found: DataFrame) -> frozenset[int]:
+    """Grams with so many contexts that their groups are split: 10,000 at most."""
+    many = found.where(F.col("kind") == MANY)
+    total = many.agg(F.sum("tie")).first()[0]
+    if total is None:
+        return frozenset()
+    rows = many.where(F.col("tie") > total // HOT_SHARE).select("doc_id").collect()
+    return frozenset(r[0] & (1 << 64) - 1 for r in rows)
+
+
+def read_contexts(units, points: np.ndarray, shape: Shape, hot: frozenset[int], join) -> Iterator[tuple[int, int, int, object]]:
+    """(key, place, units before it, context) of each point of a document whose `units` can be sliced.
+
+    join: makes a slice a hashable context, as bytes.
+    """
+    from xxhash import xxh3_64_intdigest
+
+    for gram, at in points.tolist():
+        low = max(0, at - shape.before)
+        context = join(units[low : at + shape.window])
+        if gram not in hot:
+            yield gram, at, at - low, context
+            continue
+        for k, (before, after) in enumerate(shape.key_ranges()):
+            if at - before >= 0 and at + after <= len(units):
+                yield xxh3_64_intdigest(join(units[at - before : at + after]), gram ^ k), at, at - low, context
 
 
 def squeezed(docs: DataFrame, *also: str) -> DataFrame:
@@ -278,60 +338,12 @@ def squeezed(docs: DataFrame, *also: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], packed, *batch.columns[3:]], names=["doc_id", "tie", "packed", *batch.schema.names[3:]])
 
     kind = rows.select("doc_id", "tie", F.lit(None).cast("binary").alias("packed"), *rows.columns[3:]).schema
-    return rows.mapInArrow(work, kind)
-
+    return common.in_arrow(rows, work, kind)
 
-def resolve(docs: DataFrame, found: DataFrame, pieces_of, resolver, shape: Shape) -> DataFrame:
-    """COVERED rows from comparing the contexts of OPEN anchors.
-
-    pieces_of(text, points) gives (bytes of the context, units before the anchor, its first unit's place) of each;
-    resolver(gram, doc_id, tie, at, before, settled, contexts) yields (doc_id, tie, ranges).
-    """
-    tasks = _tasks(docs)
-    buckets = 8 * tasks
-    points = found.where(F.col("kind") == OPEN).groupBy("doc_id", "tie").agg(F.collect_list("data").alias("points"))
-
-    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
-
-        engine, packer = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=3)
-        held: dict[int, list] = {}
-        size = 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            for b, rows in held.items():
-                raw = packer.compress(pickle.dumps(tuple(list(c) for c in zip(*rows, strict=True)), 5))
-                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([raw], pa.binary())], names=["bucket", "packed"])
-
-        for batch in batches:
-            for doc_id, tie, packed, own in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "tie", "packed", "points")), strict=True):
-                point = np.unique(np.frombuffer(b"".join(own), _POINT))
-                text = engine.decompress(packed)
-                for (gram, at, settled), (context, before) in zip(point.tolist(), pieces_of(text, point["at"]), strict=True):
-                    held.setdefault(gram % buckets, []).append((gram, doc_id, tie, at, before, settled, context))
-                    size += len(context) + 100
-                if size > 96 << 20:
-                    yield from flush()
-                    held, size = {}, 0
-        yield from flush()
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
-
-        engine = zstandard.ZstdDecompressor()
-        columns: list[list] = [[] for _ in range(7)]
-        for batch in batches:
-            for packed in batch.column("packed"):
-                for whole, own in zip(columns, pickle.loads(engine.decompress(packed.as_buffer())), strict=True):
-                    whole += own
-        if columns[0]:
-            kinds = (_U, np.int64, np.int64, np.int64, np.int64, bool)
-            rows = [(d, t, COVERED, r) for d, t, r in resolver(*(np.array(c, k) for c, k in zip(columns[:6], kinds, strict=True)), columns[6])]
-            for low in range(0, len(rows), 20_000):
-                yield _found(rows[low : low + 20_000])
 
-    texts = squeezed(docs).join(points, ["doc_id", "tie"])
-    return texts.mapInArrow(fetch, "bucket int, packed binary").repartition(tasks, "bucket").mapInArrow(compare, _FOUND)
+def of_kind(found: DataFrame, kind: int, name: str) -> DataFrame:
+    """doc_id, tie and the list of that kind's data of each document."""
+    return found.where(F.col("kind") == kind).groupBy("doc_id", "tie").agg(F.collect_list("data").alias(name))
 
 
 def cover(docs: DataFrame, covered: DataFrame, finish, schema: str, *also: str) -> DataFrame:
@@ -339,7 +351,6 @@ def cover(docs: DataFrame, covered: DataFrame, finish, schema: str, *also: str)
 
     Gives doc_id, those values, and the columns `also` of docs.
     """
-    ranges = covered.where(F.col("kind") == COVERED).groupBy("doc_id", "tie").agg(F.collect_list("data").alias("ranges"))
     names, kinds = zip(*(c.split() for c in schema.split(", ")), strict=True)
     targets = [{"long": pa.int64(), "string": pa.string()}[k] for k in kinds]
 
@@ -348,18 +359,15 @@ def cover(docs: DataFrame, covered: DataFrame, finish, schema: str, *also: str)
 
         engine = zstandard.ZstdDecompressor()
         for whole in batches:
-            for low in range(0, len(whole), 1000):
-                batch, rows = whole.slice(low, 1000), []
+            for low in range(0, len(whole), 500):
+                batch, rows = whole.slice(low, 500), []
                 for packed, own in zip(batch.column("packed"), batch.column("ranges").to_pylist(), strict=True):
                     pairs = np.frombuffer(b"".join(own or []), "<i4").reshape(-1, 2).astype(np.int64)
-                    if len(pairs) > 1:
-                        zero = np.zeros(len(pairs), np.int64)
-                        pairs = np.frombuffer(next(ranges_by_document(zero, zero, pairs[:, 0], pairs[:, 1]))[2], "<i4").reshape(-1, 2).astype(np.int64)
-                    rows.append(finish(engine.decompress(packed.as_buffer()), pairs))
+                    rows.append(finish(engine.decompress(packed.as_buffer()), merged(pairs[:, 0], pairs[:, 1]) if len(pairs) else pairs))
                 made = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), targets, strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *made, *([batch.column("rest")] if also else [])], names=["doc_id", *names, *(["rest"] if also else [])])
 
-    joined = squeezed(docs, *also).join(ranges, ["doc_id", "tie"], "left")
+    joined = squeezed(docs, *also).join(of_kind(covered, COVERED, "ranges"), ["doc_id", "tie"], "left")
     kind = joined.select("doc_id", *(F.lit(None).cast(k).alias(n) for n, k in zip(names, kinds, strict=True)), *(["rest"] if also else [])).schema
-    done = joined.mapInArrow(work, kind)
+    done = common.in_arrow(joined, work, kind)
     return done.select(F.nullif("doc_id", F.lit(NULL_ID)).alias("doc_id"), *names, *(F.col(f"rest.`{c}`").alias(c) for c in also))

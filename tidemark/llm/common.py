@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
+import gc
 import os
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -85,11 +87,11 @@ def bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, starts - starts[0]
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of about `most` bytes of `column` each, so that long texts don't pile up."""
+def slices(batches: Iterator[pa.RecordBatch], column: str | Callable, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about `most` bytes of `column` (a name, or a function of the batch) each, so that long texts
+    don't pile up."""
     for batch in batches:
-        at = batch.schema.get_field_index(column)
-        size = batch.column(at).cast(pa.large_string()).fill_null("").cast(pa.large_binary())
+        size = (column(batch) if callable(column) else batch.column(batch.schema.get_field_index(column))).cast(pa.large_string()).fill_null("").cast(pa.large_binary())
         ends = np.frombuffer(size.buffers()[1], np.int64)[size.offset : size.offset + len(size) + 1]
         low = 0
         while low < len(batch):
@@ -98,6 +100,27 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 8 << 20)
             low = high
 
 
+def tasks(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def in_arrow(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """df.mapInArrow, after which a worker that waits for its next task gives its free memory back to the system."""
+
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from work(batches)
+        give_back()
+
+    return df.mapInArrow(tidy, schema)
+
+
+def give_back() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(Exception):  # C libraries other than glibc have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Spread 64-bit values (the finalizer of splitmix64)."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -118,7 +141,7 @@ def row_tie(text: Column) -> Column:
 class WordHashes:
     """64-bit hashes of words, each computed once; up to `keep` words are kept."""
 
-    def __init__(self, keep: int = 500_000) -> None:
+    def __init__(self, keep: int = 150_000) -> None:
         from xxhash import xxh3_64_intdigest
 
         self.digest, self.known, self.keep = xxh3_64_intdigest, {}, keep

@@ -18,10 +18,12 @@ are never the smallest of a group with others. Repeated rows link like equal tex
 from __future__ import annotations
 
 import hashlib
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,6 +36,11 @@ COUNTERS = 18
 SLICES = 16
 #: Lists of up to so many sets emit all pairs that sizes and positions allow; longer ones wait for the groups.
 SHORT_LIST = 16
+#: A list of more entries in one task is dealt with there first.
+LONG_IN_TASK = 256
+#: Sets of a long list, or of those compared with one centre, that are in one block; a set counts once more for each
+#: DIFFERENCE bytes of its difference.
+BLOCK, DIFFERENCE = 1_000, 8_000
 NO_ID = (1 << 63) - 1
 _U = np.uint64
 
@@ -74,17 +81,13 @@ def _texts(column: pa.Array) -> list[bytes]:
     return [x.as_buffer().to_pybytes() for x in column.fill_null("").cast(pa.large_string()).cast(pa.large_binary())]
 
 
-def _tasks(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-
 def count_levels(docs: DataFrame) -> np.ndarray:
     """How common each of 2^COUNTERS classes of shingles is, over all documents, as a logarithmic level."""
     size = (1 << COUNTERS) // SLICES
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, total = Shingles(), np.zeros(1 << COUNTERS, np.int64)
-        for batch in common.slices(batches, "text", 4 << 20):
+        for batch in common.slices(batches, "text", 2 << 20):
             own = np.concatenate([np.zeros(0, _U), *shingles.sets(_texts(batch.column(0)))])
             total += np.bincount((own >> _U(64 - COUNTERS)).astype(np.int64), minlength=1 << COUNTERS)
         parts = total.reshape(SLICES, size)
@@ -98,9 +101,9 @@ def count_levels(docs: DataFrame) -> np.ndarray:
         rows = [(k, (8 * np.log2(v + 1)).clip(0, 255).astype(np.uint8).tobytes()) for k, v in totals.items()]
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["slice", "levels"])
 
-    counted = docs.select("text").mapInArrow(count, "slice int, counts binary").repartition(SLICES, "slice")
+    counted = common.in_arrow(docs.select("text"), count, "slice int, counts binary").repartition(SLICES, "slice")
     levels = np.zeros((SLICES, size), np.uint8)
-    for row in counted.mapInArrow(add, "slice int, levels binary").collect():  # 2^COUNTERS bytes, whatever the input
+    for row in common.in_arrow(counted, add, "slice int, levels binary").collect():  # 2^COUNTERS bytes, whatever the input
         levels[row["slice"]] = np.frombuffer(row["levels"], np.uint8)
     return levels.reshape(-1)
 
@@ -115,7 +118,7 @@ def signatures(docs: DataFrame, levels: np.ndarray) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, table = Shingles(), held.value
-        for batch in common.slices(batches, "text", 4 << 20):
+        for batch in common.slices(batches, "text", 2 << 20):
             sizes, highs, lows, prefixes = [], [], [], []
             for own in shingles.sets(_texts(batch.column(3))):
                 digest = hashlib.blake2b(own.tobytes(), digest_size=16).digest()
@@ -127,7 +130,7 @@ def signatures(docs: DataFrame, levels: np.ndarray) -> DataFrame:
             new = [pa.array(sizes, pa.int64()), pa.array(highs, pa.int64()), pa.array(lows, pa.int64()), pa.array(prefixes, pa.binary())]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], *new], names=["doc_id", "id", "tie", "n", "hi", "lo", "prefix"])
 
-    return common.settle(rows.mapInArrow(work, _ROWS), "signatures")
+    return common.settle(common.in_arrow(rows, work, _ROWS), "signatures")
 
 
 _PAIR = np.dtype([("a", "<i8"), ("at", "<i8"), ("b", "<i8"), ("bt", "<i8")])
@@ -149,91 +152,124 @@ def _unique_pairs(a_id, a_tie, b_id, b_tie) -> dict[str, np.ndarray]:
     return {"a_id": pairs["a"], "a_tie": pairs["at"], "b_id": pairs["b"], "b_tie": pairs["bt"]}
 
 
+class _Entries:
+    """Entries of index lists as columns, by gram, then size and position. long: whether the entry stands for a long list."""
+
+    names = ("gram", "id", "tie", "n", "at", "long")
+
+    def __init__(self, columns: list[np.ndarray]):
+        order = np.lexsort((columns[4], columns[3], columns[0]))
+        self.gram, self.id, self.tie, self.n, self.at, self.long = (c[order] for c in columns)
+        self.first = np.searchsorted(self.gram, self.gram)
+        self.size = np.searchsorted(self.gram, self.gram, "right") - self.first
+        # The centre is the smallest set by id, so that lists of the same sets have the same one.
+        self.centre = np.lexsort((self.tie, self.id, self.gram))[self.first]
+
+    def take(self, rows: np.ndarray) -> list[np.ndarray]:
+        return [getattr(self, c)[rows] for c in self.names]
+
+    def star(self, rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Pairs of a list's centre with those of its other sets that may link to it."""
+        centre = self.centre[rows]
+        may = _may_link(self.n, self.at, centre, rows) & (centre != rows)
+        rows, centre = rows[may], centre[may]
+        yield from _listed(STAR, _unique_pairs(self.id[centre], self.tie[centre], self.id[rows], self.tie[rows]))
+
+    def entries(self, rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        centre = self.centre[rows]
+        columns = {"gram": self.gram[rows].view(np.int64), "a_id": self.id[rows], "a_tie": self.tie[rows], "b_id": self.id[centre], "b_tie": self.tie[centre], "n": self.n[rows], "at": self.at[rows]}
+        yield from _listed(LONG, columns)
+
+    def short(self, rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """All pairs without the centre that sizes and positions allow, of lists of `SHORT_LIST` entries at most."""
+        found = [[np.zeros(0, np.int64)] * 4]
+        for step in range(1, SHORT_LIST):
+            a = rows[rows + step < self.first[rows] + self.size[rows]]
+            if not len(a):
+                break
+            b = a + step
+            good = _may_link(self.n, self.at, a, b) & (self.centre[a] != a) & (self.centre[a] != b)
+            a, b = a[good], b[good]
+            flip = (self.id[a] > self.id[b]) | ((self.id[a] == self.id[b]) & (self.tie[a] > self.tie[b]))
+            a, b = np.where(flip, b, a), np.where(flip, a, b)
+            found.append([self.id[a], self.tie[a], self.id[b], self.tie[b]])
+        yield from _listed(SHORT, _unique_pairs(*(np.concatenate([f[k] for f in found]) for k in range(4))))
+
+
+_SENT = "bucket int, packed binary, " + _LISTED
+
+
+def _beside(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of _LISTED as rows of _SENT, dealt anywhere."""
+    for batch in rows:
+        n = len(batch)
+        yield pa.RecordBatch.from_arrays([pa.array(batch.column(2).to_numpy() % 1024 - 1024, pa.int32()), pa.nulls(n, pa.binary()), *batch.columns], names=["bucket", "packed", *batch.schema.names])
+
+
 def lists(vertices: DataFrame) -> DataFrame:
-    """From vertices(id, tie, n, prefix): STAR and SHORT pairs that may link, and the entries of LONG lists. A written table."""
-    tasks = _tasks(vertices)
-    buckets = 8 * tasks
+    """From vertices(id, tie, n, prefix): STAR and SHORT pairs that may link, and the entries of LONG lists. A written table.
+
+    A list that is long within a task already has a centre of its own there, and only that centre goes on.
+    """
+    tasks = common.tasks(vertices)
+    buckets = 4 * tasks
+    names = [c.split()[0] for c in _LISTED.split(", ")]
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: list[tuple] = []
+        rows: list[tuple] = []
         held = 0
 
         def pack() -> Iterator[pa.RecordBatch]:
-            ids, ties, sizes = (np.array(x, np.int64) for x in zip(*[p[:3] for p in parts], strict=True))
-            lengths = np.array([len(p[3]) for p in parts])
-            grams = np.concatenate([p[3] for p in parts])
-            who = np.repeat(np.arange(len(parts)), lengths)
-            at = np.arange(len(grams)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-            to = (grams % _U(buckets)).astype(np.int64)
-            order = np.argsort(to, kind="stable")
-            bounds = np.searchsorted(to[order], np.arange(buckets + 1))
-            for b in range(buckets):
-                own = order[bounds[b] : bounds[b + 1]]
-                if len(own):
-                    some, number = np.unique(who[own], return_inverse=True)
-                    raw = [np.array([len(own), len(some)], "<i8"), grams[own].astype("<u8"), ids[some], ties[some], sizes[some], number.astype("<u4"), at[own].astype("<u4")]
-                    yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([b"".join(x.tobytes() for x in raw)], pa.binary())], names=["bucket", "packed"])
+            ids, ties, sizes = (np.array(x, np.int64) for x in list(zip(*rows, strict=True))[:3])
+            lengths = np.array([len(r[3]) for r in rows])
+            who = np.repeat(np.arange(len(rows)), lengths)
+            at = np.arange(len(who)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+            own = _Entries([np.concatenate([r[3] for r in rows]), ids[who], ties[who], sizes[who], at, np.zeros(len(who), bool)])
+            long = own.size > LONG_IN_TASK
+            here = np.flatnonzero(long)
+            yield from _beside(own.star(here))
+            yield from _beside(own.entries(here))
+            own.long = long
+            left = own.take(np.flatnonzero(~long | (own.centre == np.arange(len(long)))))
+            made = [(b, pickle.dumps([c[part] for c in left], 5)) for b, part in anchors.parts((left[0] % _U(buckets)).astype(np.int64), buckets)]
+            for batch in anchors.packed_rows(made):
+                n = len(batch)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.nulls(n, pa.int32()), *[pa.nulls(n, pa.int64())] * 7], names=["bucket", "packed", *names])
 
         for batch in batches:
             for id_, tie, n, prefix in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                parts.append((id_, tie, n, np.frombuffer(prefix, "<u8")))
+                rows.append((id_, tie, n, np.frombuffer(prefix, "<u8")))
                 held += len(prefix) // 8
-                if held >= 4_000_000:
+                if held >= 1_000_000:
                     yield from pack()
-                    parts, held = [], 0
-        if parts:
+                    rows, held = [], 0
+        if rows:
             yield from pack()
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams, ids, ties, sizes, places = [], [], [], [], []
-        for batch in batches:
-            for packed in batch.column("packed"):
-                raw = packed.as_buffer().to_pybytes()
-                n, m = np.frombuffer(raw, "<i8", 2).tolist()
-                own = np.frombuffer(raw, "<i8", 3 * m, 16 + 8 * n).reshape(3, m)
-                number = np.frombuffer(raw, "<u4", n, 16 + 8 * n + 24 * m)
-                grams.append(np.frombuffer(raw, "<u8", n, 16))
-                for to, x in zip((ids, ties, sizes), own, strict=True):
-                    to.append(x[number])
-                places.append(np.frombuffer(raw, "<u4", n, 16 + 12 * n + 24 * m).astype(np.int64))
-        if not grams:
-            return
-        gram, id_, tie, n, at = (np.concatenate(x) for x in (grams, ids, ties, sizes, places))
-        order = np.argsort(gram, kind="stable")
-        twice = gram[order][1:] == gram[order][:-1]
-        order = order[np.append(twice, False) | np.append(False, twice)]
-        if not len(order):
-            return
-        gram, id_, tie, n, at = (x[order] for x in (gram, id_, tie, n, at))
-        order = np.lexsort((at, n, gram))  # blocks of one size, by position
-        gram, id_, tie, n, at = (x[order] for x in (gram, id_, tie, n, at))
-        first = np.searchsorted(gram, gram)
-        size = np.searchsorted(gram, gram, "right") - first
-        # The centre is the smallest set by id, so that lists of the same sets have the same one.
-        by = np.lexsort((tie, id_, gram))
-        centre = by[first]
-        rim = centre != np.arange(len(gram))
-        may = _may_link(n, at, centre, np.arange(len(gram))) & rim
-        yield from _listed(STAR, _unique_pairs(id_[centre[may]], tie[centre[may]], id_[may], tie[may]))
-        # The centre may be unlike the others: every other pair is kept until the comparisons with centres are known.
-        short = np.flatnonzero((size <= SHORT_LIST) & (size > 2))
-        found = [[np.zeros(0, np.int64)] * 4]
-        for step in range(1, SHORT_LIST):
-            a = short[short + step < first[short] + size[short]]
-            if not len(a):
-                break
-            b = a + step
-            good = _may_link(n, at, a, b) & rim[a] & rim[b]
-            a, b = a[good], b[good]
-            flip = (id_[a] > id_[b]) | ((id_[a] == id_[b]) & (tie[a] > tie[b]))
-            a, b = np.where(flip, b, a), np.where(flip, a, b)
-            found.append([id_[a], tie[a], id_[b], tie[b]])
-        yield from _listed(SHORT, _unique_pairs(*(np.concatenate([f[k] for f in found]) for k in range(4))))
-        long = np.flatnonzero(size > SHORT_LIST)
-        yield from _listed(LONG, {"gram": gram[long].view(np.int64), "a_id": id_[long], "a_tie": tie[long], "b_id": id_[centre[long]], "b_tie": tie[centre[long]], "n": n[long], "at": at[long]})
-
-    dealt = vertices.select("id", "tie", "n", "prefix").mapInArrow(deal, "bucket int, packed binary").repartition(tasks, "bucket")
-    return common.settle(dealt.mapInArrow(gather, _LISTED), "lists")
+        def packed() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                beside = pc.is_null(batch.column("packed"))
+                done = batch.filter(beside)
+                if len(done):
+                    passing.append(done.select(names))
+                yield batch.filter(pc.invert(beside))
+
+        passing: list[pa.RecordBatch] = []
+        for bucket in anchors.by_bucket(packed()):
+            own = _Entries([np.concatenate(c) for c in zip(*map(pickle.loads, bucket), strict=True)])
+            own = _Entries(own.take(np.flatnonzero((own.size > 1) | own.long)))
+            rows = np.arange(len(own.gram))
+            long = (own.size > SHORT_LIST) | (np.add.reduceat(own.long.astype(np.int64), np.unique(own.first)) > 0)[np.cumsum(own.first == rows) - 1] if len(rows) else np.zeros(0, bool)
+            yield from own.star(rows)
+            yield from own.short(rows[~long & (own.size > 2)])
+            yield from own.entries(rows[long])
+            yield from passing
+            passing.clear()
+        yield from passing
+
+    sent = common.in_arrow(vertices.select("id", "tie", "n", "prefix"), deal, _SENT).repartition(tasks, "bucket").sortWithinPartitions("bucket")
+    return common.settle(common.in_arrow(sent, gather, _LISTED), "lists")
 
 
 def _may_link(n: np.ndarray, at: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -273,13 +309,55 @@ def compare(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
     named = lambda v: texts.select(F.col("v").alias(v), F.col("packed").alias(f"{v}_text"))
     joined = pairs.join(named("b"), "b").join(named("a"), "a").select("a", "b", "a_text", "b_text")
-    return common.settle(joined.mapInArrow(work, _VERIFIED), "compared")
+    return common.settle(common.in_arrow(joined, work, _VERIFIED), "compared")
 
 
 def _linked() -> Column:
     return 180 * F.col("overlap") >= 80 * (F.col("n") + F.col("m"))
 
 
+def in_cells(rows: DataFrame, key: str, root: str, each: Column, size: Column) -> DataFrame:
+    """Deal the rows of each key that has several roots into cells, so that any two of different roots meet in one.
+
+    Rows of the key's largest root are in blocks of some `BLOCK` by `size`, and so are the others; a cell has a block of the one
+    and a block of the other, or two blocks of the others. Adds cell, side and whole: rows of a cell are to be compared if
+    they are on different sides, or all of them if it is whole. `each` tells a key's rows apart.
+    """
+    own = rows.groupBy(key, root).agg(F.sum(size).alias("size"))
+    sums = own.groupBy(key).agg(F.sum("size").alias("total"), F.max(F.struct("size", root)).alias("top")).where(F.col("top.size") < F.col("total"))
+    count = lambda size: F.ceil(size / BLOCK).cast("int")
+    sums = sums.select(key, F.col(f"top.{root}").alias("top"), count(F.col("top.size")).alias("tops"), count(F.col("total") - F.col("top.size")).alias("others"))
+    dealt = rows.join(common.settle(sums, "cells"), key)
+    is_top = F.col(root) == F.col("top")
+    block = F.pmod(F.xxhash64(each), F.when(is_top, F.col("tops")).otherwise(F.col("others"))).cast("int")
+    cell = lambda x, y, side, whole: F.struct(x.alias("x"), y.alias("y"), side.alias("side"), whole.alias("whole"))
+    zero, no = F.lit(0), F.lit(False)
+    upto = lambda n: F.sequence(zero, F.col(n) - 1)
+    with_tops = F.transform(upto("tops"), lambda x: cell(x, F.col("block"), F.lit(1), no))
+    with_others = F.transform(upto("others"), lambda y: cell(-1 - F.least(y, "block"), F.greatest(y, "block"), F.col("block"), y == F.col("block")))
+    cells = F.when((F.col("tops") == 1) & (F.col("others") == 1), F.array(cell(zero, zero, zero, F.lit(True))))
+    cells = cells.when(is_top, F.transform(upto("others"), lambda y: cell(F.col("block"), y, zero, no))).otherwise(F.concat(with_tops, with_others))
+    dealt = dealt.withColumn("block", block).withColumn("cell", F.explode(cells))
+    return dealt.select(*rows.columns, F.struct(key, "cell.x", "cell.y").alias("cell"), "cell.side", "cell.whole")
+
+
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of one cell after another, from rows sorted by cell."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not len(batch):
+            continue
+        cells = batch.column("cell").to_pylist()
+        edges = [0, *(k for k in range(1, len(cells)) if cells[k] != cells[k - 1]), len(cells)]
+        for low, high in zip(edges, edges[1:], strict=False):
+            if held and held[0].column("cell")[0].as_py() != cells[low]:
+                yield _one(held)
+                held = []
+            held.append(batch.slice(low, high - low))
+    if held:
+        yield _one(held)
+
+
 class _Merged:
     """Labels that have been found to be one."""
 
@@ -292,32 +370,40 @@ class _Merged:
         return x
 
 
+_LINK = "a_id long, a_tie long, b_id long, b_tie long"
+
+
 def derived_links(members: DataFrame) -> DataFrame:
     """Links between different groups among sets compared with one centre, from their differences to it.
 
-    members(a, b, n, m, overlap, apart, a_root, b_root): centre a, set b. At most one link per set and group is given.
+    members(a, b, n, m, overlap, apart, b_root): centre a, set b. At most one link per set and group of a cell is given.
     """
 
-    def links(rows: list[tuple]) -> list[tuple[int, int, int, int]]:
-        centre, size, label = rows[0][0], rows[0][2], rows[0][6]
-        who = [centre, *(r[1] for r in rows)]
-        n = np.array([size, *(r[3] for r in rows)])
-        lost = np.array([0, *(r[2] - r[4] for r in rows)])
-        root = np.array([label, *(r[7] for r in rows)])
-        parts = [np.zeros(0, "<u8"), *(np.frombuffer(r[5], "<u8") for r in rows)]
+    def links(rows: pa.RecordBatch) -> list[tuple[int, int, int, int]]:
+        column = lambda c: rows.column(c).to_numpy(zero_copy_only=False)
+        who = list(zip(rows.column("b").field(0).to_pylist(), rows.column("b").field(1).to_pylist(), strict=True))
+        centre, n, root, side = int(column("n")[0]), column("m"), column("b_root"), column("side")
+        lost = centre - column("overlap")
+        parts = [np.frombuffer(x.as_buffer(), "<u8") for x in rows.column("apart")]
         lengths = np.array([len(p) for p in parts])
         ends = np.cumsum(lengths)
         values, element = np.unique(np.concatenate(parts), return_inverse=True)
         holder = np.repeat(np.arange(len(parts)), lengths)[np.argsort(element, kind="stable")]
         bounds = np.append(0, np.cumsum(np.bincount(element, minlength=len(values))))
-        labels, times = np.unique(root, return_counts=True)
-        largest, merged, out = labels[times.argmax()], _Merged(), []
-        for x in np.flatnonzero(root != largest).tolist():
+        if column("whole")[0]:
+            labels, times = np.unique(root, return_counts=True)
+            asking, other = root != labels[times.argmax()], np.ones(len(who), bool)
+        else:  # the smaller side asks
+            sides, times = np.unique(side, return_counts=True)
+            asking = side == sides[times.argmin()] if len(sides) > 1 else np.zeros(len(who), bool)
+            other = ~asking
+        merged, out = _Merged(), []
+        for x in np.flatnonzero(asking).tolist():
             own = element[ends[x] - lengths[x] : ends[x]]
             low, count = bounds[own], bounds[own + 1] - bounds[own]
             at = np.repeat(low - np.append(0, np.cumsum(count)[:-1]), count) + np.arange(count.sum()) if len(own) else own
-            overlap = size - lost[x] - lost + np.bincount(holder[at], minlength=len(who))
-            near = np.flatnonzero((180 * overlap >= 80 * (n[x] + n)) & (root != root[x]))
+            overlap = centre - lost[x] - lost + np.bincount(holder[at], minlength=len(who))
+            near = np.flatnonzero((180 * overlap >= 80 * (n[x] + n)) & (root != root[x]) & other)
             for y in near[np.unique(root[near], return_index=True)[1]].tolist():
                 a, b = merged.of(int(root[x])), merged.of(int(root[y]))
                 if a != b:
@@ -326,70 +412,48 @@ def derived_links(members: DataFrame) -> DataFrame:
         return out
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
+        for rows in _cells(batches):
+            found = links(rows)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*found, strict=True) if found else [[]] * 4)], names=["a_id", "a_tie", "b_id", "b_tie"])
 
-        def give(found: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*found, strict=True) if found else [[]] * 4)], names=["a_id", "a_tie", "b_id", "b_tie"])
-
-        for batch in batches:
-            v = lambda c: list(zip(batch.column(c).field(0).to_pylist(), batch.column(c).field(1).to_pylist(), strict=True))  # noqa: B023, E731
-            for row in zip(v(0), v(1), *(batch.column(k).to_pylist() for k in range(2, 8)), strict=True):
-                if held and held[0][0] != row[0]:
-                    yield give(links(held))
-                    held = []
-                held.append(row)
-        if held:
-            yield give(links(held))
-
-    several = members.groupBy("a").agg(F.min(F.least("a_root", "b_root")).alias("low"), F.max(F.greatest("a_root", "b_root")).alias("high")).where("low < high").select("a")
-    rows = members.select("a", "b", "n", "m", "overlap", "apart", "a_root", "b_root").join(several, "a", "left_semi")
-    rows = rows.repartition(_tasks(members), "a").sortWithinPartitions("a", "b")
-    return rows.mapInArrow(work, "a_id long, a_tie long, b_id long, b_tie long")
+    rows = members.select("a", "b", "n", "m", "overlap", "apart", "b_root")
+    rows = in_cells(rows, "a", "b_root", F.col("b"), 1 + F.length("apart") / DIFFERENCE)
+    rows = rows.repartition(common.tasks(members), "cell").sortWithinPartitions("cell", "b")
+    return common.in_arrow(rows, work, _LINK)
 
 
 def _across(entries: DataFrame) -> DataFrame:
     """Pairs of LONG lists' entries in different groups, without a common centre, that sizes, positions and distances allow."""
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-
-        def pairs(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-            id_, tie = rows.column("id").to_numpy(), rows.column("tie").to_numpy()
-            root, home = rows.column("root").to_numpy(), rows.column("home").to_numpy()
-            if (root == root[0]).all():
-                return
-            n, at = rows.column("n").to_numpy(), rows.column("at").to_numpy()
-            far = rows.column("far").to_numpy(zero_copy_only=False)
-            far = np.where(np.isnan(far), np.inf, far)
-            alone = np.arange(len(n))
-            for a in range(len(n) - 1):
-                rest = alone[a + 1 :]
-                rest = rest[: np.searchsorted(n, n[a] * 5 // 4 + 1, "right") - a - 1]  # larger blocks can't link
-                good = (root[rest] != root[a]) & (home[rest] != home[a]) & (np.minimum(n[a] - at[a], n[rest] - at[rest]) >= needed(n[a], n[rest]))
-                known = np.isfinite(far[rest]) & np.isfinite(far[a])
-                with np.errstate(invalid="ignore"):
-                    good &= ~known | (np.abs(far[rest] - far[a]) <= 0.2 + 1e-9)
-                rest = rest[good]
-                if len(rest):
-                    one = np.full(len(rest), id_[a]), np.full(len(rest), tie[a])
-                    flip = (one[0] > id_[rest]) | ((one[0] == id_[rest]) & (one[1] > tie[rest]))
-                    cols = [np.where(flip, id_[rest], one[0]), np.where(flip, tie[rest], one[1]), np.where(flip, one[0], id_[rest]), np.where(flip, one[1], tie[rest])]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["a_id", "a_tie", "b_id", "b_tie"])
+    def pairs(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        id_, tie, root, home, n, at, side = (rows.column(c).to_numpy() for c in ("id", "tie", "root", "home", "n", "at", "side"))
+        centre, far = rows.column("centre").to_numpy(), rows.column("far").to_numpy(zero_copy_only=False)
+        far = np.where(np.isnan(far), np.inf, far)
+        whole = rows.column("whole")[0].as_py()
+        alone = np.arange(len(n))
+        for a in range(len(n) - 1):
+            rest = alone[a + 1 :]
+            rest = rest[: np.searchsorted(n, n[a] * 5 // 4 + 1, "right") - a - 1]  # larger blocks can't link
+            good = (root[rest] != root[a]) & (home[rest] != home[a]) & (np.minimum(n[a] - at[a], n[rest] - at[rest]) >= needed(n[a], n[rest]))
+            if not whole:
+                good &= side[rest] != side[a]
+            known = (centre[rest] == centre[a]) & np.isfinite(far[rest]) & np.isfinite(far[a])
+            with np.errstate(invalid="ignore"):
+                good &= ~known | (np.abs(far[rest] - far[a]) <= 0.2 + 1e-9)
+            rest = rest[good]
+            if len(rest):
+                one = np.full(len(rest), id_[a]), np.full(len(rest), tie[a])
+                flip = (one[0] > id_[rest]) | ((one[0] == id_[rest]) & (one[1] > tie[rest]))
+                cols = [np.where(flip, id_[rest], one[0]), np.where(flip, tie[rest], one[1]), np.where(flip, one[0], id_[rest]), np.where(flip, one[1], tie[rest])]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["a_id", "a_tie", "b_id", "b_tie"])
 
-        for batch in batches:
-            at = 0
-            gram = batch.column("gram").to_numpy()
-            for end in [*(np.flatnonzero(np.diff(gram)) + 1).tolist(), len(gram)]:
-                if held and held[0].column("gram")[0].as_py() != int(gram[at]):
-                    yield from pairs(_one(held))
-                    held = []
-                held.append(batch.slice(at, end - at))
-                at = end
-        if held:
-            yield from pairs(_one(held))
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _cells(batches):
+            yield from pairs(rows)
 
-    rows = entries.repartition(_tasks(entries), "gram").sortWithinPartitions("gram", "n", "at", "id", "tie")
-    return rows.mapInArrow(work, "a_id long, a_tie long, b_id long, b_tie long")
+    rows = in_cells(entries, "gram", "root", F.struct("id", "tie"), F.lit(1))
+    rows = rows.repartition(common.tasks(entries), "cell").sortWithinPartitions("cell", "n", "at", "id", "tie")
+    return common.in_arrow(rows, work, _LINK)
 
 
 def _one(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
@@ -420,7 +484,7 @@ def join(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     label = lambda v: F.xxhash64(v)
     root = lambda v: groups.select(F.col("v").alias(v), label("root").alias(f"{v}_root"))
     rooted = lambda df: df.join(root("a"), "a", "left").join(root("b"), "b", "left").withColumns({f"{v}_root": F.coalesce(f"{v}_root", label(v)) for v in "ab"})
-    derived = derived_links(rooted(first.where("apart is not null"))).select(_vertex("a"), _vertex("b"))
+    derived = derived_links(rooted(first.where("apart is not null")).select("a", "b", "n", "m", "overlap", "apart", "b_root")).select(_vertex("a"), _vertex("b"))
     # What is left: pairs of lists without a common centre. A set's home is the smallest centre that is half like it.
     centres = first.select(F.col("a").alias("v"), F.col("a").alias("home")).distinct()
     homes = first.where("apart is not null").select(F.col("b").alias("v"), F.col("a").alias("home")).unionByName(centres)
@@ -433,7 +497,7 @@ def join(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     entries = entries.join(groups, "v", "left").join(homes, "v", "left").join(far, ["centre", "v"], "left")
     entries = entries.select(
         "gram", "v.id", "v.tie", "n", "at", label(F.coalesce("root", "v")).alias("root"), F.coalesce("home", label("v")).alias("home"),
-        F.when(F.col("v") == F.col("centre"), 0.0).otherwise(F.col("far")).cast("double").alias("far"),
+        label("centre").alias("centre"), F.when(F.col("v") == F.col("centre"), 0.0).otherwise(F.col("far")).cast("double").alias("far"),
     )
     across = _across(entries).select(_vertex("a"), _vertex("b")).distinct()
     seen = first.select("a", "b").unionByName(first.select(F.col("b").alias("a"), F.col("a").alias("b")))

@@ -1,10 +1,12 @@
 """Best-fit packing of token pieces into sequences of a fixed capacity, by exact-complement hashing.
 
 Only the number of pieces of each length matters, so packing plans on a histogram of at most `capacity` counts. The
-longest piece opens a sequence; its gap is looked up in tables of single lengths, pair sums and triple sums, and a
-combination that fills the gap exactly is consumed as often as the counts allow. What no combination completes is placed
-best-fit, longest first. The plan is a list of patterns (lengths in a sequence, how many sequences); a piece finds its place by
-its rank among all pieces of its length.
+longest piece opens a sequence; its gap is looked up in an index of single lengths, pair sums and triple sums, and the
+combinations that fill it exactly are consumed as often as the counts allow. Combinations of two and three serve gaps of up
+to an eighth of the capacity (`NARROW`): there short pieces are of most use, and wider gaps would take them from
+longer openers, which then stay alone; a wider gap takes one exact piece. What nothing completes is placed best-fit, longest
+first. The plan is a list of patterns (lengths in a sequence, how many sequences); a piece finds its place by its rank among
+all pieces of its length.
 
 Ranks need no shuffle of documents: each task numbers its own pieces by length, and a table of counts by task and length
 gives each task's first rank. Null text is an empty document (the end id alone); repeated doc_ids are packed each for itself.
@@ -28,6 +30,8 @@ from .tokens import encoder as open_encoder
 
 CAPACITY = 1024
 END_ID = 2
+#: Combinations of two and three pieces fill gaps of up to capacity // NARROW.
+NARROW = 8
 
 
 def cuts(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -36,47 +40,36 @@ def cuts(n: int, capacity: int) -> list[tuple[int, int]]:
     return [(0, min(n, first))] + [(s, capacity) for s in range(first, n, capacity)]
 
 
-def _filling(gap: int, left: np.ndarray, most: int) -> tuple[int, ...] | None:
-    """Up to `most` (three at the most) available lengths that sum to the gap exactly; fewest pieces first."""
-    if most and left[gap]:
-        return (gap,)
-    if most < 2:
-        return None
-    have = left[: gap + 1]
-    a = np.arange((gap + 1) // 2, gap)  # the longer of two
-    fits = a[(have[a] > 0) & (have[gap - a] > (a == gap - a))]
-    if len(fits):
-        return int(fits[-1]), int(gap - fits[-1])
-    if most < 3:
-        return None
-    known = np.flatnonzero(have)
-    for x in known[::-1]:
-        if 3 * x < gap:
-            return None
-        rest = gap - x
-        a = known[(known <= x) & (2 * known >= rest) & (known < rest)]
-        need = np.zeros(len(a), np.int64) + 1
-        other = rest - a
-        ok = (have[a] >= need + (a == x)) & (have[other] >= 1 + (other == a) + (other == x))
-        if ok.any():
-            y = int(a[ok][-1])
-            return int(x), y, int(rest - y)
-    return None
+class Sums:
+    """Combinations of available lengths by their sum. Pair sums are indexed when they are first looked up; triples are a
+    length and a pair."""
 
+    def __init__(self, left: np.ndarray):
+        self.left = left
+        self.pairs: dict[int, list[tuple[int, int]]] = {}
 
-Patterns = list[tuple[tuple[int, ...], int]]
+    def _pairs(self, total: int) -> list[tuple[int, int]]:
+        """Pairs (longer, shorter) with this sum of lengths that were available at the first look-up, longest first."""
+        if total not in self.pairs:
+            self.pairs[total] = [(a, total - a) for a in range(total - 1, (total - 1) // 2, -1) if self.left[a] and self.left[total - a]]
+        return self.pairs[total]
 
+    def filling(self, gap: int, most: int) -> Iterator[tuple[int, ...]]:
+        """Combinations of up to `most` (three at the most) lengths that fill the gap; fewest pieces first."""
+        yield (gap,)
+        if most > 1:
+            yield from self._pairs(gap)
+        if most > 2:
+            for x in range(gap - 2, (gap - 1) // 3, -1):
+                if self.left[x]:
+                    yield from ((x, a, b) for a, b in self._pairs(gap - x) if a <= x)
 
-def plan(counts: dict[int, int], capacity: int) -> Patterns:
-    """Patterns (lengths, times) that together hold exactly `counts` pieces of each length.
 
-    Filling gaps with two or three short pieces can leave long ones alone, so the plans that look up triples, pairs and
-    singles at the most are all made (they take milliseconds), and best fit alone as well; the shortest wins.
-    """
-    return min((_plan(counts, capacity, most) for most in (3, 2, 1, 0)), key=lambda p: sum(times for _, times in p))
+Patterns = list[tuple[tuple[int, ...], int]]
 
 
-def _plan(counts: dict[int, int], capacity: int, most: int) -> Patterns:
+def plan(counts: dict[int, int], capacity: int) -> Patterns:
+    """Patterns (lengths, times) that together hold exactly `counts` pieces of each length."""
     left = np.zeros(capacity + 1, np.int64)
     for length, n in counts.items():
         left[length] = n
@@ -84,19 +77,21 @@ def _plan(counts: dict[int, int], capacity: int, most: int) -> Patterns:
     if left[capacity]:
         made.append(((capacity,), int(left[capacity])))
         left[capacity] = 0
+    sums = Sums(left)
     for length in range(capacity - 1, 0, -1):
-        while left[length]:
-            left[length] -= 1
-            rest = _filling(capacity - length, left, most)
-            left[length] += 1
-            if rest is None:
-                break
+        gap = capacity - length
+        for rest in sums.filling(gap, 3 if gap <= capacity // NARROW else 1) if left[length] else ():
             pattern = (length, *rest)
             times = min(int(left[x]) // n for x, n in Counter(pattern).items())
-            for x in pattern:
-                left[x] -= times
-            made.append((pattern, times))
-    # Best fit over what is left, many equal pieces and equal sequences at a time.
+            if times:
+                for x in pattern:
+                    left[x] -= times
+                made.append((pattern, times))
+    return made + _best_fit(left, capacity)
+
+
+def _best_fit(left: np.ndarray, capacity: int) -> Patterns:
+    """Patterns of the remaining pieces, longest first into the tightest space; many equal pieces and sequences at a time."""
     free: dict[int, list[list]] = defaultdict(list)  # free space -> [[lengths, times]]
     for length in [x for x in range(capacity - 1, 0, -1) if left[x]]:
         n = int(left[length])
@@ -115,7 +110,7 @@ def _plan(counts: dict[int, int], capacity: int, most: int) -> Patterns:
                 free[space].append([lengths, times - used])
             free[space - length].append([(*lengths, length), used])
             n -= used
-    return made + [(tuple(lengths), times) for open_ in free.values() for lengths, times in open_]
+    return [(tuple(lengths), times) for open_ in free.values() for lengths, times in open_]
 
 
 def slots(patterns: Patterns) -> list[tuple[int, int, int, int, int]]:

@@ -1,30 +1,40 @@
 """Substring dedup: remove every word that lies in a passage of 35 words which occurs more than once in the corpus.
 
-`anchors` confirms recurring passages: places whose whole neighbourhood (62 words) occurs again are settled by its digest, and
-one of each different neighbourhood goes on. Those are dealt out by anchor, so that every passage has one shard. A shard finds
-the windows that recur, confirms them word by word, joins them into phrases, compiles the phrases into Aho-Corasick
-automata over an alphabet with a letter per word, and streams the documents' passages through them to locate every
-occurrence.
+1. `anchors` finds the places whose neighbourhood can recur. Documents are put in groups of about 1 MB, and each group lists its
+   different passages there (up to 62 words), once each.
+2. `_confirm` brings equal and similar passages of all groups together and compares them word by word. What occurs at two
+   places or more is a confirmed phrase: a whole passage, or a run of its windows.
+3. A group's confirmed phrases are compiled into Aho-Corasick automata with a letter per word, in shards of `SHARD` words. All
+   documents of the group are streamed through them; the words removed are those that the automata find, wherever
+   and however often they occur. A group is a shard of the corpus: its automata need no phrase that its documents don't have.
 
-Words are runs of bytes other than \\x20 and \\x09-\\x0D, unchanged. Null text has none. See `anchors` for repeated doc_ids.
+Words are runs of bytes other than \\x20 and \\x09-\\x0D, unchanged. Null text has none. Rows that share doc_id and text are one
+document, and its words don't recur by that.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import pickle
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import anchors, common
 
 WINDOW, GRAM = 35, 8
-SHAPE = anchors.Shape(WINDOW, GRAM, first_stays=False)
-#: Letters in one automaton's phrases at the most (some 100 MB).
-LETTERS = 1_500_000
+SHAPE = anchors.Shape(WINDOW, GRAM)
+#: Bytes of text in a group of documents, of passages that a task collects, and of passages that are compared at once.
+GROUPED, COLLECTED, COMPARED = 1 << 20, 24 << 20, 4 << 20
+#: Words of the phrases in one automaton (some 30 MB).
+SHARD = 300_000
+#: The letter of words that no phrase has; words of phrases take the letters after it.
+_OTHER = "\x01"
+PASSAGE = np.dtype([("key", "<u8"), ("doc", "<u4"), ("low", "<u4"), ("high", "<u4"), ("several", "?")])
 
 
 def units_of():
@@ -38,105 +48,259 @@ def units_of():
     return units
 
 
-def contexts_of(text: bytes, places: np.ndarray) -> Iterator[tuple[bytes, int]]:
-    words = text.split()
-    for at in places.tolist():
-        low = max(0, at - SHAPE.before)
-        yield b" ".join(words[low : at + WINDOW]), at - low
+def _groups(texts: DataFrame, hot: frozenset[int]) -> DataFrame:
+    """Documents in groups, each with its different passages, from texts(doc_id, tie, packed, points). A written table."""
 
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
 
-def resolver(gram, doc_id, tie, at, before, settled, contexts) -> Iterator[tuple[int, int, bytes]]:
-    del settled
-    hashes = common.WordHashes()
-    order = np.argsort(gram, kind="stable")
-    gram, doc_id, tie, low = gram[order], doc_id[order], tie[order], (at - before)[order]
-    lists = [contexts[k].split() for k in order.tolist()]
-    lengths = np.array([len(x) for x in lists])
-    # Whole groups of a gram at a time, as many as one automaton takes.
-    groups = np.append(np.flatnonzero(np.append(True, gram[1:] != gram[:-1])), len(gram))
-    before_group = np.append(0, np.cumsum(lengths))[groups]
+        opener, packer = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=3)
+        first, made = TaskContext.get().partitionId() << 32, 0
+        docs, seen, rows, size = [], {}, [], 0
+
+        def give() -> pa.RecordBatch:
+            raw = packer.compress(pickle.dumps((docs, np.array(rows, PASSAGE)), 5))
+            return pa.RecordBatch.from_arrays([pa.array([first + made], pa.int64()), pa.array([raw], pa.binary())], names=["group", "packed"])
+
+        for batch in batches:
+            for doc_id, tie, packed, own in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "tie", "packed", "points")), strict=True):
+                text = opener.decompress(packed)
+                words = text.split() if own else []
+                points = np.unique(np.frombuffer(b"".join(own or []), anchors.POINT))
+                for key, at, before, context in anchors.read_contexts(words, points, SHAPE, hot, b" ".join):
+                    known = seen.get((key, context))
+                    if known is None:
+                        seen[key, context] = len(rows)
+                        rows.append((key, len(docs), at - before, min(len(words), at + WINDOW), False))
+                    else:
+                        k, d, low, high, _ = rows[known]
+                        first_place = (*(docs[d][:2] if d < len(docs) else (doc_id, tie)), low)
+                        if first_place != (doc_id, tie, at - before):
+                            rows[known] = (k, d, low, high, True)
+                docs.append((doc_id, tie, text))
+                size += len(text) + 50
+                if size >= GROUPED:
+                    yield give()
+                    docs, seen, rows, size, made = [], {}, [], 0, made + 1
+        if docs:
+            yield give()
+
+    return common.settle(common.in_arrow(texts, work, "group long, packed binary"), "groups")
+
+
+def _passages(groups: DataFrame) -> DataFrame:
+    """The groups' passages dealt by key; a task sends equal ones once, with all that list them."""
+    buckets = 4 * common.tasks(groups)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        opener, packer = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=3)
+        seen: dict[tuple[int, bytes], int] = {}
+        places, several, listed, size = [], [], [], 0
+
+        def send() -> Iterator[pa.RecordBatch]:
+            keys = np.fromiter((k for k, _ in seen), np.uint64, len(seen))
+            contexts = [c for _, c in seen]
+            where, who = np.array(places, np.int64).reshape(-1, 3), np.array(listed, np.int64).reshape(-1, 3)
+            who = who[np.argsort(who[:, 0], kind="stable")]
+            edges = np.searchsorted(who[:, 0], np.arange(len(contexts) + 1))
+            rows = []
+            for b, own in anchors.parts((keys % np.uint64(buckets)).astype(np.int64), buckets):
+                times = edges[own + 1] - edges[own]
+                refs = who[np.repeat(edges[own] - (np.cumsum(times) - times), times) + np.arange(int(times.sum())), 1:]
+                raw = (keys[own], where[own], np.array(several, bool)[own], [contexts[k] for k in own.tolist()], times, refs)
+                rows.append((b, packer.compress(pickle.dumps(raw, 5))))
+            yield from anchors.packed_rows(rows)
+
+        for batch in batches:
+            for group, packed in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                docs, passages = pickle.loads(opener.decompress(packed.as_buffer()))
+                words, own = [], None
+                for k, (key, d, low, high, twice) in enumerate(passages.tolist()):
+                    if d != own:
+                        words, own = docs[d][2].split(), d
+                    context = b" ".join(words[low:high])
+                    place = (docs[d][0], docs[d][1], low)
+                    n = seen.setdefault((key, context), len(places))
+                    if n == len(places):
+                        places.append(place)
+                        several.append(twice)
+                        size += len(context) + 300
+                    elif twice or places[n] != place:
+                        several[n] = True
+                    listed.append((n, group, k))
+                    size += 100
+                if size >= COLLECTED:
+                    yield from send()
+                    seen.clear()
+                    places, several, listed, size = [], [], [], 0
+        if seen:
+            yield from send()
+
+    return common.in_arrow(groups, work, "bucket int, packed binary")
+
+
+def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (group, phrases): int32 triples (passage, first word, end word) of the group's confirmed phrases."""
+    import zstandard
+
+    opener = zstandard.ZstdDecompressor()
+    for bucket in anchors.by_bucket(batches):
+        # Equal passages of all tasks are one.
+        seen: dict[tuple[int, bytes], int] = {}
+        places, several, refs = [], [], []
+        for packed in bucket:
+            keys, where, twice, contexts, times, who = pickle.loads(opener.decompress(packed))
+            to = []
+            for key, place, again, context in zip(keys.tolist(), where.tolist(), twice.tolist(), contexts, strict=True):
+                n = seen.setdefault((key, context), len(places))
+                if n == len(places):
+                    places.append(place)
+                    several.append(again)
+                elif again or places[n] != place:
+                    several[n] = True
+                to.append(n)
+            refs.append(np.column_stack([np.repeat(to, times), who]))
+        phrases = _phrases(seen, np.array(places, np.int64).reshape(-1, 3), np.array(several, bool))
+        order = np.argsort(phrases[:, 0], kind="stable")
+        phrases, refs = phrases[order], np.concatenate(refs)
+        low, high = np.searchsorted(phrases[:, 0], refs[:, 0]), np.searchsorted(phrases[:, 0], refs[:, 0], "right")
+        times = high - low
+        own = np.repeat(low - (np.cumsum(times) - times), times) + np.arange(int(times.sum()))
+        group, triples = np.repeat(refs[:, 1], times), np.column_stack([np.repeat(refs[:, 2], times), phrases[own, 1:]]).astype("<i4")
+        order = np.argsort(group, kind="stable")
+        group, triples = group[order], triples[order]
+        edges = [*np.flatnonzero(~anchors.same_as_before(group)).tolist(), len(group)]
+        rows = [(int(group[a]), triples[a:b].tobytes()) for a, b in zip(edges, edges[1:], strict=False) if a < b]
+        for at in range(0, len(rows), 5000):
+            columns = zip(*rows[at : at + 5000], strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.binary()), strict=True)], names=["group", "phrases"])
+
+
+def _phrases(seen: dict[tuple[int, bytes], int], places: np.ndarray, several: np.ndarray) -> np.ndarray:
+    """(passage, first word, end word) rows: whole passages with several places, and runs of recurring windows of others."""
+    contexts = [c for _, c in seen]
+    found = [np.array([(n, 0, contexts[n].count(b" ") + 1) for n in np.flatnonzero(several).tolist()], np.int64).reshape(-1, 3)]
+    keys = np.fromiter((k for k, _ in seen), np.uint64, len(seen))
+    order = np.argsort(keys, kind="stable")
+    first = np.flatnonzero(~anchors.same_as_before(keys[order]))
+    sizes = np.diff(np.append(first, len(order)))
+    mixed = (sizes > 1) & (np.add.reduceat(~several[order], first) > 0) if len(first) else np.zeros(0, bool)
+    rows = order[np.repeat(mixed, sizes)]
+    total = np.append(0, np.cumsum([len(contexts[k]) for k in rows.tolist()]))
+    edges = np.append(0, np.cumsum(sizes[mixed]))
     k = 0
-    found = []
-    while k < len(groups) - 1:
-        to = max(k + 1, int(np.searchsorted(before_group, before_group[k] + LETTERS, "right")) - 1)
-        rows = slice(groups[k], groups[to])
-        units = hashes.of([w for x in lists[rows] for w in x])
-        own, a, b = _occurrences(units, lengths[rows], doc_id[rows], tie[rows], low[rows])
-        found.append((doc_id[rows][own], tie[rows][own], a, b))
+    while k < len(edges) - 1:
+        to = max(k + 1, int(np.searchsorted(total[edges], total[edges[k]] + COMPARED, "right")) - 1)
+        own = rows[edges[k] : edges[to]]
+        group = np.repeat(np.arange(to - k), np.diff(edges[k : to + 1]))
+        found.append(_runs([contexts[n].split(b" ") for n in own.tolist()], group, places[own], several[own], own))
         k = to
-    yield from anchors.ranges_by_document(*(np.concatenate([f[k] for f in found]) for k in range(4)))
+    return np.concatenate(found)
 
 
-def _occurrences(units, lengths, doc_id, tie, low) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(context, first word, end word in its document) of every occurrence of a phrase."""
-    import ahocorasick
-
+def _runs(lists: list[list[bytes]], group, places, several, numbers) -> np.ndarray:
+    """(number, first word, end word) of the runs of windows that occur at two places at least of a group of passages."""
+    letters: dict[bytes, int] = {}
+    units = np.array([letters.setdefault(w, len(letters)) for x in lists for w in x], np.int64)
+    lengths = np.array([len(x) for x in lists])
     ends = np.cumsum(lengths)
     starts = ends - lengths
-    context = np.repeat(np.arange(len(lengths)), lengths)
-    at = np.arange(len(units))
-    fits = np.flatnonzero(at + WINDOW <= ends[context])
-    none = np.zeros(0, np.int64)
+    context = np.repeat(np.arange(len(lists)), lengths)
+    fits = np.flatnonzero(np.arange(len(units)) + WINDOW <= ends[context])
     if not len(fits):
-        return none, none, none
-    # Windows that occur at two places of the corpus at least; contexts of one document can share places.
-    key = anchors.Rolling(units).span(fits, fits + WINDOW)
+        return np.zeros((0, 3), np.int64)
+    hashes = common.mix(np.arange(1, len(letters) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    key = common.mix(anchors.Rolling(units, hashes).span(fits, fits + WINDOW)) ^ group[context[fits]].astype(np.uint64)
     own = context[fits]
-    place = low[own] + fits - starts[own]
-    order = np.lexsort((place, tie[own], doc_id[own], key))
-    fits, own, place, key = fits[order], own[order], place[order], key[order]
-    same_place = anchors._same_as_before(key, doc_id[own], tie[own], place)
-    new = ~anchors._same_as_before(key)
+    at = places[own, 2] + fits - starts[own]
+    order = np.lexsort((at, places[own, 1], places[own, 0], key))
+    fits, own, key, at = fits[order], own[order], key[order], at[order]
+    new = ~anchors.same_as_before(key)
     head = np.flatnonzero(new)[np.cumsum(new) - 1]
     equal = np.ones(len(fits), bool)
-    for j in range(WINDOW):
+    for j in range(WINDOW):  # word by word
         equal &= units[fits + j] == units[fits[head] + j]
-    places = np.add.reduceat((~same_place & equal).astype(np.int64), np.flatnonzero(new))[np.cumsum(new) - 1]
+    another = equal & ~anchors.same_as_before(key, places[own, 0], places[own, 1], at)
+    times = np.add.reduceat(another.astype(np.int64), np.flatnonzero(new))[np.cumsum(new) - 1]
     again = np.zeros(len(units) + 1, bool)
-    again[fits[equal & (places > 1)]] = True
-    # Runs of such windows are phrases. Letters skip the range that strings can't hold.
-    edge = np.flatnonzero(np.diff(np.append(False, again).astype(np.int8)) == 1)
-    stop = np.flatnonzero(np.diff(np.append(again, False).astype(np.int8)) == -1)
-    if not len(edge):
-        return none, none, none
-    parted = [(a, z) for a, z in zip(edge.tolist(), stop.tolist(), strict=True)]
-    _, letters = np.unique(units, return_inverse=True)
-    letters = letters.reshape(-1).astype(np.uint32) + 2
-    letters[letters >= 0xD800] += 0x800
-    text = letters.astype("<u4").tobytes().decode("utf-32-le")
-    automaton = ahocorasick.Automaton()
-    for a, z in parted:
-        end = int(ends[context[a]])
-        phrase = text[a : min(z + WINDOW, end)]
-        automaton.add_word(phrase, len(phrase))
-    automaton.make_automaton()
-    gaps = np.insert(np.arange(len(text)), starts[1:], -1)  # a letter that no phrase has between contexts
-    spaced = np.where(gaps >= 0, letters[gaps], 1).astype("<u4").tobytes().decode("utf-32-le")
-    hits = np.array([(e + 1 - n, e + 1) for e, n in automaton.iter(spaced)], np.int64).reshape(-1, 2)
-    row = np.searchsorted(starts + np.arange(len(starts)), hits[:, 0], "right") - 1
-    shift = low[row] - starts[row] - row
-    return row, hits[:, 0] + shift, hits[:, 1] + shift
-
-
-def kept_words(text: bytes, ranges: np.ndarray) -> list[bytes]:
-    words = text.split()
-    edges = [0, *ranges.reshape(-1).tolist(), len(words)]
-    return [w for k in range(0, len(edges), 2) for w in words[edges[k] : edges[k + 1]]]
+    again[fits[equal & (times > 1) & ~several[own]]] = True
+    edge = np.diff(np.append(False, again).astype(np.int8))
+    a, b = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    row = context[a]
+    return np.column_stack([numbers[row], a - starts[row], b - starts[row] + WINDOW - 1])
+
+
+def _automata(phrases: list[list[bytes]]) -> Iterator[tuple]:
+    """(automaton, letter of each word) of shards of the phrases."""
+    import ahocorasick
+
+    letters: dict[bytes, str] = {}
+    automaton, size = ahocorasick.Automaton(), 0
+    for k, phrase in enumerate(phrases):
+        for w in phrase:
+            if w not in letters:
+                code = len(letters) + 2
+                letters[w] = chr(code if code < 0xD800 else code + 0x800)
+        automaton.add_word("".join([letters[w] for w in phrase]), len(phrase))
+        size += len(phrase)
+        if size >= SHARD or k == len(phrases) - 1:
+            automaton.make_automaton()
+            yield automaton, letters
+            letters, automaton, size = {}, ahocorasick.Automaton(), 0
+
 
+Finish = Callable[[list[bytes], np.ndarray], tuple]
 
-def removed(docs: DataFrame) -> DataFrame:
-    """(doc_id, tie, kind, data) rows with the word ranges to remove of docs(doc_id, text)."""
+
+def locate(docs: DataFrame, finish: Finish, schema: str) -> DataFrame:
+    """doc_id and the values of `schema` that finish(words, merged ranges of recurring words) gives, for every row of docs."""
     found = anchors.meet(docs, units_of, SHAPE)
-    return found.where(F.col("kind") == anchors.COVERED).unionByName(anchors.resolve(docs, found, contexts_of, resolver, SHAPE))
+    texts = anchors.squeezed(docs).join(anchors.of_kind(found, anchors.POINTS, "points"), ["doc_id", "tie"], "left")
+    groups = _groups(texts, anchors.hot_grams(found))
+    phrases = common.in_arrow(anchors.dealt(_passages(groups)), _confirm, "group long, phrases binary")
+    phrases = phrases.groupBy("group").agg(F.collect_list("phrases").alias("phrases"))
+    names, kinds = zip(*(c.split() for c in schema.split(", ")), strict=True)
+    targets = [{"long": pa.int64(), "string": pa.string()}[k] for k in kinds]
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        opener = zstandard.ZstdDecompressor()
+        for batch in batches:
+            for packed, confirmed in zip(batch.column("packed"), batch.column("phrases"), strict=True):
+                members, passages = pickle.loads(opener.decompress(packed.as_buffer()))
+                lists = [text.split() for _, _, text in members]
+                triples = np.concatenate([np.zeros((0, 3), "<i4"), *(np.frombuffer(x.as_buffer(), "<i4").reshape(-1, 3) for x in confirmed.values or [])])
+                of, low = passages["doc"][triples[:, 0]].tolist(), passages["low"][triples[:, 0]].astype(np.int64)
+                shards = _automata([lists[d][a:b] for d, a, b in zip(of, (low + triples[:, 1]).tolist(), (low + triples[:, 2]).tolist(), strict=True)])
+                hits: list[list] = [[] for _ in members]
+                for automaton, letters in shards:
+                    get = letters.get
+                    for words, own in zip(lists, hits, strict=True):
+                        own += [(end + 1 - n, end + 1) for end, n in automaton.iter("".join([get(w, _OTHER) for w in words]))]
+                rows = []
+                for (doc_id, _, _), words, own in zip(members, lists, hits, strict=True):
+                    pairs = np.array(own, np.int64).reshape(-1, 2)
+                    rows.append((None if doc_id == anchors.NULL_ID else doc_id, *finish(words, anchors.merged(*pairs.T) if len(pairs) else pairs)))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), *targets), strict=True)], names=["doc_id", *names])
+
+    return common.in_arrow(groups.join(phrases, "group", "left").select("packed", "phrases"), stream, f"doc_id long, {schema}")
+
+
+def kept_words(words: list[bytes], ranges: np.ndarray) -> list[bytes]:
+    edges = [0, *ranges.reshape(-1).tolist(), len(words)]
+    return [w for k in range(0, len(edges), 2) for w in words[edges[k] : edges[k + 1]]]
 
 
-def _digest(text: bytes, ranges: np.ndarray) -> tuple:
-    return len(text.split()), int((ranges[:, 1] - ranges[:, 0]).sum()), hashlib.sha256(b" ".join(kept_words(text, ranges))).hexdigest()
+def _digest(words: list[bytes], ranges: np.ndarray) -> tuple:
+    return len(words), int((ranges[:, 1] - ranges[:, 0]).sum()), hashlib.sha256(b" ".join(kept_words(words, ranges))).hexdigest()
 
 
 def dedup(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every row."""
-    return anchors.cover(docs, removed(docs), _digest, "n_words long, n_removed long, kept_sha256 string")
+    return locate(docs, _digest, "n_words long, n_removed long, kept_sha256 string")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
