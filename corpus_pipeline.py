@@ -32,7 +32,7 @@ def repeated_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def contamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go."""
     scanned = decontaminate.scan(docs, common.read(spark, sf_dir, "benchmark"))
-    return scanned.where(F.size("hit_ranges") == 0).select(*docs.columns)
+    return scanned.where(F.size("hit_ranges") == 0).select("row.*")
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
