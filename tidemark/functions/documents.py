@@ -79,3 +79,36 @@ def remove_path(document: Column, path: list[str]) -> Column:
         return texts.map(lambda t: _changed(t, path, _ABSENT))
 
     return cut(document)
+
+
+def front_matter(text: Column) -> Column:
+    """struct(matter, body) of a text that starts with a block between lines of ---; else a null matter and the whole text."""
+    start = F.regexp_replace(text, r"^\s+", "")
+    parts = F.split(start, "---", -1)
+    found = F.startswith(start, F.lit("---")) & (F.size(parts) >= 3)
+    body = F.regexp_replace(F.array_join(F.slice(parts, 3, F.size(parts)), "---"), r"^\s+", "")
+    return F.struct(F.when(found, F.element_at(parts, 2)).alias("matter"), F.when(found, body).otherwise(text).alias("body"))
+
+
+def settings(matter: Column) -> Column:
+    """Array of struct(path, value) from `key: value` lines nested by indentation; paths have dots, list items repeat theirs."""
+    none = F.struct(F.array().cast("array<struct<indent: int, key: string>>").alias("above"), F.array().cast("array<struct<path: string, value: string>>").alias("found"))
+
+    def add(state: Column, line: Column) -> Column:
+        indent = F.length(line) - F.length(F.ltrim(line)) + F.when(F.ltrim(line).startswith("- "), 2).otherwise(0)
+        key = F.regexp_extract(line, r"^\s*(?:- )?([A-Za-z_][\w-]*):(?:\s|$)", 1)
+        raw = F.btrim(F.when(key != "", F.regexp_extract(line, r"^\s*(?:- )?[\w-]+:\s*(.*)$", 1)).otherwise(F.regexp_extract(line, r"^\s*- (.*)$", 1)))
+        value = F.regexp_replace(F.regexp_replace(raw, r"\s+#.*$|^#.*$", ""), r"""^(["'])(.*)\1$""", "$2")
+        above = F.filter(state["above"], lambda a: a["indent"] < indent)
+        path = F.array_join(F.concat(F.transform(above, lambda a: a["key"]), F.when(key != "", F.array(key)).otherwise(F.array().cast("array<string>"))), ".")
+        next_above = F.when(key != "", F.concat(above, F.array(F.struct(indent.cast("int").alias("indent"), key.alias("key"))))).otherwise(state["above"])
+        next_found = F.when(value != "", F.concat(state["found"], F.array(F.struct(path.alias("path"), value.alias("value"))))).otherwise(state["found"])
+        return F.struct(next_above.alias("above"), next_found.alias("found"))
+
+    return F.aggregate(F.split(F.coalesce(matter, F.lit("")), r"\r?\n"), none, add, lambda s: s["found"])
+
+
+def setting(found: Column, path: str, default: str | None = None) -> Column:
+    """The first value at a path of `settings`, or the default."""
+    values = F.filter(found, lambda x: x["path"] == path)
+    return F.coalesce(F.when(F.size(values) > 0, F.element_at(values, 1)["value"]), F.lit(default))

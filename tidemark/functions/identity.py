@@ -18,7 +18,7 @@ SPACE = r"[\s\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3
 NICKNAME_CONTAINS = ["관리자", "운영자", "admin", "administrator", "mod", "moderator", "system", "agent"]
 NICKNAME_PREFIXES = ["휴먼", "에이전트"]
 NICKNAME_PROFANE = ["씨발", "시발", "병신", "좆", "ㅅㅂ"]
-NICKNAME_ALLOWED = r"^[a-z0-9_\x{AC00}-\x{D7A3}\x{1100}-\x{11FF}\x{3130}-\x{318F} ]+$"
+NICKNAME_ALLOWED = "^[a-z0-9_가-힣\u1100-\u11ff\u3130-\u318f ]+$"
 USERNAMES_RESERVED = ["admin", "root", "system", "support", "help"]
 PASSWORDS_COMMON = ["password", "qwerty", "12345678", "11111111"]
 UNNAMED = "(닉네임 미설정)"

@@ -49,6 +49,11 @@ def epoch_bucket(ts: Column, width: int) -> Column:
     return (F.floor(seconds(ts) / width) * width).cast("long")
 
 
+def trailing(ts: Column, now: Column, hours: int = 72) -> Column:
+    """Whether ts lies within the hours before now."""
+    return (ts >= F.timestamp_add("HOUR", F.lit(-hours), now)) & (ts <= now)
+
+
 def concept(up: Column, down: Column, threshold: Column) -> Column:
     share = up / F.greatest(F.lit(1), up + down)
     return (up >= threshold) & (up - down >= 0) & (share >= 0.65)
@@ -74,6 +79,10 @@ def sanitize(html: Column) -> Column:
     return F.regexp_replace(out, r"(?i)javascript:", "")
 
 
+def strip_nul(text: Column) -> Column:
+    return F.translate(text, "\0", "")
+
+
 def strip_think(text: Column) -> Column:
     """Without paired think blocks, lone think tags and final tags; the start is trimmed."""
     out = F.regexp_replace(text, r"(?is)<\s*think(?:ing)?\s*>.*?<\s*/\s*think(?:ing)?\s*>", "")
@@ -87,6 +96,7 @@ def reply_parent(body: Column) -> Column:
 
 
 def reply_body(body: Column) -> Column:
+    """The body without its marker; white space after it goes as well."""
     return F.regexp_replace(body, r"^>>([a-zA-Z0-9_-]+)\s*", "")
 
 
@@ -117,4 +127,11 @@ def tokens(text: Column) -> Column:
 
 
 def has_all_tokens(text: Column, query: str) -> Column:
-    return reduce(lambda a, b: a & b, [F.array_contains(tokens(text), F.lit(t)) for t in query.lower().split()], F.lit(True))
+    """Whether all words of the query are tokens of the text. Texts without one of them as a string are not split at all."""
+    asked = sorted(set(query.lower().split()))
+    if not asked:
+        return F.lit(True)
+    low = F.lower(text)
+    likely = reduce(lambda a, b: a & b, [F.contains(low, F.lit(t)) for t in asked])
+    own = F.filter(F.array_distinct(tokens(text)), lambda t: t.isin(asked))
+    return F.when(likely, F.size(own) == len(asked)).otherwise(F.lit(False))

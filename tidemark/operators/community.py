@@ -7,6 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scoring import reply_parent
 from ..sources.tables import settled
 
 
@@ -44,9 +45,10 @@ def rank_of(ledger: DataFrame, actors: DataFrame, since: Column | None = None, b
     return rows.withColumn("within", within).where("asked").join(before, ["points", "block"]).select("actor", "points", (1 + F.col("before") + F.col("within")).alias("rank"))
 
 
-def confiscate(ledger: DataFrame, target: str) -> DataFrame:
-    """target, points taken: the net of each target, never negative."""
-    return ledger.groupBy(target).agg(F.greatest(F.lit(0), F.sum("delta")).alias("taken"))
+def confiscate(ledger: DataFrame, target: str, reason: str | None = None) -> DataFrame:
+    """target, points taken: the net of each target, never negative. With `reason`, only of ledger rows that have it."""
+    own = ledger if reason is None else ledger.where(F.col("reason") == reason)
+    return own.groupBy(target).agg(F.greatest(F.lit(0), F.sum("delta")).alias("taken"))
 
 
 def page(rows: DataFrame, order: list[Column], limit: int, offset: int = 0) -> DataFrame:
@@ -109,22 +111,63 @@ def upsert(base: DataFrame, changes: DataFrame, key: str, columns: Iterable[str]
     return b.join(c, key, "full_outer").select(key, F.coalesce("new", "old").alias("row")).select(key, "row.*")
 
 
+def gaps(rows: DataFrame, key: str, seq: str, block: int = BLOCK) -> DataFrame:
+    """key, expected, received of every seq that doesn't follow the one before it of its key.
+
+    Sequences are looked at in blocks of numbers: the largest of the earlier blocks is what a block's first follows.
+    """
+    own = rows.select(key, seq, F.floor(F.col(seq) / block).alias("block"))
+    lasts = own.groupBy(key, "block").agg(F.max(seq).alias("last"))
+    carried = lasts.select(key, "block", F.lag("last").over(Window.partitionBy(key).orderBy("block")).alias("carried"))
+    before = F.lag(seq).over(Window.partitionBy(key, "block").orderBy(seq))
+    seen = own.withColumn("before", before).join(carried, [key, "block"])
+    expected = F.coalesce("before", "carried") + 1
+    return seen.where(F.col(seq) > expected).select(key, expected.alias("expected"), F.col(seq).alias("received"))
+
+
+def first_reached(moves: DataFrame, key: str, order: list[str], move: str, level: int, block: Column) -> DataFrame:
+    """key, best_at: the first time (order[0]) at which the running sum of a key's moves is `level` at least.
+
+    block: an expression that grows with the order. Sums of whole blocks are added first, so a task sorts one block of a key.
+    """
+    own = moves.withColumn("block", block)
+    sums = own.groupBy(key, "block").agg(F.sum(move).alias("sum"))
+    before = F.sum("sum").over(Window.partitionBy(key).orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    until = sums.select(key, "block", F.coalesce(before, F.lit(0)).alias("until"))
+    within = F.sum(move).over(Window.partitionBy(key, "block").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    reached = own.withColumn("within", within).join(until, [key, "block"]).where(F.col("until") + F.col("within") >= level)
+    return reached.groupBy(key).agg(F.min(order[0]).alias("best_at"))
+
+
+def reply_edges(comments: DataFrame) -> DataFrame:
+    """id, parent of comments(id, body): parent is the comment that a leading >>marker names, if there is one."""
+    known = comments.select(F.col("id").alias("parent"))
+    marked = comments.select("id", reply_parent(F.col("body")).try_cast(comments.schema["id"].dataType).alias("asked"))
+    return marked.join(known, F.col("asked") == F.col("parent"), "left").select("id", "parent")
+
+
 def thread_paths(edges: DataFrame, id_: str, parent: str) -> DataFrame:
-    """id, root, depth of a reply forest: rows without a known parent are roots; cycles and what hangs on them vanish.
+    """id, root, depth, path (ids from the root's child on to the row) of a reply forest: rows without a known parent are roots;
+    cycles and what hangs on them vanish.
 
     Pointer jumping: each round takes every open row to the ancestor of its ancestor, so a thread of depth d needs log2(d) rounds. A
     round that finishes no row has only cycles left. Ids must be unique; each round is checkpointed.
     """
     known = edges.select(F.col(id_).alias("p_id"))
     rows = edges.join(known, F.col(parent) == F.col("p_id"), "left")
-    top = F.col("p_id").isNull()
-    rows = settled(rows.select(id_, F.when(top, F.col(id_)).otherwise(F.col(parent)).alias("root"), F.when(top, 0).otherwise(1).cast("long").alias("depth"), top.alias("done")))
+    top, path = F.col("p_id").isNull(), F.array(F.col(id_))
+    rows = settled(rows.select(id_, F.when(top, F.col(id_)).otherwise(F.col(parent)).alias("root"), F.when(top, 0).otherwise(1).cast("long").alias("depth"), F.when(top, F.slice(path, 1, 0)).otherwise(path).alias("path"), top.alias("done")))
     while True:
         open_ = rows.where("not done")
-        above = rows.select(F.col(id_).alias("a_id"), F.col("root").alias("a_root"), F.col("depth").alias("a_depth"), F.col("done").alias("a_done"))
-        moved = open_.join(above, open_["root"] == above["a_id"]).select(id_, F.col("a_root").alias("root"), (F.col("depth") + F.col("a_depth")).alias("depth"), F.col("a_done").alias("done"))
-        moved = settled(moved)
+        above = rows.select(F.col(id_).alias("a_id"), F.col("root").alias("a_root"), F.col("depth").alias("a_depth"), F.col("path").alias("a_path"), F.col("done").alias("a_done"))
+        joined = open_.join(above, open_["root"] == above["a_id"])
+        moved = settled(joined.select(id_, F.col("a_root").alias("root"), (F.col("depth") + F.col("a_depth")).alias("depth"), F.concat("a_path", "path").alias("path"), F.col("a_done").alias("done")))
         rows = rows.where("done").unionByName(moved)
         if not moved.where("done").limit(1).count():
-            return rows.where("done").select(id_, "root", "depth")
+            return rows.where("done").select(id_, "root", "depth", "path")
         rows = settled(rows)
+
+
+def thread_order(paths: DataFrame, id_: str) -> DataFrame:
+    """paths with place: each thread's rows as a nested listing shows them, replies under what they answer, in the order of ids."""
+    return paths.withColumn("place", F.row_number().over(Window.partitionBy("root").orderBy("path")).cast("long"))

@@ -12,6 +12,12 @@ def update_where(rows: DataFrame, test: Column, values: dict[str, Column]) -> Da
     return own.withColumns({c: F.when(F.col("changed"), v).otherwise(F.col(c)) for c, v in values.items()})
 
 
+def increment(totals: DataFrame, changes: DataFrame, key: str, value: str) -> DataFrame:
+    """totals(key, value) with the values of changes added; keys that are new begin with theirs. Keys are unique in both."""
+    new = changes.select(key, F.col(value).alias("_change"))
+    return totals.join(new, key, "full_outer").select(key, (F.coalesce(value, F.lit(0)) + F.coalesce("_change", F.lit(0))).alias(value))
+
+
 def rotate(tokens: DataFrame, new: DataFrame, owner: str, revoked: str, at: Column) -> DataFrame:
     """All live tokens of the owners of `new` end at `at`; the new ones follow. Columns are those of `tokens`."""
     owners = new.select(F.col(owner).alias("_owner")).distinct()

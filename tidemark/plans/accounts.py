@@ -59,6 +59,15 @@ def _(spark, d):
     return table(spark, d, "part").select("p_partkey", I.nickname_key(_raw()).alias("key"))
 
 
+# Full-width letters and digits, wide spaces and zero-width characters around and within; U+212B is composed to U+00C5.
+@query("f21_wide_nickname", "SELECT p_partkey, lower(replace(p_name, '_', '') || ' a' || p_size || chr(197)) AS key FROM part")
+def _(spark, d):
+    plain = "".join(map(chr, [*range(48, 58), *range(65, 91), *range(97, 123)]))
+    wide = F.translate(F.concat(F.replace("p_name", F.lit("_")), F.lit(" a"), F.col("p_size").cast("string")), plain, "".join(chr(ord(c) + 0xFEE0) for c in plain))
+    raw = F.concat(F.lit("\u3000\u200b"), F.replace(wide, F.lit(" "), F.lit("\u3000 \u200d")), F.lit("\u212b\ufeff\u00a0"))
+    return table(spark, d, "part").select("p_partkey", I.nickname_key(raw).alias("key"))
+
+
 @query("f22_nickname_error", f"""SELECT p_partkey, CASE WHEN key = '' THEN 'NICK_REQUIRED' WHEN length(key) NOT BETWEEN 2 AND 12 THEN 'NICK_INVALID' WHEN NOT regexp_matches(key, '^[a-z0-9_ ]+$') THEN 'NICK_INVALID'
 WHEN regexp_matches(key, 'admin|mod|system|agent') THEN 'NICK_RESERVED' END AS error FROM (SELECT p_partkey, lower(regexp_replace(trim({_RAW}), ' +', ' ', 'g')) AS key FROM part)""")
 def _(spark, d):
@@ -101,10 +110,11 @@ def _(spark, d):
     return table(spark, d, "customer").select("c_custkey", (F.replace(shown, F.lit("-")) == I.recovery_code(name)).alias("same"), shown.alias("shown"), I.recovery_code_hash(name, F.col("c_mktsegment")).alias("hashed"))
 
 
-@query("f30_strip_nul", "SELECT c_custkey, c_name AS name FROM customer")
+@query("f30_strip_nul", "SELECT c_custkey, '<' || left(c_name, 4) || substr(c_name, 5) || '>' AS name, length(c_name) + 3 AS dirty FROM customer")
 def _(spark, d):
-    dirty = F.concat("c_name", F.lit("\0"))
-    return table(spark, d, "customer").select("c_custkey", F.translate(dirty, "\0", "").alias("name"))
+    nul = F.lit("\0")
+    dirty = F.concat(nul, F.left("c_name", F.lit(4)), nul, nul, F.expr("substr(c_name, 5)"))
+    return table(spark, d, "customer").select("c_custkey", F.concat(F.lit("<"), S.strip_nul(dirty), F.lit(">")).alias("name"), F.length(dirty).cast("long").alias("dirty"))
 
 
 @query("f31_client_ip", """SELECT event_id, CASE WHEN event_id % 5 = 0 THEN '10.1.' || (event_id % 7) || '.9' WHEN event_id % 5 = 1 THEN '10.2.3.' || (user_id % 200) WHEN event_id % 5 = 2 THEN 'fe80::' || user_id END AS ip FROM events""")

@@ -24,10 +24,16 @@ def _(spark, d):
     return table(spark, d, "documents").select("doc_id", F.array_join(S.unsafe(F.col("text"), M.unsafe_rules()), ",").alias("flags"))
 
 
-# The texts are in other languages; two words of theirs show that rules are found.
-@query("f20_word_flags", "SELECT doc_id, array_to_string(list_filter([CASE WHEN regexp_matches(lower(text), 'idiot|stupid') THEN 'insult' END, CASE WHEN regexp_matches(lower(text), 'scum|pathetic') THEN 'contempt' END], lambda x: x IS NOT NULL), ',') AS flags FROM documents")
+# Each document with a word of one or two categories, so that every category is found.
+_PUT = {0: ["병신"], 1: ["죽여"], 2: ["신상"], 3: ["꺼져"], 4: ["걸레"], 5: ["폭발", "주소"], 6: ["Nigger"], 7: []}
+_PUT_FLAGS = " ".join(f"WHEN {k} THEN '{','.join(n for n, own in M.UNSAFE.items() if any(x.lower() in own for x in v))}'" for k, v in _PUT.items())
+
+
+@query("f20_word_flags", f"SELECT doc_id, CASE doc_id % 8 {_PUT_FLAGS} END AS flags FROM documents")
 def _(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.array_join(S.unsafe(F.col("text"), {"insult": "idiot|stupid", "contempt": "scum|pathetic"}), ",").alias("flags"))
+    put = F.element_at(F.array(*(F.lit(" ".join(_PUT[k])) for k in range(8))), (F.col("doc_id") % 8 + 1).cast("int"))
+    text = F.concat("source", F.lit(" "), put, F.lit("!"))
+    return table(spark, d, "documents").select("doc_id", F.array_join(S.unsafe(text, M.unsafe_rules()), ",").alias("flags"))
 
 
 @query("f34_honorific", r"SELECT doc_id, regexp_matches(text || CASE WHEN doc_id % 3 = 0 THEN ' 했어요' ELSE '' END, '요(\s|$)|습니다|입니|하세요|해주세요|됩니다|합니다') AS honorific FROM documents")

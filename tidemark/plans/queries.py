@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scoring as S
 from ..operators import community as C
 from ..operators import folds as R
-from ..sources.tables import counted_posts, ledger, posts, table
+from ..sources.tables import changes, comments, counted_posts, ledger, posts, table
 from .registry import COUNTED, LEDGER, NOW, POSTS, bucket, now, query
 
 # Points ledger.
@@ -32,9 +33,9 @@ def _(spark, d):
     return C.rank_of(ledger(spark, d), table(spark, d, "events").select(F.col("user_id").alias("actor")).distinct())
 
 
-@query("a08_confiscation", f"SELECT actor, CAST(greatest(0, sum(delta)) AS BIGINT) AS taken FROM ({LEDGER}) GROUP BY actor")
+@query("a08_confiscation", "SELECT event_id % 500 AS target, CAST(greatest(0, sum(CASE event_type WHEN 'view' THEN 1 ELSE -1 END)) AS BIGINT) AS taken FROM events WHERE event_type IN ('view', 'error') GROUP BY 1")
 def _(spark, d):
-    return C.confiscate(ledger(spark, d), "actor")
+    return C.confiscate(changes(spark, d), "target", "VOTE_CHANGE")
 
 
 # Listings.
@@ -132,13 +133,15 @@ def _(spark, d):
     return rows.select("id", F.posexplode("latest").alias("pos", "x")).select("id", F.col("x.related").alias("related"), (F.col("pos") + 1).cast("long").alias("place"))
 
 
-# Board statistics.
-_STATS = f"SELECT board, CAST(avg(up) AS DOUBLE) AS avg_up, count(*) AS n FROM ({COUNTED}) GROUP BY board"
+# Board statistics over the 72 hours before a time.
+_AT = "1998-03-02 00:00:00"
+_STATS = f"SELECT board, CAST(avg(up) AS DOUBLE) AS avg_up, count(*) AS n FROM ({COUNTED}) WHERE created BETWEEN TIMESTAMP '{_AT}' - INTERVAL 72 HOUR AND TIMESTAMP '{_AT}' AND status <> 'P' GROUP BY board"
 _THRESHOLD = "CAST(CASE WHEN n < 30 THEN 10 ELSE greatest(8, ceil(avg_up * 2)) END AS BIGINT)"
 
 
 def _stats(spark, d):
-    rows = counted_posts(spark, d).groupBy("board").agg(F.avg("up").alias("avg_up"), F.count("*").alias("n"))
+    recent = counted_posts(spark, d).where(S.trailing(F.col("created"), F.lit(_AT).cast("timestamp_ntz")) & (F.col("status") != "P"))
+    rows = recent.groupBy("board").agg(F.avg("up").alias("avg_up"), F.count("*").alias("n"))
     return rows.withColumn("threshold", S.threshold(F.col("avg_up"), F.col("n")))
 
 
@@ -147,9 +150,10 @@ def _(spark, d):
     return _stats(spark, d).withColumn("avg_up", F.round("avg_up", 6))
 
 
-@query("f03_concept_posts", f"SELECT id, c.board FROM ({COUNTED}) c JOIN ({_STATS}) s ON s.board = c.board WHERE up >= least(3, {_THRESHOLD}) AND up - down >= 0 AND up / greatest(1, up + down) >= 0.65")
+@query("f03_concept_posts", f"SELECT id, c.board FROM ({COUNTED}) c LEFT JOIN ({_STATS}) s ON s.board = c.board WHERE up >= least(3, coalesce({_THRESHOLD}, 10)) AND up - down >= 0 AND up / greatest(1, up + down) >= 0.65")
 def _(spark, d):
-    rows = counted_posts(spark, d).join(_stats(spark, d).select("board", "threshold"), "board")
+    # A board without recent posts has the threshold of few posts.
+    rows = counted_posts(spark, d).join(_stats(spark, d).select("board", "threshold"), "board", "left").withColumn("threshold", F.coalesce("threshold", S.threshold(F.lit(0.0), F.lit(0))))
     return rows.where(S.concept(F.col("up"), F.col("down"), F.least(F.lit(3), "threshold"))).select("id", "board")
 
 
@@ -187,20 +191,26 @@ def _(spark, d):
 u AS (SELECT target, ts, event_id, sum(CAST(now = 1 AS INT) - CAST(now - move = 1 AS INT)) OVER (PARTITION BY target ORDER BY ts, event_id) AS up FROM g)
 SELECT target, min(ts) AS best_at FROM u WHERE up >= 3 GROUP BY target""")
 def _(spark, d):
-    from pyspark.sql import Window
-
     before = F.coalesce(F.lag("state").over(Window.partitionBy("voter", "target").orderBy("ts", "event_id")), F.lit(0))
     moves = _votes(spark, d).withColumn("move", (F.col("state") == 1).cast("int") - (before == 1).cast("int"))
-    up = moves.withColumn("up", F.sum("move").over(Window.partitionBy("target").orderBy("ts", "event_id")))
-    return up.where("up >= 3").groupBy("target").agg(F.min("ts").alias("best_at"))
+    return C.first_reached(moves, "target", ["ts", "event_id"], "move", 3, F.date_trunc("hour", "ts"))
+
+
+@query("f05_content_points", f"""{_FOLD}, last AS (SELECT voter, target, arg_max(state, (ts, event_id)) AS state FROM f GROUP BY 1, 2)
+SELECT target, CAST(sum(state) AS BIGINT) AS points FROM last GROUP BY target""")
+def _(spark, d):
+    # Each click's change of points, added up: a content's points so far.
+    before = F.coalesce(F.lag("state").over(Window.partitionBy("voter", "target").orderBy("ts", "event_id")), F.lit(0))
+    moves = _votes(spark, d).withColumn("delta", S.points_change(before, F.col("state")))
+    return moves.groupBy("target").agg(F.sum("delta").cast("long").alias("points"))
 
 
 # Limits.
 def _limit(name: str, unit: str, limit: int):
-    @query(name, f"""SELECT user_id, {bucket(unit, 'ts')} AS bucket, count(*) AS n, least(count(*), {limit}) AS admitted FROM events GROUP BY 1, 2""")
+    @query(name, f"""SELECT user_id, {bucket(unit, 'ts')} AS bucket, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id, bucket ORDER BY ts, event_id) <= {limit}""")
     def run(spark, d):
         rows = C.calendar_limit(table(spark, d, "events"), ["user_id"], S.bucket_start(unit, F.col("ts")), ["ts", "event_id"], limit)
-        return rows.groupBy("user_id", "bucket").agg(F.count("*").alias("n"), F.count_if("admitted").alias("admitted"))
+        return rows.where("admitted").select("user_id", "bucket", "event_id")
 
 
 _limit("t01_daily_limit", "day", 2)
@@ -250,11 +260,31 @@ def _(spark, d):
     return counted_posts(spark, d).groupBy("board").agg(F.min_by("id", F.struct("comments", "id")).alias("id"), F.min("comments").alias("comments"))
 
 
-# Threads: each turn replies to the one before.
-@query("g01_thread", "SELECT conv_id * 1000 + turn AS id, conv_id * 1000 + min(turn) OVER (PARTITION BY conv_id) AS root, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS BIGINT) AS depth FROM conversations")
+# Threads: comments whose bodies name the one that they answer.
+_COMMENTS = """SELECT event_id AS id, CASE WHEN event_id % 7 = 0 THEN NULL WHEN event_id % 11 = 3 THEN NULL WHEN event_id % 13 = 5 THEN (SELECT max(event_id) FROM events x WHERE x.event_id = e.event_id + 1) ELSE event_id // 3 END AS parent, event_type AS content FROM events e"""
+_THREADS = f"""WITH RECURSIVE c AS ({_COMMENTS}), t AS (SELECT id, id AS root, 0 AS depth, CAST([] AS BIGINT[]) AS path FROM c WHERE parent IS NULL
+UNION ALL SELECT c.id, t.root, t.depth + 1, list_append(t.path, c.id) FROM c JOIN t ON c.parent = t.id)"""
+
+
+@query("j07_reply_edges", f"SELECT id, coalesce(parent, -1) AS parent FROM ({_COMMENTS})")
 def _(spark, d):
-    edges = table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), (F.col("conv_id") * 1000 + F.col("turn") - 1).alias("parent"))
-    return C.thread_paths(edges, "id", "parent")
+    return C.reply_edges(comments(spark, d)).fillna({"parent": -1})
+
+
+@query("f19_reply_marker", f"SELECT event_id AS id, CASE WHEN event_id % 7 = 0 THEN -1 WHEN event_id % 11 = 3 THEN event_id + 1000000000 WHEN event_id % 13 = 5 THEN event_id + 1 ELSE event_id // 3 END AS asked, event_type AS content FROM events")
+def _(spark, d):
+    return comments(spark, d).select("id", F.coalesce(S.reply_parent(F.col("body")).cast("long"), F.lit(-1)).alias("asked"), S.reply_body(F.col("body")).alias("content"))
+
+
+@query("g01_thread", f"{_THREADS} SELECT id, root, CAST(depth AS BIGINT) AS depth, array_to_string(path, '/') AS path FROM t")
+def _(spark, d):
+    paths = C.thread_paths(C.reply_edges(comments(spark, d)), "id", "parent")
+    return paths.withColumn("path", F.array_join(F.col("path").cast("array<string>"), "/"))
+
+
+@query("g02_tree", f"{_THREADS} SELECT id, root, CAST(depth AS BIGINT) AS depth, row_number() OVER (PARTITION BY root ORDER BY path) AS place FROM t")
+def _(spark, d):
+    return C.thread_order(C.thread_paths(C.reply_edges(comments(spark, d)), "id", "parent"), "id").drop("path")
 
 
 # Texts.
@@ -299,8 +329,6 @@ def _(spark, d):
 
 @query("w07_gaps", "SELECT user_id, event_id, prev FROM (SELECT user_id, event_id, lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS prev FROM events) WHERE event_id > prev + 100")
 def _(spark, d):
-    from pyspark.sql import Window
-
     prev = F.lag("event_id").over(Window.partitionBy("user_id").orderBy("event_id"))
     return table(spark, d, "events").select("user_id", "event_id", prev.alias("prev")).where("event_id > prev + 100")
 

@@ -6,15 +6,15 @@ from pyspark.sql import functions as F
 
 from ..functions import scoring as S
 from ..operators import writes as W
-from ..sources.tables import posts, table
+from ..sources.tables import changes, posts, table
 from .registry import AS_OF, NOW, POSTS, now, query
 
 
-@query("m03_increment", "SELECT actor, CAST(sum(delta) AS BIGINT) AS points FROM (SELECT user_id AS actor, CASE WHEN event_type = 'view' THEN 1 ELSE -1 END AS delta FROM events WHERE event_type IN ('view', 'error')) GROUP BY 1")
+@query("m03_increment", "SELECT c_custkey AS actor, CAST(c_nationkey + coalesce(n, 0) AS BIGINT) AS points FROM customer LEFT JOIN (SELECT user_id, count(*) AS n FROM events GROUP BY 1) ON user_id = c_custkey UNION ALL SELECT user_id, count(*) FROM events WHERE user_id NOT IN (SELECT c_custkey FROM customer) GROUP BY 1")
 def _(spark, d):
-    from ..sources.tables import ledger
-
-    return ledger(spark, d).groupBy("actor").agg(F.sum("delta").alias("points"))
+    totals = table(spark, d, "customer").select(F.col("c_custkey").alias("actor"), F.col("c_nationkey").cast("long").alias("points"))
+    new = table(spark, d, "events").groupBy(F.col("user_id").alias("actor")).agg(F.count("*").alias("points"))
+    return W.increment(totals, new, "actor", "points")
 
 
 @query("m04_bulk_update", "SELECT status, count(*) AS n, count(*) FILTER (changed) AS changed FROM (SELECT CASE WHEN o_orderstatus = 'P' THEN 'O' ELSE o_orderstatus END AS status, o_orderstatus = 'P' AS changed FROM orders) GROUP BY 1")
@@ -41,8 +41,7 @@ def _(spark, d):
 n AS (SELECT target, sum(delta) AS net FROM l GROUP BY 1)
 SELECT id AS target, actor AS author, CAST(greatest(0, coalesce(net, 0)) AS BIGINT) AS taken FROM ({POSTS}) LEFT JOIN n ON n.target = id WHERE status = 'F' AND id % 3 <> 0""")
 def _(spark, d):
-    delta = F.when(F.col("event_type") == "view", 1).otherwise(-1)
-    ledger = table(spark, d, "events").where("event_type IN ('view', 'error')").select((F.col("event_id") % 500).alias("target"), delta.alias("delta"))
+    ledger = changes(spark, d).where("reason = 'VOTE_CHANGE'")
     own = posts(spark, d).where("status = 'F'").select(F.col("id").alias("target"), F.col("actor").alias("author"))
     return W.confiscate_once(ledger, own, own.where("target % 3 = 0"))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,12 +33,38 @@ def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", F.col("user_id").alias("actor"), "ts", F.when(F.col("event_type") == "view", 1).otherwise(-1).cast("long").alias("delta"))
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """`df` written to spark.checkpoint.dir and read again, which cuts its lineage. A local session without that setting gets a folder."""
-    spark = df.sparkSession
+def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """event_id, target, reason, delta of all ledger rows on 500 contents: votes (VOTE_CHANGE) and others, which no confiscation takes."""
+    e, kind = table(spark, sf_dir, "events"), F.col("event_type")
+    delta = F.when(kind == "view", 1).when(kind == "error", -1).otherwise(5).cast("long")
+    return e.select("event_id", (F.col("event_id") % 500).alias("target"), F.when(kind.isin("view", "error"), "VOTE_CHANGE").otherwise("BONUS").alias("reason"), delta.alias("delta"))
+
+
+def comments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, body: comments of which most start with a reply marker. Some name later ones, some missing ones, some none."""
+    id_ = F.col("event_id")
+    parent = F.when(id_ % 7 == 0, None).when(id_ % 11 == 3, id_ + 1_000_000_000).when(id_ % 13 == 5, id_ + 1).otherwise(F.floor(id_ / 3))
+    marker = F.when(parent.isNotNull(), F.concat(F.lit(">>"), parent.cast("string"), F.lit("  "))).otherwise("")
+    return table(spark, sf_dir, "events").select(id_.alias("id"), F.concat(marker, F.col("event_type")).alias("body"))
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new path below the folder that driver and executors share."""
+    context = spark.sparkContext
+    _need_shared(spark)
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def _need_shared(spark: SparkSession) -> None:
     context = spark.sparkContext
     if not spark.conf.get("spark.checkpoint.dir", None) and context.getCheckpointDir() is None:
         if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-"))
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """`df` written to spark.checkpoint.dir and read again, which cuts its lineage. A local session without that setting gets a folder."""
+    _need_shared(df.sparkSession)
     return df.checkpoint()

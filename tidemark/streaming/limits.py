@@ -29,6 +29,11 @@ def running_points(ledger: DataFrame) -> DataFrame:
     return ledger.groupBy("actor").agg(F.sum("delta").alias("points"))
 
 
+def flushed(rows: DataFrame, sink, checkpoint: str, every: str = "80 milliseconds"):
+    """A running query that gives sink(batch, number) what has come since the last flush, at most once in `every`."""
+    return rows.writeStream.foreachBatch(sink).trigger(processingTime=every).option("checkpointLocation", checkpoint).start()
+
+
 def tool_calls(events: DataFrame, key: str, output: str, order: str) -> DataFrame:
     """key, its last output that isn't null and its last event so far (update or complete mode)."""
     known = F.when(F.col(output).isNotNull(), F.col(order))
