@@ -83,6 +83,7 @@ def test_packing(docs, texts):
         for x in own.itertuples():
             assert zlib.crc32(ids[x.start : x.start + x.length].tobytes()) == x.ids_crc32
     assert set(rows.doc_id) == set(texts)
+    assert rows.sequence_id.nunique() <= -(-rows.length.sum() // 1024) + 2
     for _, own in rows.groupby("sequence_id"):
         own = own.sort_values("offset")
         assert own.offset.tolist() == (own.length.cumsum() - own.length).tolist() and own.length.sum() <= 1024
@@ -100,7 +101,35 @@ def test_plan(seed):
     assert used == Counter(counts)
 
 
-def test_jaccard(docs, texts):
+@pytest.mark.parametrize("seed", range(4))
+def test_plans_use_few_sequences(seed):
+    rng = random.Random(seed)
+    counts = Counter(min(1024, int(rng.lognormvariate(6, 1)) + 1) for _ in range(5000))
+    made = packing.plan(counts, 1024)
+    least = max(-(-sum(k * n for k, n in counts.items()) // 1024), sum(n for k, n in counts.items() if k > 512))
+    assert sum(times for _, times in made) <= 1.01 * least + 1
+    exact = Counter(len(lengths) for lengths, _ in made if sum(lengths) == 1024)
+    assert exact[2] and exact[3] and exact[4]  # single, pair and triple sums fill gaps
+
+
+def test_ids_of_odd_texts_are_the_librarys():
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from tidemark.llm.tokens import TextEncoder
+
+    rng = random.Random(9)
+    parts = ["a", "Hello", "it's", "l'été", "12", "x1", "ß", "日本", "Привет", "é", "𝒳", "😀", ".", "!?", "'", "-", "\u200b", "\x1c", "\u180e", "\U0001e030", "ǆ"]
+    space = [" "] * 12 + ["\n", "\t", "\u00a0", "\r", "\u3000", "\x85", " \n", "\n\n", "  ", "\n\u00a0", ""]
+    texts = ["a\n\u00a0", "Hello world.\n\u00a0", "a\n\u00a0\tb"]
+    texts += ["".join(rng.choice(parts) + rng.choice(space) for _ in range(rng.randrange(1, 12))) for _ in range(30_000)]
+    want = Tokenizer.from_file(TOKENIZER).encode_batch(texts, add_special_tokens=False)
+    got = TextEncoder(TOKENIZER).encode(pa.array(texts, pa.large_string()))
+    assert not [t for t, g, w in zip(texts, got, want, strict=True) if g != np.array(w.ids, "<u4").tobytes()]
+
+
+def _components(texts):
+    """(sets of shingles, smallest document of each one's group), by brute force."""
     sets = {}
     for k, t in texts.items():
         w = [x.encode().lower() for x in WORD.findall(t)]
@@ -115,10 +144,15 @@ def test_jaccard(docs, texts):
             if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
                 x, y = of(a), of(b)
                 root[max(x, y)] = min(x, y)
+    return sets, {k: of(k) for k in sets}
+
+
+def test_jaccard(docs, texts):
+    sets, root = _components(texts)
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.group(docs).collect()}
-    assert got == {k: (len(sets[k]), of(k)) for k in sets}
+    assert got == {k: (len(sets[k]), root[k]) for k in sets}
     stay = {r["doc_id"] for r in jaccard_join.one_of_each(docs).collect()}
-    assert stay == {k for k in sets if of(k) == k}
+    assert stay == {k for k in sets if root[k] == k}
 
 
 def test_jaccard_long_lists_and_derived_links(spark):
@@ -142,6 +176,32 @@ def test_jaccard_short_lists_with_an_unlike_centre(spark):
     test_jaccard(spark.createDataFrame(rows, "doc_id long, text string"), dict(rows))
 
 
+def test_jaccard_of_sets_far_from_the_centre_but_near_each_other(spark):
+    rng = random.Random(3)
+    fresh = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    p, ua, ub, b, d = fresh(16), fresh(11), fresh(11), fresh(114), fresh(121)
+    frequent = [x[k : k + 9] for x in (ua, ub, b, d) for k in range(0, len(x), 4)] * 12
+    rows = [(1, " ".join(p + d)), (10, " ".join(p + ua + b)), (11, " ".join(p + ub + b)), *((100 + k, " ".join(x)) for k, x in enumerate(frequent))]
+    test_jaccard(spark.createDataFrame(rows, "doc_id long, text string"), dict(rows))
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_jaccard_of_rare_passages_over_common_text(spark, seed, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "BLOCK", 5)  # cells of a few sets
+    monkeypatch.setattr(jaccard_join, "DIFFERENCE", 100)
+    rng = random.Random(seed)
+    fresh = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    rare, common_parts, texts = [fresh(rng.randrange(8, 30)) for _ in range(3)], [fresh(60) for _ in range(5)], []
+    for k in range(150):
+        own = list(rng.choice(rare)) + [w for _ in range(rng.randrange(1, 4)) for w in rng.choice(common_parts)]
+        for _ in range(rng.randrange(5)):
+            own[rng.randrange(len(own))] = f"e{rng.randrange(10**6)}"
+        texts.append(" ".join(own))
+    texts += [" ".join(x[j : j + 8]) for x in common_parts for j in range(0, 52, 4)] * 3
+    rows = list(enumerate(texts))
+    test_jaccard(spark.createDataFrame(rows, "doc_id long, text string"), dict(rows))
+
+
 def test_chat(spark):
     rows = [(1, 0, "user", "hi"), (1, 1, "assistant", "yo"), (2, 0, "user", "hi"), (3, 0, "user", "hi"), (3, 1, "assistant", "yo"), (4, 0, "user", None), (5, 0, None, "<|im_end|>"), (5, 1, "user", "")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
@@ -151,6 +211,20 @@ def test_chat(spark):
     assert "< |im_end|>" in got[5][2]
 
 
+def test_tied_turns_have_one_order(spark):
+    rows = [(1, 0, "user", t) for t in "bacde"] + [(1, None, None, "x"), (1, None, "", "y"), (2, 0, "", "x"), (3, 0, None, "x")]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    con = duckdb.connect()
+    conversations = turns.toPandas().astype(object).where(lambda x: x.notna(), None)
+    conversations["turn"] = conversations["turn"].astype("Int64")
+    con.execute("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
+    con.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", rows)
+    for df in (turns, turns.orderBy(F.rand(1)).repartition(3)):
+        got = sorted(tuple(r) for r in chat.format_chats(df).collect())
+        assert got == sorted(con.execute(chat.SQL).fetchall()) and len(got) == 3
+    assert got[0][3].startswith("<|im_start|>\nx<|im_end|>\n<|im_start|>\ny<|im_end|>")
+
+
 def test_urls(spark):
     urls = [None, "", "no scheme", "HTTP://WWW.Example.com/en/x?q", "http://example.com/en/", "http://a.example.com/eng", "http://x.net/fr/1#f", "http://net/es/", "http://bexample.com/en/", "http://com", "http://x.com/", "a://b.com/en/://c"]
     pages = spark.createDataFrame([(k, u, "x") for k, u in enumerate([*urls, urls[4]])], "page_id long, url string, rule string")
@@ -181,13 +255,34 @@ def test_decontamination(spark, docs, texts):
                         hit |= set(range(p, p + len(win)))
                         owners.add(str(item))
         want[k] = (len(w), len(hit), len(owners), hashlib.sha256(",".join(sorted(owners)).encode()).hexdigest(), bool(hit))
-    for most in (10_000, 30):
+    for most in (10_000, 30, 12):  # one pass, several, and items in parts
         scanned = decontaminate.scan(docs, items, most_words=most)
         assert {r["doc_id"]: tuple(r)[1:] for r in decontaminate.digests(scanned).collect()} == want
-    row = decontaminate.scan(docs, items).where("doc_id = 5").first()
+    row = decontaminate.scan(docs, items).where("row.doc_id = 5").first()
     assert [texts[5][a:b] for a, b in row["hit_spans"]] == ["two words"]
 
 
+def test_items_in_parts_have_the_same_windows():
+    words = [f"w{k % 7}" for k in range(53)]
+    windows = lambda w: {tuple(w[i : i + 10]) for i in range(max(1, len(w) - 9))}
+    for most in (10, 11, 25, 52, 53, 60):
+        parts = [p.split() for p in decontaminate._parts(" ".join(words), 10, most)]
+        assert all(len(p) <= most for p in parts) and set.union(*map(windows, parts)) == windows(words)
+
+
+def test_scan_keeps_columns_of_any_name_and_items_without_id(spark):
+    docs = spark.createDataFrame([(1, "a b c", "mine"), (1, "a b c", "mine"), (2, "x", None)], "doc_id long, text string, n_words string")
+    items = spark.createDataFrame([(None, "b"), (7, "c"), (7, "a")], "item_id long, text string")
+    scanned = decontaminate.scan(docs, items)
+    assert scanned.select("row.*").dtypes == docs.dtypes and [r["n_words"] for r in scanned.where("row.doc_id = 1").select("row.n_words").collect()] == ["mine"] * 2
+    got = [tuple(r)[:4] for r in decontaminate.digests(scanned).collect()]
+    assert sorted(got) == [(1, 3, 3, 1), (1, 3, 3, 1), (2, 1, 0, 0)]
+    con = duckdb.connect()
+    documents, benchmark = docs.toPandas(), items.toPandas()  # noqa: F841
+    want = [tuple(x)[:4] for x in con.execute(decontaminate.SQL).fetchall()]
+    assert sorted(want) == sorted(got)
+
+
 def test_warc(spark):
     big = "é" * 80
     rows = [(3, "http://a", big), (1, "http://b", big), (2, None, "short"), (4, "u", "short"), (5, "u", None), (6, "u", "x" * 300), (7, "u", big)]
@@ -201,8 +296,9 @@ def test_warc(spark):
         assert bytes(got[k]["payload"]) == (raw if got[k]["record_type"] == "response" else b"")
 
 
-def test_suffixes(docs, texts):
-    seen, want = set(), {}
+def _without_repeats(texts):
+    """(text's bytes, which of them go) of each document, by brute force."""
+    seen, out = set(), {}
     for k in sorted(texts):
         b = texts[k].encode()
         gone = bytearray(len(b))
@@ -211,9 +307,19 @@ def test_suffixes(docs, texts):
             if w in seen:
                 gone[s : s + 100] = b"\1" * 100
             seen.add(w)
-        runs = len(re.findall(b"\1+", bytes(gone)))
-        want[k] = (len(b), sum(gone), runs, hashlib.sha256(bytes(c for c, g in zip(b, gone, strict=True) if not g)).hexdigest())
+        out[k] = b, bytes(gone)
+    return out
+
+
+def _check_suffixes(docs, texts):
+    want = {}
+    for k, (b, gone) in _without_repeats(texts).items():
+        want[k] = (len(b), sum(gone), len(re.findall(b"\1+", gone)), hashlib.sha256(bytes(c for c, g in zip(b, gone, strict=True) if not g)).hexdigest())
     assert {r["doc_id"]: tuple(r)[1:] for r in suffix_dedup.dedup(docs).collect()} == want
+
+
+def test_suffixes(docs, texts):
+    _check_suffixes(docs, texts)
     left = suffix_dedup.without_repeats(docs)
     assert left.columns == docs.columns and 7 not in {r["doc_id"] for r in left.collect()}
 
@@ -227,6 +333,78 @@ def test_suffixes_of_repeated_rows_that_share_a_gram(spark):
     assert sorted((r["doc_id"], r["n_removed"]) for r in suffix_dedup.dedup(rows).collect()) == [(1, 0), (1, 0), (2, 0)]
 
 
+def test_suffixes_of_a_common_line(spark):
+    """10,500 different contexts of one line: its group is split by keys."""
+    rng = random.Random(8)
+    part = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    line = part(60)
+    texts = {k: part(70) + line + part(70) for k in range(10_500)}
+    for k in range(0, 400, 2):
+        texts[k + 10_000] = texts[k][: 40 + k % 90] + texts[k + 10_000][40 + k % 90 :]
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    assert suffix_dedup.anchors.hot_grams(suffix_dedup.anchors.meet(docs, suffix_dedup.units_of, suffix_dedup.SHAPE))
+    _check_suffixes(docs, texts)
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_repeated_contexts(seed, monkeypatch):
+    """Groups of any size, some at a time or all at once, against all pairs of windows."""
+    rng = random.Random(seed)
+    monkeypatch.setattr(suffix_dedup, "SORTED", rng.choice([300, 2000, 1 << 20]))
+    contexts, keys, places = [], [], []
+    for key in range(1, 5):
+        base = bytes(rng.choice(b"ab") for _ in range(168))
+        for k in range(rng.choice([1, 2, 5, 40])):
+            own = bytearray(base)
+            for _ in range(rng.randrange(3)):
+                p = rng.choice([rng.randrange(68), rng.randrange(100, 168)])
+                own[p] = rng.choice(b"abc")
+            low, high = rng.choice([0, 0, rng.randrange(68)]), rng.choice([168, 168, rng.randrange(136, 168)])
+            contexts.append(bytes(own[low:high]))
+            keys.append(key)
+            places.append((k // 2, 0, 1000 * (k % 2) + 68, 68 - low))
+    order = list(range(len(keys)))
+    rng.shuffle(order)
+    own = [np.array([x[k] for k in order]) for x in (keys, places)]
+    got = {(d, t): r for d, t, r in suffix_dedup._ranges(own[0].astype(np.uint64), own[1], np.array([len(contexts[k]) for k in order]), np.frombuffer(b"".join(contexts[k] for k in order), np.uint8))}
+    want = {}
+    for key in range(1, 5):
+        seen, rows = set(), sorted((p, c) for p, c, g in zip(places, contexts, keys, strict=True) if g == key)
+        for (d, t, at, before), c in rows:
+            new = set()
+            for s in range(len(c) - 99):
+                if s <= before and s + 100 >= before + 32:
+                    w = (c[s : s + 100], before - s)
+                    if w in seen:
+                        want.setdefault((d, t), set()).update(range(at - before + s, at - before + s + 100))
+                    new.add(w)
+            seen |= new
+    assert {k: {b for x, y in np.frombuffer(r, "<i4").reshape(-1, 2).tolist() for b in range(x, y)} for k, r in got.items()} == want
+
+
+def test_automata_in_shards():
+    rng = random.Random(2)
+    phrases = [[b"w%d" % rng.randrange(30) for _ in range(rng.randrange(3, 9))] for _ in range(40)]
+    text = [b"w%d" % rng.randrange(40) for _ in range(50)] + phrases[7] + phrases[9]
+    shards = list(phrase_dedup.automata(phrases, shard=20))
+    found = {(e + 1 - n, e + 1) for a, letters in shards for e, n in a.iter("".join(letters.get(w, "\x01") for w in text))}
+    assert len(shards) > 5 and found == {(k, k + len(p)) for p in phrases for k in range(len(text)) if text[k : k + len(p)] == p}
+
+
+def test_phrases_of_a_common_passage(spark):
+    """Passages that share 20 words with 10,500 others, some of them more: the group is split by keys."""
+    rng = random.Random(6)
+    part = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    line, rows = part(20), {}
+    for k in range(10_500):
+        rows[k] = part(16) + line + part(16)
+    for k in range(300):
+        rows[k + 10_000][: 16 + k % 25] = rows[k][: 16 + k % 25]
+    rows = {k: " ".join(w) for k, w in rows.items()}
+    docs = spark.createDataFrame(list(rows.items()), "doc_id long, text string").repartition(3)
+    test_phrases(docs, rows)
+
+
 def test_phrases(docs, texts):
     lists = {k: WORD.findall(t) for k, t in texts.items()}
     times = Counter(tuple(w[s : s + 35]) for w in lists.values() for s in range(len(w) - 34))
@@ -254,6 +432,27 @@ def test_quality(spark, docs, texts):
         assert not (r.kept and r.base_failed)
 
 
+def test_decision_list_rejects_what_its_rules_say(spark):
+    """Labels that follow a rule: one is learned, and `kept` is its evaluation in plain Python."""
+    rng = random.Random(12)
+    rows, labels = [], []
+    for k in range(900):
+        loud = k % 3 == 0
+        words = _words(rng, rng.randrange(60, 90))
+        rows.append((k, " ".join(w.upper() + "!!" if loud and rng.random() < 0.8 else w for w in words)))
+        labels.append((k, 0 if loud else 1, 0))
+    docs = spark.createDataFrame([*rows, *rows[:2]], "doc_id long, text string")
+    rules = quality_rules.fit(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    assert rules
+    judged = quality_rules.judge(docs, rules).toPandas()
+    assert len(judged) == 902
+    for r in judged.itertuples():
+        hit = any(all(getattr(r, f) <= cut if side == "<=" else getattr(r, f) >= cut for f, side, cut in rule) for rule in rules)
+        assert r.kept == (not r.base_failed and not hit)
+    told = judged.set_index("doc_id").kept.groupby(level=0).first()
+    assert sum(told[k] != bool(q) for k, q, _ in labels) < 20
+
+
 def test_learning():
     rng = np.random.default_rng(1)
     x = {"a": rng.random(3000), "b": rng.random(3000)}
@@ -329,7 +528,66 @@ def test_odd_pages_and_turns(spark):
     assert chat.format_chats(turns.limit(0)).count() == 0
 
 
-def test_pipeline(spark):
+def _kept(text, rules):
+    """The base rules and the decision list, in plain Python."""
+    w, lines = WORD.findall(text), [x for x in text.split("\n") if WORD.search(x)]
+    triples = list(zip(w, w[1:], w[2:], strict=False))
+    times = Counter(triples)
+    repeat = len({p + j for p, x in enumerate(triples) if times[x] > 1 for j in range(3)})
+    if len(w) < 50 or 100 * repeat > 50 * len(w):
+        return False
+    chars = sum(map(len, w))
+    share = lambda characters: sum(c in characters for c in text) / chars
+    x = dict(n_words=len(w), word_length=chars / len(w), symbol_share=share("#*$%&|<>"), dup_line_share=(len(lines) - len(set(lines))) / len(lines), repeat_share=repeat / len(w),
+             capital_share=share("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), digit_share=share("0123456789"), mark_share=share("!?"), words_per_line=len(w) / len(lines))
+    return not any(all(x[f] <= cut if side == "<=" else x[f] >= cut for f, side, cut in rule) for rule in rules)
+
+
+def test_pipeline_on_odd_tables(spark, tmp_path):
+    """run() against the stages by brute force; rows that repeat, nulls, empty and long texts, columns of clashing names."""
+    import corpus_pipeline
+
+    rng = random.Random(21)
+    loud = [" ".join(f"{w.upper()}!!" for w in _words(rng, 70)) for _ in range(120)]
+    plain = [" ".join(_words(rng, 70 + k % 9)) for k in range(240)]
+    texts = dict(enumerate([*_texts(), *loud, *plain]))
+    passage = " ".join(WORD.findall(plain[3])[20:45])
+    rows = [(k, t, "en", "s", len(t or ""), "mine", "row") for k, t in texts.items()]
+    rows += [rows[6], rows[200], (None, None, None, None, None, None, None), (None, "", "", "", 0, "", "")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, n_words string, row string"
+    spark.createDataFrame(rows, schema).repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
+    odd = len(_texts())
+    labels = [(odd + k, 0, 0) for k in range(120)] + [(odd + 120 + k, 1, 0) for k in range(240)] + [(None, 1, 0), (3, None, None)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, passage.upper()), (2, None), (None, "")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = common.read(spark, str(tmp_path), "documents")
+    rules = quality_rules.fit(docs, common.read(spark, str(tmp_path), "labels"))
+    assert rules
+    left = {k: t for k, t in texts.items() if t and _kept(t, rules)}
+    assert 200 < len(left) < 330
+    left = {k: left[k] for k, root in _components(left)[1].items() if k == root}
+    cut = {}
+    for k, (b, gone) in _without_repeats(left).items():
+        kept = bytes(c for c, g in zip(b, gone, strict=True) if not g).decode("utf-8", "ignore")
+        if kept or not sum(gone):
+            cut[k] = kept
+    item = decontaminate.words_of(passage)
+    windows = {tuple(item[i : i + 10]) for i in range(len(item) - 9)}
+    left = {k: t for k, t in cut.items() if not any(tuple(w[i : i + 10]) in windows for w in [decontaminate.words_of(t)] for i in range(len(w) - 9))}
+    assert len(left) < len(cut) < len(texts)
+    want = {}
+    for k, t in left.items():
+        ids = _ids(t)
+        for j, (start, length) in enumerate(packing.cuts(len(ids), 1024)):
+            want[k, j] = (start, length, zlib.crc32(ids[start : start + length].tobytes()))
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {(r["doc_id"], r["piece"]): (r["start"], r["length"], r["ids_crc32"]) for r in got} == want and len(got) == len(want)
+    for name in ("documents", "labels", "benchmark"):
+        spark.read.parquet(f"{tmp_path}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/none/{name}.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_pipeline_on_a_corpus(spark):
     import corpus_pipeline
 
     sf = "/root/testdata/sf0.001"

@@ -163,7 +163,7 @@ def _scan_once(docs: DataFrame, items: list[tuple], window: int) -> DataFrame:
             new = [pa.array(n_words, pa.int64()), pa.array(ranges, pairs), pa.array(places, pairs), pa.array(found, pa.list_(pa.string()))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *new], names=["row", *own])
 
-    return docs.mapInArrow(work, schema)
+    return common.in_arrow(docs, work, schema)
 
 
 def digests(scanned: DataFrame) -> DataFrame:

@@ -144,7 +144,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
                     seen[length] += 1
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), *[pa.int64()] * 3, pa.int32(), pa.int64()), strict=True)], names=[x.split()[0] for x in _PIECES.split(", ")])
 
-    return common.settle(docs.select("doc_id", "text").mapInArrow(work, _PIECES), "pieces")
+    return common.settle(common.in_arrow(docs.select("doc_id", "text"), work, _PIECES), "pieces")
 
 
 def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:

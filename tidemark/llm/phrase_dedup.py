@@ -232,7 +232,7 @@ def _runs(lists: list[list[bytes]], group, places, several, numbers) -> np.ndarr
     return np.column_stack([numbers[row], a - starts[row], b - starts[row] + WINDOW - 1])
 
 
-def _automata(phrases: list[list[bytes]]) -> Iterator[tuple]:
+def automata(phrases: list[list[bytes]], shard: int = SHARD) -> Iterator[tuple]:
     """(automaton, letter of each word) of shards of the phrases."""
     import ahocorasick
 
@@ -245,7 +245,7 @@ def _automata(phrases: list[list[bytes]]) -> Iterator[tuple]:
                 letters[w] = chr(code if code < 0xD800 else code + 0x800)
         automaton.add_word("".join([letters[w] for w in phrase]), len(phrase))
         size += len(phrase)
-        if size >= SHARD or k == len(phrases) - 1:
+        if size >= shard or k == len(phrases) - 1:
             automaton.make_automaton()
             yield automaton, letters
             letters, automaton, size = {}, ahocorasick.Automaton(), 0
@@ -274,7 +274,7 @@ def locate(docs: DataFrame, finish: Finish, schema: str) -> DataFrame:
                 lists = [text.split() for _, _, text in members]
                 triples = np.concatenate([np.zeros((0, 3), "<i4"), *(np.frombuffer(x.as_buffer(), "<i4").reshape(-1, 3) for x in confirmed.values or [])])
                 of, low = passages["doc"][triples[:, 0]].tolist(), passages["low"][triples[:, 0]].astype(np.int64)
-                shards = _automata([lists[d][a:b] for d, a, b in zip(of, (low + triples[:, 1]).tolist(), (low + triples[:, 2]).tolist(), strict=True)])
+                shards = automata([lists[d][a:b] for d, a, b in zip(of, (low + triples[:, 1]).tolist(), (low + triples[:, 2]).tolist(), strict=True)])
                 hits: list[list] = [[] for _ in members]
                 for automaton, letters in shards:
                     get = letters.get

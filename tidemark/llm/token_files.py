@@ -119,7 +119,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_ID, fi
             close()
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*made, strict=True) if made else [[]] * 5, (pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64()), strict=True)], names=["file", "part", "number", "n_docs", "n_tokens"])
 
-    return common.settle(rows.mapInArrow(work, "file string, part int, number int, n_docs long, n_tokens long"), "token-files")
+    return common.settle(common.in_arrow(rows, work, "file string, part int, number int, n_docs long, n_tokens long"), "token-files")
 
 
 def read(files: DataFrame, with_ids: bool = False) -> DataFrame:
@@ -145,8 +145,7 @@ def read(files: DataFrame, with_ids: bool = False) -> DataFrame:
                     columns, names = [*columns, pa.array([x.tobytes() for x in own], pa.binary())], [*names, "ids"]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    tasks = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return placed.repartition(tasks, "file").mapInArrow(work, schema)
+    return common.in_arrow(placed.repartition(common.tasks(files), "file"), work, schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

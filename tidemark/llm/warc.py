@@ -131,7 +131,7 @@ def write(pages: DataFrame, folder: str, file_bytes: int = FILE_BYTES) -> DataFr
             close()
         yield pa.RecordBatch.from_pydict({"file": pa.array([x[0] for x in made], pa.string()), "n_records": pa.array([x[1] for x in made], pa.int64())})
 
-    return common.settle(pages.mapInArrow(work, "file string, n_records long"), "warc-files")
+    return common.settle(common.in_arrow(pages, work, "file string, n_records long"), "warc-files")
 
 
 _INDEX = "file string, offset long, length long, record_id string, uri string"
@@ -156,7 +156,7 @@ def normalise(files: DataFrame, folder: str) -> DataFrame:
                 yield pa.RecordBatch.from_pylist(rows, pa.schema([("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("record_id", pa.string()), ("uri", pa.string())]))
 
     tasks = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return common.settle(files.select("file").repartition(tasks, "file").mapInArrow(work, _INDEX), "warc-index")
+    return common.settle(common.in_arrow(files.select("file").repartition(tasks, "file"), work, _INDEX), "warc-index")
 
 
 _READ = "page_id long, uri string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
@@ -190,7 +190,7 @@ def read(index: DataFrame, with_payload: bool = True) -> DataFrame:
                 })
             yield pa.RecordBatch.from_pylist(rows, pa.schema([("page_id", pa.int64()), ("uri", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary())]))
 
-    return index.select("file", "offset", "length").mapInArrow(work, _READ)
+    return common.in_arrow(index.select("file", "offset", "length"), work, _READ)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
