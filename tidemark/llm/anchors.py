@@ -67,18 +67,17 @@ class Rolling:
             own *= up[k // _BLOCK]
             own += self.sums[k]
 
-    def _scaled(self, sums: np.ndarray, low: np.ndarray) -> np.ndarray:
-        sums *= _DOWN[low & (_BLOCK - 1)]
-        sums *= self.down[low >> 16]
-        return sums
+    def scale(self, low: np.ndarray) -> np.ndarray:
+        """What makes sums[high] - sums[low] the hash of [low, high)."""
+        return _DOWN[low & (_BLOCK - 1)] * self.down[low >> 16]
 
     def span(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
         """Hashes of the unit ranges [low, high); equal ranges have equal hashes wherever they lie."""
-        return self._scaled(self.sums[high] - self.sums[low], low)
+        return (self.sums[high] - self.sums[low]) * self.scale(low)
 
     def grams(self, size: int) -> np.ndarray:
         n = len(self.sums) - size
-        return self._scaled(self.sums[size:] - self.sums[:-size], np.arange(n)) if n > 0 else np.zeros(0, _U)
+        return (self.sums[size:] - self.sums[:-size]) * self.scale(np.arange(n)) if n > 0 else np.zeros(0, _U)
 
 
 @dataclass(frozen=True)

@@ -46,15 +46,17 @@ class Suffixes:
 
     def __init__(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray):
         self.data, self.starts, self.ends = data, starts, ends
-        self.rolling = anchors.Rolling(data, VALUES)
+        rolling = anchors.Rolling(data, VALUES)
+        self.sums, self.base, self.scale = rolling.sums, rolling.sums[starts], rolling.scale(starts)
 
     def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Common extension of suffixes a and b, by binary search."""
         at, to = self.starts[a], self.starts[b]
         low, high = np.zeros_like(at), np.minimum(self.ends[a] - at, self.ends[b] - to)
+        (base_a, scale_a), (base_b, scale_b) = ((self.base[x], self.scale[x]) for x in (a, b))
         for _ in range(int(high.max(initial=0)).bit_length()):
-            middle = (low + high + 1) // 2
-            same = self.rolling.span(at, at + middle) == self.rolling.span(to, to + middle)
+            middle = (low + high + 1) >> 1
+            same = (self.sums[at + middle] - base_a) * scale_a == (self.sums[to + middle] - base_b) * scale_b
             low, high = np.where(same, middle, low), np.where(same, high, middle - 1)
         return low
 
