@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 from tidemark.functions import documents as D
 from tidemark.functions import identity as I
 from tidemark.functions import messages as M
+from tidemark.functions import parameters as P
 from tidemark.functions import scoring as S
 from tidemark.operators import community as C
 from tidemark.operators import folds as R
 from tidemark.operators import writes as W
 from tidemark.plans import FOUND
+from tidemark.sources import files as X
 from tidemark.streaming import limits
 
 
@@ -63,7 +65,7 @@ def test_thread(spark):
 
 def test_deep_thread(spark):
     rows = spark.range(200).select("id", (F.col("id") - 1).alias("parent"))
-    assert sorted(map(tuple, C.thread_paths(rows, "id", "parent").collect())) == [(k, 0, k) for k in range(200)]
+    assert sorted(map(tuple, C.thread_paths(rows, "id", "parent").collect())) == [(k, 0, k, list(range(1, k + 1))) for k in range(200)]
 
 
 def _stream(spark, tmp_path, rows, make, mode="append"):
@@ -217,3 +219,107 @@ def test_confiscation(spark):
     targets = spark.createDataFrame([(t, 1) for t in "abcde"], "target string, author int")
     out = W.confiscate_once(ledger, targets, targets.where("target = 'd'"))
     assert sorted((r["target"], r["taken"]) for r in out.collect()) == [("a", 10), ("b", 3), ("c", 0), ("e", 0)]
+
+
+def test_thread_trees(spark):
+    """Forward references, branches, missing and unmarked parents, a comment that answers itself."""
+    rows = [(1, "root"), (2, ">>1 a"), (3, ">>5  b"), (4, ">>1\tc"), (5, ">>2d"), (6, ">>99 gone"), (7, ">> no marker"), (8, ">>8 self"), (9, " >>1 not first"), (10, ">>2 e"), (11, ">>x y")]
+    comments = spark.createDataFrame(rows, "id long, body string")
+    edges = {r["id"]: r["parent"] for r in C.reply_edges(comments).collect()}
+    assert edges == {1: None, 2: 1, 3: 5, 4: 1, 5: None, 6: None, 7: None, 8: 8, 9: None, 10: 2, 11: None}
+    told = {r["id"]: (r["root"], r["depth"], r["path"], r["place"]) for r in C.thread_order(C.thread_paths(C.reply_edges(comments), "id", "parent"), "id").collect()}
+    assert {k: v for k, v in told.items() if v[0] == 1} == {1: (1, 0, [], 1), 2: (1, 1, [2], 2), 10: (1, 2, [2, 10], 3), 4: (1, 1, [4], 4)}
+    assert told[3] == (5, 1, [3], 2) and 8 not in told
+    assert {5, 6, 7, 9, 11} == {k for k, v in told.items() if v[1] == 0} - {1}
+
+
+@pytest.mark.parametrize(("body", "parent", "rest"), [(">>abc-1_  hi", "abc-1_", "hi"), ("hi >>abc", None, "hi >>abc"), (">>", None, ">>"), (">>a\n\nb", "a", "b")])
+def test_reply_marker(spark, body, parent, rest):
+    assert tuple(spark.range(1).select(S.reply_parent(F.lit(body)), S.reply_body(F.lit(body))).first()) == (parent, rest)
+
+
+def test_gaps_across_blocks(spark):
+    rows = [("a", k) for k in (1, 2, 5, 6, 31, 32)] + [("b", 7), ("b", 9)]
+    found = C.gaps(spark.createDataFrame(rows, "key string, seq long"), "key", "seq", block=5)
+    assert sorted(tuple(r) for r in found.collect()) == [("a", 3, 5), ("a", 7, 31), ("b", 8, 9)]
+
+
+def test_first_reached_across_blocks(spark):
+    rows = [("a", k, m) for k, m in enumerate([1, -1, 1, 1, 0, 1, -1])] + [("b", 0, 2)]
+    moves = spark.createDataFrame(rows, "key string, at long, move int")
+    found = C.first_reached(moves, "key", ["at"], "move", 3, F.floor(F.col("at") / 2))
+    assert [tuple(r) for r in found.collect()] == [("a", 5)]
+
+
+_STATE = "version string, cursor long, tags array<string>"
+
+
+@pytest.mark.parametrize(("text", "state"), [(None, ("0", 7, None)), ("{ broken", ("0", 7, None)), ('{"cursor": 9, "tags": ["x"]}', ("0", 9, ["x"])), ('{"cursor": null, "other": 1}', ("0", 7, None))])
+def test_state_with_defaults(spark, tmp_path, text, state):
+    if text is not None:
+        (tmp_path / "state.json").write_text(text)
+    read = lambda **more: tuple(X.load_state(spark, f"{tmp_path}/state.json", _STATE, {"version": "0", "cursor": 7}, **more).first())
+    assert read() == state and read(fixed={"version": "9"})[0] == "9"
+
+
+@pytest.mark.parametrize(
+    ("text", "body", "found"),
+    [
+        ("---\na: 1\nb:\n  c: 'x y' # note\n  d:\n    - e: 2\n      f: 3\n    - e: 4\ntags:\n  - u\n  - v\nz: \"q\"\n---\n\n body --- more", "body --- more", [("a", "1"), ("b.c", "x y"), ("b.d.e", "2"), ("b.d.f", "3"), ("b.d.e", "4"), ("tags", "u"), ("tags", "v"), ("z", "q")]),
+        ("no matter", "no matter", []), ("---\nopen", "---\nopen", []), ("", "", []), ("--- ---", "", []),
+    ],
+)
+def test_front_matter(spark, text, body, found):
+    parts = spark.createDataFrame([(text,)], "text string").select(D.front_matter(F.col("text")).alias("p"))
+    row = parts.select("p.body", D.settings(F.col("p.matter")).alias("s"), D.setting(D.settings(F.col("p.matter")), "b.c", "none").alias("c")).first()
+    assert (row["body"], [tuple(x) for x in row["s"]], row["c"]) == (body, found, dict(found).get("b.c", "none"))
+
+
+def test_log_tail(spark):
+    lines = spark.createDataFrame([(k, "x" * k) for k in range(1, 11)], "seq long, line string")
+    tail = lambda *a: [tuple(r) for r in X.log_tail(lines, *a).select("seq", "cut").orderBy("seq").collect()]
+    assert tail(None, 3, 1000) == [(8, True), (9, True), (10, True)]
+    assert tail(7, 5, 1000) == [(8, False), (9, False), (10, False)]
+    assert tail(7, 5, 21) == [(9, True), (10, True)]
+    assert tail(10, 5, 1000) == []
+
+
+@pytest.mark.parametrize(("value", "expected"), [("20", 20), ("999", 50), ("0", 30), ("-3", 30), ("7px", 7), ("x", 30), (None, 30), ("", 30), (" 12", 12)])
+def test_page_limit(spark, value, expected):
+    assert spark.range(1).select(P.limit(F.lit(value).cast("string"))).first()[0] == expected
+
+
+@pytest.mark.parametrize(("text", "error"), [(None, None), ("", None), (" a ", "SHORT"), ("ab", None), ("x" * 120, None), ("x" * 121, "LONG")])
+def test_query_error(spark, text, error):
+    assert spark.range(1).select(P.query_error(F.lit(text).cast("string"))).first()[0] == error
+
+
+def test_allowed_and_routed(spark):
+    one = lambda c: spark.range(1).select(c).first()[0]
+    s = lambda v: F.lit(v).cast("string")
+    assert [one(P.allowed(s(v), P.SORTS, "new")) for v in ("hot", "HOT", None, "")] == ["hot", "new", "new", "new"]
+    cases = [("tool", "main", "r", "c", "r", True), ("tool", None, "r", "c", "r", True), ("tool", "other", "r", "c", "r", False), ("tool", "main", "q", "c", "r", False),
+             ("tool", "main", "r", "", "r", False), ("chat", "main", "r", "c", "r", False), ("tool", None, None, "c", None, False), ("tool", "main", "r", "c", None, False)]
+    for stream, session, run, call, own, expected in cases:
+        assert one(P.routed(s(stream), s(session), s(run), s(call), s("main"), s(own))) == expected
+
+
+def test_increment_batch_and_stream(spark, tmp_path):
+    totals, new = (spark.createDataFrame(rows, "actor long, points long") for rows in ([(1, 5), (2, -1)], [(2, 4), (3, 1)]))
+    assert sorted(tuple(r) for r in W.increment(totals, new, "actor", "points").collect()) == [(1, 5), (2, 3), (3, 1)]
+    for name, rows in (("a", [(1, 5), (2, -1)]), ("b", [(2, 4), (3, 1)])):
+        spark.createDataFrame(rows, "actor long, delta long").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("actor long, delta long").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    query = limits.running_points(stream).writeStream.format("memory").queryName("sums").outputMode("complete").trigger(availableNow=True).option("checkpointLocation", f"{tmp_path}/c").start()
+    query.awaitTermination()
+    assert sorted(tuple(r) for r in spark.table("sums").collect()) == [(1, 5), (2, 3), (3, 1)]
+
+
+def test_flushes_at_an_interval(spark, tmp_path):
+    """What comes between two flushes is given at once."""
+    spark.range(20).repartition(4).write.parquet(f"{tmp_path}/in")
+    given: list[int] = []
+    query = limits.flushed(spark.readStream.schema("id long").parquet(f"{tmp_path}/in"), lambda batch, number: given.append(batch.count()), f"{tmp_path}/c")
+    query.processAllAvailable()
+    query.stop()
+    assert sum(given) == 20 and len([n for n in given if n]) == 1
