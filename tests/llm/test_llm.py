@@ -382,13 +382,16 @@ def test_repeated_contexts(seed, monkeypatch):
     assert {k: {b for x, y in np.frombuffer(r, "<i4").reshape(-1, 2).tolist() for b in range(x, y)} for k, r in got.items()} == want
 
 
-def test_automata_in_shards():
+@pytest.mark.parametrize("alphabet", [1000, 7])  # one letter a word, and two
+def test_automata_in_shards(alphabet):
     rng = random.Random(2)
-    phrases = [[b"w%d" % rng.randrange(30) for _ in range(rng.randrange(3, 9))] for _ in range(40)]
-    text = [b"w%d" % rng.randrange(40) for _ in range(50)] + phrases[7] + phrases[9]
-    shards = list(phrase_dedup.automata(phrases, shard=20))
-    found = {(e + 1 - n, e + 1) for a, letters in shards for e, n in a.iter("".join(letters.get(w, "\x01") for w in text))}
-    assert len(shards) > 5 and found == {(k, k + len(p)) for p in phrases for k in range(len(text)) if text[k : k + len(p)] == p}
+    lists = [[b"w%d" % rng.randrange(12) for _ in range(300)] for _ in range(5)]
+    phrases = [(rng.randrange(5), a, a + rng.randrange(2, 9)) for a in range(0, 200, 5)]
+    texts = [lists[d][a:b] for d, a, b in phrases]
+    got = phrase_dedup.occurrences(lists, phrases, shard=20, alphabet=alphabet)
+    for words, found in zip(lists, got, strict=True):
+        assert set(map(tuple, found.tolist())) == {(k, k + len(p)) for p in texts for k in range(len(words)) if words[k : k + len(p)] == p}
+    assert len(list(phrase_dedup.automata(["".join(map(chr, range(40, 47)))] * 12, shard=20))) == 4
 
 
 def test_phrases_of_a_common_passage(spark):

@@ -30,10 +30,8 @@ WINDOW, GRAM = 35, 8
 SHAPE = anchors.Shape(WINDOW, GRAM)
 #: Bytes of text in a group of documents, of passages that a task collects, and of passages that are compared at once.
 GROUPED, COLLECTED, COMPARED = 1 << 20, 24 << 20, 4 << 20
-#: Words of the phrases in one automaton (some 30 MB).
-SHARD = 300_000
-#: The letter of words that no phrase has; words of phrases take the letters after it.
-_OTHER = "\x01"
+#: Words of the phrases in one automaton (some 40 MB), and letters that strings can hold.
+SHARD, LETTERS = 1_000_000, 1_112_000
 PASSAGE = np.dtype([("key", "<u8"), ("doc", "<u4"), ("low", "<u4"), ("high", "<u4"), ("several", "?")])
 
 
@@ -232,23 +230,43 @@ def _runs(lists: list[list[bytes]], group, places, several, numbers) -> np.ndarr
     return np.column_stack([numbers[row], a - starts[row], b - starts[row] + WINDOW - 1])
 
 
-def automata(phrases: list[list[bytes]], shard: int = SHARD) -> Iterator[tuple]:
-    """(automaton, letter of each word) of shards of the phrases."""
+def lines_of(lists: list[list[bytes]], alphabet: int = LETTERS) -> tuple[list[str], int]:
+    """(each list of words as a string, letters per word): one while the alphabet suffices for all different words, else two."""
+    numbers: dict[bytes, int] = {}
+    for words in lists:
+        for w in words:
+            if w not in numbers:
+                numbers[w] = len(numbers)
+    letter = lambda k: chr(k + 1 if k + 1 < 0xD800 else k + 0x801)  # noqa: E731 (strings can't hold the 0x800 codes from 0xD800 on)
+    if len(numbers) <= alphabet:
+        width, codes = 1, {w: letter(k) for w, k in numbers.items()}
+    else:
+        width, codes = 2, {w: letter(k // alphabet) + letter(k % alphabet) for w, k in numbers.items()}
+    return ["".join([codes[w] for w in words]) for words in lists], width
+
+
+def automata(phrases: list[str], shard: int = SHARD) -> Iterator:
+    """Aho-Corasick automata of shards of the phrases; a match's value is its phrase's length."""
     import ahocorasick
 
-    letters: dict[bytes, str] = {}
     automaton, size = ahocorasick.Automaton(), 0
     for k, phrase in enumerate(phrases):
-        for w in phrase:
-            if w not in letters:
-                code = len(letters) + 2
-                letters[w] = chr(code if code < 0xD800 else code + 0x800)
-        automaton.add_word("".join([letters[w] for w in phrase]), len(phrase))
+        automaton.add_word(phrase, len(phrase))
         size += len(phrase)
         if size >= shard or k == len(phrases) - 1:
             automaton.make_automaton()
-            yield automaton, letters
-            letters, automaton, size = {}, ahocorasick.Automaton(), 0
+            yield automaton
+            automaton, size = ahocorasick.Automaton(), 0
+
+
+def occurrences(lists: list[list[bytes]], phrases: list[tuple[int, int, int]], shard: int = SHARD, alphabet: int = LETTERS) -> list[np.ndarray]:
+    """(first word, end word) of every occurrence in each list of words of the phrases (list, first word, end word)."""
+    lines, width = lines_of(lists, alphabet)
+    hits: list[list] = [[] for _ in lists]
+    for automaton in automata([lines[d][width * a : width * b] for d, a, b in phrases], shard):
+        for line, own in zip(lines, hits, strict=True):
+            own += [(end + 1 - n, end + 1) for end, n in automaton.iter(line) if (end + 1) % width == 0]
+    return [np.array(own, np.int64).reshape(-1, 2) // width for own in hits]
 
 
 Finish = Callable[[list[bytes], np.ndarray], tuple]
@@ -274,15 +292,9 @@ def locate(docs: DataFrame, finish: Finish, schema: str) -> DataFrame:
                 lists = [text.split() for _, _, text in members]
                 triples = np.concatenate([np.zeros((0, 3), "<i4"), *(np.frombuffer(x.as_buffer(), "<i4").reshape(-1, 3) for x in confirmed.values or [])])
                 of, low = passages["doc"][triples[:, 0]].tolist(), passages["low"][triples[:, 0]].astype(np.int64)
-                shards = automata([lists[d][a:b] for d, a, b in zip(of, (low + triples[:, 1]).tolist(), (low + triples[:, 2]).tolist(), strict=True)])
-                hits: list[list] = [[] for _ in members]
-                for automaton, letters in shards:
-                    get = letters.get
-                    for words, own in zip(lists, hits, strict=True):
-                        own += [(end + 1 - n, end + 1) for end, n in automaton.iter("".join([get(w, _OTHER) for w in words]))]
+                hits = occurrences(lists, list(zip(of, (low + triples[:, 1]).tolist(), (low + triples[:, 2]).tolist(), strict=True)))
                 rows = []
-                for (doc_id, _, _), words, own in zip(members, lists, hits, strict=True):
-                    pairs = np.array(own, np.int64).reshape(-1, 2)
+                for (doc_id, _, _), words, pairs in zip(members, lists, hits, strict=True):
                     rows.append((None if doc_id == anchors.NULL_ID else doc_id, *finish(words, anchors.merged(*pairs.T) if len(pairs) else pairs)))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), *targets), strict=True)], names=["doc_id", *names])
 
