@@ -215,13 +215,11 @@ def test_tied_turns_have_one_order(spark):
     rows = [(1, 0, "user", t) for t in "bacde"] + [(1, None, None, "x"), (1, None, "", "y"), (2, 0, "", "x"), (3, 0, None, "x")]
     turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     con = duckdb.connect()
-    conversations = turns.toPandas().astype(object).where(lambda x: x.notna(), None)
-    conversations["turn"] = conversations["turn"].astype("Int64")
     con.execute("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
     con.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", rows)
     for df in (turns, turns.orderBy(F.rand(1)).repartition(3)):
         got = sorted(tuple(r) for r in chat.format_chats(df).collect())
-        assert got == sorted(con.execute(chat.SQL).fetchall()) and len(got) == 3
+        assert got == sorted(con.execute(chat.SQL).fetchall()) and [r[0] for r in got] == [1, 2]  # 3 is how 1 begins
     assert got[0][3].startswith("<|im_start|>\nx<|im_end|>\n<|im_start|>\ny<|im_end|>")
 
 

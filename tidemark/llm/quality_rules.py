@@ -9,7 +9,9 @@ Learning takes `fit_rows` labelled documents at most (those with the smallest ha
 a few MB of numbers). Without labels no rule is learned, and only the base rules reject.
 
 Null text has no words; such a document fails the base rules. Word triples and lines of a text are compared by 64-bit hashes
-and whole, respectively. Labels that are null, or that differ for one document, are not used.
+and whole, respectively. Labels that are null, or that differ for one document, are not used. Repeated rows are judged each for
+itself, alike. Columns of any name can come along in a struct: `docs.select(F.struct("*").alias("row"), "text")`; as columns of
+their own they must not be named as the counts are. An empty table gives no rows.
 """
 
 from __future__ import annotations
