@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import hmac
 import unicodedata
 from functools import reduce
 
@@ -149,15 +148,17 @@ def canonical_slug(slug: Column, legacy: dict[str, str]) -> Column:
     return F.coalesce(F.element_at(F.create_map(*pairs), slug), slug) if pairs else slug
 
 
-def signature(payload: Column, secret: str) -> Column:
-    """HMAC-SHA256 as hex; there is no built-in, so it runs in Arrow batches."""
+def hmac_pads(secret: str) -> tuple[bytes, bytes]:
+    """The inner and the outer 64-byte key of HMAC-SHA256."""
     key = secret.encode()
+    key = (hashlib.sha256(key).digest() if len(key) > 64 else key).ljust(64, b"\0")
+    return bytes(b ^ 0x36 for b in key), bytes(b ^ 0x5C for b in key)
 
-    @F.pandas_udf("string")
-    def sign(values: pd.Series) -> pd.Series:
-        return values.map(lambda v: None if v is None else hmac.new(key, v.encode(), hashlib.sha256).hexdigest())
 
-    return sign(payload)
+def signature(payload: Column, secret: str) -> Column:
+    """HMAC-SHA256 of the payload's UTF-8 bytes as hex, by two nested hashes."""
+    inner, outer = (F.lit(pad) for pad in hmac_pads(secret))
+    return F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, payload.cast("binary")), 256))), 256)
 
 
 def leading_zero_bits(digest: Column, bits: int) -> Column:
