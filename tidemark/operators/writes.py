@@ -81,6 +81,15 @@ def fill_names(rows: DataFrame, id_: str, name: str, prefix: str) -> DataFrame:
     return own.withColumn(name, F.when(F.col("filled"), F.concat(F.lit(prefix), F.col(id_).cast("string"))).otherwise(F.col(name)))
 
 
+def insert_or_reuse(base: DataFrame, new: DataFrame, key: str, id_: str) -> DataFrame:
+    """new(id, key) with `used`: the id of the row that holds its key, in base or, of several new ones, the smallest; null keys
+    conflict with nothing. Rows whose used id is their own are to be inserted."""
+    held = base.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(id_).alias("_held"))
+    first = new.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(id_).alias("_first"))
+    owners = first.join(held, key, "left").select(key, F.coalesce("_held", "_first").alias("used"))
+    return new.join(owners, key, "left").withColumn("used", F.coalesce("used", id_))
+
+
 def violations(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Keys that more than one row holds: a unique constraint as a query."""
     return rows.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")

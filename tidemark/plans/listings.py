@@ -77,6 +77,20 @@ def _(spark, d):
     return table(spark, d, "events").where(expires.isNull() | (expires > now())).select("event_id")
 
 
+@query("p12_starts_with", "SELECT c_custkey FROM customer WHERE starts_with(c_name, 'Customer#00000001') OR starts_with(c_mktsegment, 'AUTO')")
+def _(spark, d):
+    c = table(spark, d, "customer")
+    return c.where(F.startswith("c_name", F.lit("Customer#00000001")) | F.startswith("c_mktsegment", F.lit("AUTO"))).select("c_custkey")
+
+
+@query("p21_owner_check", "SELECT asked, owner, EXISTS (SELECT 1 FROM orders WHERE o_orderkey = asked AND o_custkey = owner) AS owns FROM (SELECT o_orderkey AS asked, CASE WHEN o_orderkey % 3 = 0 THEN o_custkey ELSE o_custkey + 1 END AS owner FROM orders)")
+def _(spark, d):
+    own = posts(spark, d).select("id", "actor")
+    asked = own.select(F.col("id").alias("asked"), F.when(F.col("id") % 3 == 0, F.col("actor")).otherwise(F.col("actor") + 1).alias("owner"))
+    found = asked.join(own, (F.col("id") == F.col("asked")) & (F.col("actor") == F.col("owner")), "left")
+    return found.select("asked", "owner", F.col("id").isNotNull().alias("owns"))
+
+
 def _tab(name: str, test, sql: str):
     @query(f"p14_tab_{name}", f"SELECT id FROM ({COUNTED}) WHERE {sql}")
     def run(spark, d):

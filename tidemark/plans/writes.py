@@ -51,6 +51,15 @@ _CLAIMS = "SELECT p_partkey AS owner, CASE WHEN p_size % 2 = 0 THEN 'HUMAN' ELSE
 _HELD = "SELECT min(p_partkey) AS owner, 'HUMAN' AS kind, p_name AS key FROM part WHERE p_brand = 'Brand#1' GROUP BY p_name"
 
 
+# Parts of one brand are there; the others come in by name.
+@query("m09_reuse", f"""WITH h AS ({_HELD}), n AS (SELECT p_partkey AS id, CASE WHEN p_size <> 7 THEN p_name END AS key FROM part WHERE p_brand <> 'Brand#1')
+SELECT id, n.key, coalesce(h.owner, CASE WHEN n.key IS NOT NULL THEN min(id) OVER (PARTITION BY n.key) ELSE id END) AS used FROM n LEFT JOIN h ON h.key = n.key""")
+def _(spark, d):
+    rows = table(spark, d, "part").select(F.col("p_partkey").alias("id"), "p_brand", "p_size", F.col("p_name").alias("key"))
+    new = rows.where("p_brand <> 'Brand#1'").select("id", F.when(F.col("p_size") != 7, F.col("key")).alias("key"))
+    return W.insert_or_reuse(rows.where("p_brand = 'Brand#1'"), new, "key", "id").select("id", "key", "used")
+
+
 @query("m10_claims", f"""WITH c AS ({_CLAIMS}), h AS ({_HELD})
 SELECT c.owner, c.key, CASE WHEN h.owner <> c.owner THEN 'taken' WHEN h.kind <> c.kind THEN 'same_as_other' WHEN h.owner IS NOT NULL THEN 'own'
 WHEN row_number() OVER (PARTITION BY c.key ORDER BY since, c.owner, c.kind) = 1 THEN 'claimed' ELSE 'lost' END AS outcome FROM c LEFT JOIN h USING (key)""")
