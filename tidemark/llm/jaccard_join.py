@@ -40,7 +40,7 @@ SHORT_LIST = 16
 LONG_IN_TASK = 256
 #: Sets of a long list, or of those compared with one centre, that are in one block; a set counts once more for each
 #: DIFFERENCE bytes of its difference.
-BLOCK, DIFFERENCE = 1_000, 8_000
+BLOCK, DIFFERENCE = 256, 8_000
 NO_ID = (1 << 63) - 1
 _U = np.uint64
 
