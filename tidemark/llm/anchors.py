@@ -218,10 +218,10 @@ def _points(doc_id, tie, gram, at) -> list[tuple[int, int, int, bytes]]:
     return [(int(doc_id[a]), int(tie[a]), POINTS, points[a:b].tobytes()) for a, b in zip(edges, edges[1:], strict=False) if a < b]
 
 
-def meet(docs: DataFrame, units_of: Callable[[], Units], shape: Shape) -> DataFrame:
+def meet(docs: DataFrame, units_of: Callable[[], Units], shape: Shape, hot: int = HOT) -> DataFrame:
     """Rows (doc_id, tie, kind, data) of identity(docs). A written table.
 
-    POINTS: the document's anchors whose gram occurs at several places. MANY: a gram (as doc_id) with `HOT` contexts or more,
+    POINTS: the document's anchors whose gram occurs at several places. MANY: a gram (as doc_id) with `hot` contexts or more,
     and how many (as tie; contexts that several tasks have count once for each).
     """
     buckets = 4 * common.tasks(docs)
@@ -288,7 +288,7 @@ def meet(docs: DataFrame, units_of: Callable[[], Units], shape: Shape) -> DataFr
                 left = np.flatnonzero(np.repeat(open_, entries) & (kinds == 0))
                 rows += _points(doc_id[left], tie[left], gram[left], at[left])
                 contexts = np.add.reduceat(np.maximum(kinds, 1).astype(np.int64), first)
-                rows += [(int(g), int(n), MANY, b"") for g, n in zip(gram[first[contexts >= HOT]].view(np.int64), contexts[contexts >= HOT], strict=True)]
+                rows += [(int(g), int(n), MANY, b"") for g, n in zip(gram[first[contexts >= hot]].view(np.int64), contexts[contexts >= hot], strict=True)]
             yield from found_rows(rows)
 
     sent = common.in_arrow(identity(docs), scan, "bucket int, packed binary")

@@ -272,9 +272,12 @@ def occurrences(lists: list[list[bytes]], phrases: list[tuple[int, int, int]], s
 Finish = Callable[[list[bytes], np.ndarray], tuple]
 
 
-def locate(docs: DataFrame, finish: Finish, schema: str) -> DataFrame:
-    """doc_id and the values of `schema` that finish(words, merged ranges of recurring words) gives, for every row of docs."""
-    found = anchors.meet(docs, units_of, SHAPE)
+def locate(docs: DataFrame, finish: Finish, schema: str, hot: int = anchors.HOT) -> DataFrame:
+    """doc_id and the values of `schema` that finish(words, merged ranges of recurring words) gives, for every row of docs.
+
+    hot: contexts from which on a gram is split.
+    """
+    found = anchors.meet(docs, units_of, SHAPE, hot)
     texts = anchors.squeezed(docs).join(anchors.of_kind(found, anchors.POINTS, "points"), ["doc_id", "tie"], "left")
     groups = _groups(texts, anchors.hot_grams(found))
     phrases = common.in_arrow(anchors.dealt(_passages(groups)), _confirm, "group long, phrases binary")
@@ -310,9 +313,9 @@ def _digest(words: list[bytes], ranges: np.ndarray) -> tuple:
     return len(words), int((ranges[:, 1] - ranges[:, 0]).sum()), hashlib.sha256(b" ".join(kept_words(words, ranges))).hexdigest()
 
 
-def dedup(docs: DataFrame) -> DataFrame:
+def dedup(docs: DataFrame, hot: int = anchors.HOT) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every row."""
-    return locate(docs, _digest, "n_words long, n_removed long, kept_sha256 string")
+    return locate(docs, _digest, "n_words long, n_removed long, kept_sha256 string", hot)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -246,9 +246,9 @@ def kept_bytes(text: bytes, ranges: np.ndarray) -> bytes:
     return b"".join(text[edges[k] : edges[k + 1]] for k in range(0, len(edges), 2))
 
 
-def removed(docs: DataFrame) -> DataFrame:
-    """(doc_id, tie, kind, data) rows with the ranges to remove of docs(doc_id, text)."""
-    found = anchors.meet(docs, units_of, SHAPE)
+def removed(docs: DataFrame, hot: int = anchors.HOT) -> DataFrame:
+    """(doc_id, tie, kind, data) rows with the ranges to remove of docs(doc_id, text). hot: contexts from which on a gram is split."""
+    found = anchors.meet(docs, units_of, SHAPE, hot)
     texts = anchors.squeezed(docs).join(anchors.of_kind(found, anchors.POINTS, "points"), ["doc_id", "tie"])
     return common.in_arrow(anchors.dealt(_collect(texts, anchors.hot_grams(found))), _compare, anchors.FOUND)
 
@@ -257,9 +257,9 @@ def _digest(text: bytes, ranges: np.ndarray) -> tuple:
     return len(text), int((ranges[:, 1] - ranges[:, 0]).sum()), len(ranges), hashlib.sha256(kept_bytes(text, ranges)).hexdigest()
 
 
-def dedup(docs: DataFrame) -> DataFrame:
+def dedup(docs: DataFrame, hot: int = anchors.HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row."""
-    return anchors.cover(docs, removed(docs), _digest, "n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return anchors.cover(docs, removed(docs, hot), _digest, "n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def _text(text: bytes, ranges: np.ndarray) -> tuple:
