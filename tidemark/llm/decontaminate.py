@@ -16,11 +16,9 @@ Results carry the document's own columns in the struct `row`, so they can have a
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
