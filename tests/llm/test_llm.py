@@ -155,15 +155,16 @@ def test_jaccard(docs, texts):
     assert stay == {k for k in sets if root[k] == k}
 
 
-def test_jaccard_long_lists_and_derived_links(spark):
+@pytest.mark.parametrize(("n", "edits"), [(90, 6), (700, 25)])  # lists that are long in a task as well
+def test_jaccard_long_lists_and_derived_links(spark, n, edits):
     rng = random.Random(11)
     base, rows = _words(rng, 120), []
-    for k in range(90):
+    for k in range(n):
         own = list(base)
-        for _ in range(rng.randrange(6)):
+        for _ in range(rng.randrange(edits)):
             own[rng.randrange(120)] = f"e{rng.randrange(10**6)}"
         rows.append((k, " ".join(own)))
-    df = spark.createDataFrame(rows, "doc_id long, text string")
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
     test_jaccard(df, dict(rows))
 
 
