@@ -138,6 +138,18 @@ def row_tie(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
+def crc32_sql(text: str) -> str:
+    """DuckDB SQL for the unsigned CRC-32 of a text's UTF-8 bytes: a table look-up for each half byte, the lower one first."""
+    steps = []
+    for k in range(16):
+        for _ in range(4):
+            k = (k >> 1) ^ 0xEDB88320 if k & 1 else k >> 1
+        steps.append(k)
+    digit = f"instr('123456789ABCDEF', hex(encode({text}))[i + CASE WHEN i % 2 = 1 THEN 1 ELSE -1 END])"
+    halves = f"list_transform(range(1, 2 * octet_length(encode({text})) + 1), lambda i: {digit}::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295, {halves}), lambda c, h: xor(c >> 4, ({steps}::BIGINT[])[(xor(c, h) & 15) + 1])), 4294967295)"
+
+
 class WordHashes:
     """64-bit hashes of words, each computed once; up to `keep` words are kept."""
 
