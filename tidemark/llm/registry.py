@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["token_files", "url_filter", "packing", "jaccard_join", "chat", "decontaminate", "warc", "suffix_dedup", "quality_rules", "phrase_dedup", "prefix_trie", "importance"]
+MODULES = ["token_files", "url_filter", "packing", "jaccard_join", "chat", "decontaminate", "warc", "suffix_dedup", "quality_rules", "phrase_dedup", "prefix_trie", "neighbours", "importance"]
 
 
 def entries() -> dict[str, tuple]:
