@@ -42,8 +42,8 @@ MOST_LISTS = 16_384
 FIT_ROWS, FIT_BYTES = 65_536, 64 << 20
 BOUNDARY, COPIES = 1.02, 4
 PROBE = 1.16
-#: How far beyond the best one the walk over the graph goes on at least.
-WALK = 1.06
+#: How far beyond what is asked for the walk over the graph goes on.
+WALK = 1.05
 LINKS, SEEDS = 16, 32
 #: Lists in a group; vectors and queries in a block; candidates that a task holds.
 GROUP, BLOCK, HELD = 8, 2_000, 500_000
@@ -112,14 +112,14 @@ class Graph:
     def search(self, x: np.ndarray, ratio: float, walk: float = WALK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row, centroid, distance) of the centroids found at most `ratio` times as far as a row's nearest; by row, nearest first.
 
-        All rows walk together: in each step every row opens what it has seen and not opened within `walk` or `ratio` of its best.
+        All rows walk together: in each step every row opens what it has seen, not opened, and what lies within `ratio * walk` of its best.
         """
         n = len(self.centroids)
         apart = np.full((len(x), n), np.inf, np.float32)
         opened = np.zeros(apart.shape, bool)
         own = (x * x).sum(1)
         apart[:, self.seeds] = np.sqrt(np.maximum(0, own[:, None] + self.lengths[self.seeds] - 2 * x @ self.centroids[self.seeds].T))
-        bound = max(ratio, walk)
+        bound = ratio * walk
         while True:
             rows, cells = np.nonzero((apart <= bound * apart.min(1, keepdims=True)) & ~opened)
             if not len(rows):
