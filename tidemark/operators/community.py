@@ -20,14 +20,16 @@ def top_points(ledger: DataFrame, k: int, since: Column | None = None) -> DataFr
 
 #: Actor ids that share a sorting task within one points value.
 BLOCK = 65_536
+#: Points values that share a sorting task.
+LEVEL = 1_024
 
 
 def rank_of(ledger: DataFrame, actors: DataFrame, since: Column | None = None, block: int = BLOCK) -> DataFrame:
     """actor, points, rank of each of actors(actor, a number): 1 + those with more points, or as many and a smaller id.
 
     Asked actors without a ledger row have 0 points and are not counted for others. A rank is the sum of three counts: actors of
-    higher points values (a window over one row per value), actors of the same value in earlier blocks of ids, and actors
-    before it in its own block. So a value that a third of all actors share is sorted block by block.
+    higher points values (those of higher levels of 1,024 values, and those in the own level), actors of the same value in
+    earlier blocks of ids, and actors before it in its own block. So a value that a third of all actors share is sorted block by block, and so are the values.
     """
     own = ledger if since is None else ledger.where(F.col("ts") >= since)
     points = own.groupBy("actor").agg(F.sum("delta").alias("points"), F.lit(1).alias("counts"))
@@ -38,9 +40,12 @@ def rank_of(ledger: DataFrame, actors: DataFrame, since: Column | None = None, b
     until_before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
     blocks = rows.groupBy("points", "block").agg(F.sum("counts").alias("n"))
     earlier = F.coalesce(F.sum("n").over(until_before(Window.partitionBy("points").orderBy("block"))), F.lit(0))
-    values = blocks.groupBy("points").agg(F.sum("n").alias("n"))
-    above = F.coalesce(F.sum("n").over(until_before(Window.orderBy(F.desc("points")))), F.lit(0))
-    before = blocks.withColumn("earlier", earlier).join(values.select("points", above.alias("above")), "points").select("points", "block", (F.col("above") + F.col("earlier")).alias("before"))
+    values = blocks.groupBy("points", F.floor(F.col("points") / LEVEL).alias("level")).agg(F.sum("n").alias("n"))
+    levels = values.groupBy("level").agg(F.sum("n").alias("n"))
+    higher = F.coalesce(F.sum("n").over(until_before(Window.orderBy(F.desc("level")))), F.lit(0))  # a row a level
+    inner = F.coalesce(F.sum("n").over(until_before(Window.partitionBy("level").orderBy(F.desc("points")))), F.lit(0))
+    above = values.withColumn("inner", inner).join(levels.select("level", higher.alias("higher")), "level").select("points", (F.col("higher") + F.col("inner")).alias("above"))
+    before = blocks.withColumn("earlier", earlier).join(above, "points").select("points", "block", (F.col("above") + F.col("earlier")).alias("before"))
     within = F.coalesce(F.sum("counts").over(until_before(Window.partitionBy("points", "block").orderBy("actor"))), F.lit(0))
     return rows.withColumn("within", within).where("asked").join(before, ["points", "block"]).select("actor", "points", (1 + F.col("before") + F.col("within")).alias("rank"))
 

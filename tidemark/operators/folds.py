@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 
 Step = Callable[..., tuple]
 Rule = tuple[str, Step]
+#: From a rule's state to when it is as good as none; None: never.
+Ends = Callable[[object], datetime | None]
 _ARROW = {"boolean": pa.bool_(), "long": pa.int64(), "string": pa.string()}
 
 
@@ -64,6 +66,21 @@ def window_limit(limit: int, seconds: int) -> Rule:
     return "admitted boolean, remaining long, retry_after long", step
 
 
+def window_ends(state) -> datetime | None:
+    """A window is over at its end."""
+    return state[0]
+
+
+def cooldown_ends(seconds: int) -> Ends:
+    """What happened `seconds` ago is forgotten."""
+    return lambda last: last + timedelta(seconds=seconds)
+
+
+def reservation_ends(state) -> datetime | None:
+    """A reservation that nothing was bound by ends with its time; bound accounts stay counted."""
+    return state[1] if state and not state[0] else None
+
+
 def cooldown(seconds: int) -> Rule:
     """values: ts. Admitted if `seconds` have passed since the last admitted event."""
     width = timedelta(seconds=seconds)
@@ -111,6 +128,33 @@ def reservation(most_accounts: int = 1, seconds: int = 600) -> Rule:
     return "outcome string, accounts long", step
 
 
+def cached(seconds: int) -> Rule:
+    """values: ts. hit: whether what was computed last is younger than `seconds`; else it is computed anew, at ts."""
+    width = timedelta(seconds=seconds)
+
+    def step(at, ts):
+        if at is not None and ts < at + width:
+            return at, (True,)
+        return ts, (False,)
+
+    return "hit boolean", step
+
+
+def ring(most: int, moves: bool) -> Rule:
+    """values: id. A list of at most `most` ids: a new one comes last, and the first goes when there are too many. moves: an id that
+    comes again goes to the end, too. evicted: the id that had to go; kept: ids that are in the list after it."""
+
+    def step(ids, new):
+        ids = list(ids or [])
+        if new in ids and not moves:
+            return ids, (None, len(ids))
+        ids = [x for x in ids if x != new] + [new]
+        gone = ids.pop(0) if len(ids) > most else None
+        return ids, (gone, len(ids))
+
+    return "evicted string, kept long", step
+
+
 def challenge(most_attempts: int = 5) -> Rule:
     """values: ts, expires, given, answer. An expired or solved challenge is gone; wrong answers count towards a lock."""
 

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,11 +52,20 @@ def comments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new path below the folder that driver and executors share."""
+    """A new path below the folder that driver and executors share; what lies there goes when Python ends."""
     context = spark.sparkContext
     _need_shared(spark)
     base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    folder = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    atexit.register(_remove, folder)
+    return folder
+
+
+def _remove(folder: str) -> None:
+    with contextlib.suppress(Exception):  # nothing was written, or the store is gone already
+        uri = folder if "://" in folder or not folder.startswith("file:") else f"file://{folder[5:]}"
+        fs, path = pafs.FileSystem.from_uri(uri)
+        fs.delete_dir(path)
 
 
 def _need_shared(spark: SparkSession) -> None:
