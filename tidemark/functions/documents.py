@@ -90,24 +90,47 @@ def front_matter(text: Column) -> Column:
     return F.struct(F.when(found, F.element_at(parts, 2)).alias("matter"), F.when(found, body).otherwise(text).alias("body"))
 
 
-def settings(matter: Column) -> Column:
-    """Array of struct(path, value) from `key: value` lines nested by indentation; paths have dots, list items repeat theirs."""
-    none = F.struct(F.array().cast("array<struct<indent: int, key: string>>").alias("above"), F.array().cast("array<struct<path: string, value: string>>").alias("found"))
+_ABOVE, _FOUND = "array<struct<indent: int, key: string>>", "array<struct<path: string, value: string, entry: int>>"
+
+
+def _read(matter: Column, listed: str) -> Column:
+    """Array of struct(path, value, entry) from `key: value` lines nested by indentation. entry: how many items the list at the path
+    `listed` had begun by then."""
+    none = F.struct(F.array().cast(_ABOVE).alias("above"), F.array().cast(_FOUND).alias("found"), F.lit(0).alias("entry"))
+    keys = lambda above: F.transform(above, lambda a: a["key"])
 
     def add(state: Column, line: Column) -> Column:
-        indent = F.length(line) - F.length(F.ltrim(line)) + F.when(F.ltrim(line).startswith("- "), 2).otherwise(0)
+        item = F.ltrim(line).startswith("- ")
+        indent = F.length(line) - F.length(F.ltrim(line)) + F.when(item, 2).otherwise(0)
         key = F.regexp_extract(line, r"^\s*(?:- )?([A-Za-z_][\w-]*):(?:\s|$)", 1)
         raw = F.btrim(F.when(key != "", F.regexp_extract(line, r"^\s*(?:- )?[\w-]+:\s*(.*)$", 1)).otherwise(F.regexp_extract(line, r"^\s*- (.*)$", 1)))
         value = F.regexp_replace(F.regexp_replace(raw, r"\s+#.*$|^#.*$", ""), r"""^(["'])(.*)\1$""", "$2")
         above = F.filter(state["above"], lambda a: a["indent"] < indent)
-        path = F.array_join(F.concat(F.transform(above, lambda a: a["key"]), F.when(key != "", F.array(key)).otherwise(F.array().cast("array<string>"))), ".")
+        begins = item & (F.array_join(keys(above), ".") == listed)
+        entry = state["entry"] + F.when(begins, 1).otherwise(0)
+        path = F.array_join(F.concat(keys(above), F.when(key != "", F.array(key)).otherwise(F.array().cast("array<string>"))), ".")
         next_above = F.when(key != "", F.concat(above, F.array(F.struct(indent.cast("int").alias("indent"), key.alias("key"))))).otherwise(state["above"])
-        next_found = F.when(value != "", F.concat(state["found"], F.array(F.struct(path.alias("path"), value.alias("value"))))).otherwise(state["found"])
-        return F.struct(next_above.alias("above"), next_found.alias("found"))
+        next_found = F.when(value != "", F.concat(state["found"], F.array(F.struct(path.alias("path"), value.alias("value"), entry.alias("entry"))))).otherwise(state["found"])
+        return F.struct(next_above.alias("above"), next_found.alias("found"), entry.alias("entry"))
 
     return F.aggregate(F.split(F.coalesce(matter, F.lit("")), r"\r?\n"), none, add, lambda s: s["found"])
 
 
+def settings(matter: Column) -> Column:
+    """Array of struct(path, value) from `key: value` lines nested by indentation; paths have dots, list items repeat theirs."""
+    return F.transform(_read(matter, ""), lambda x: F.struct(x["path"], x["value"]))
+
+
+def entries(matter: Column, path: str) -> Column:
+    """Array of arrays of struct(path, value): the settings of each object in the list at a path, paths from the object on.
+
+    setting() reads a field of one of them.
+    """
+    own = F.filter(_read(matter, path), lambda x: x["path"].startswith(f"{path}."))
+    numbers = F.array_distinct(F.transform(own, lambda x: x["entry"]))
+    return F.transform(numbers, lambda n: F.transform(F.filter(own, lambda x: x["entry"] == n), lambda x: F.struct(F.substring(x["path"], F.lit(len(path) + 2), F.length(x["path"])).alias("path"), x["value"])))
+
+
 def setting(found: Column, path: str, default: str | None = None) -> Column:
     """The first value at a path of `settings`, or the default."""
     values = F.filter(found, lambda x: x["path"] == path)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .identity import SPACE, trimmed
+
 # Fixed values.
 DEFAULT_LIMIT, MAX_LIMIT, MAX_PAGE, QUERY_MIN, QUERY_MAX = 30, 50, 200, 2, 120
 TABS = ["all", "concept", "notice"]
@@ -14,8 +16,10 @@ SCOPES = ["title_body", "title", "body", "author"]
 
 
 def leading_int(value: Column) -> Column:
-    """The whole number that a text starts with, else null."""
-    return F.regexp_extract(value, r"^\s*([+-]?\d+)", 1).try_cast("long")
+    """The whole number that a text starts with, after white space of any kind, else null. Numbers of over 18 digits stand as the largest of 18."""
+    digits = F.regexp_extract(value, f"^{SPACE}*[+-]?0*([0-9]+)", 1)
+    sign = F.when(F.regexp_extract(value, f"^{SPACE}*([+-]?)", 1) == "-", -1).otherwise(1)
+    return sign * F.when(F.length(digits) > 18, F.lit(10**18 - 1)).otherwise(digits.try_cast("long"))
 
 
 def allowed(value: Column, names: list[str], fallback: str) -> Column:
@@ -30,7 +34,7 @@ def limit(value: Column) -> Column:
 
 def query_error(text: Column) -> Column:
     """SHORT or LONG for a search text, null for a good or absent one."""
-    n = F.length(F.btrim(text, F.lit(" \t\n\r")))
+    n = F.octet_length(F.encode(trimmed(text), "UTF-16BE")) / 2  # as browsers count
     return F.when(text == "", None).when(n < QUERY_MIN, "SHORT").when(n > QUERY_MAX, "LONG")
 
 

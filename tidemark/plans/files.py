@@ -23,9 +23,20 @@ def _(spark, d):
     return X.load_state(spark, folder, _STATE, _DEFAULTS, fixed={"version": "v2"})
 
 
-@query("s07_missing_state", "SELECT '0' AS version, 0 AS cursor, '1970-01-01' AS day, 3 AS failures, CAST(NULL AS VARCHAR) AS error")
+@query("s07_missing_state", f"SELECT status, '0' AS version, 0 AS cursor, 3 AS failures, count(*) AS ahead FROM ({POSTS}) WHERE id > 0 GROUP BY 1")
 def _(spark, d):
-    return X.load_state(spark, shared_folder(spark, "no-state"), _STATE, _DEFAULTS)
+    # Without a file, the default cursor: all posts are ahead.
+    state = X.load_state(spark, shared_folder(spark, "no-state"), _STATE, _DEFAULTS)
+    ahead = posts(spark, d).join(F.broadcast(state), F.col("id") > F.col("cursor"))  # one row
+    return ahead.groupBy("status", "version", "cursor", "failures").agg(F.count("*").alias("ahead"))
+
+
+@query("s07_null_state", f"SELECT 'v2' AS version, max(id) AS cursor, CAST(NULL AS VARCHAR) AS day, 3 AS failures, CAST(NULL AS VARCHAR) AS error FROM ({POSTS})")
+def _(spark, d):
+    # What a file sets to null stays null.
+    folder = shared_folder(spark, "null-state")
+    X.save_state(posts(spark, d).agg(F.max("id").alias("cursor"), F.lit(None).cast("string").alias("day")), folder)
+    return X.load_state(spark, folder, _STATE, _DEFAULTS, fixed={"version": "v2"})
 
 
 @query("s15_state_sink", f"SELECT status, count(*) AS n FROM ({POSTS}) WHERE status = 'O' GROUP BY 1")
@@ -48,6 +59,17 @@ def _(spark, d):
     return rows.select("id", *(D.setting(F.col("found"), path, default).alias(c) for c, (path, default) in asked.items()), "body")
 
 
+@query("s08_boards", """SELECT n_nationkey AS id, n_name AS slug, 20 + n_nationkey AS read_limit FROM nation WHERE n_nationkey % 4 <> 0 UNION ALL SELECT n_nationkey, 'b' || n_regionkey, 20 FROM nation WHERE n_nationkey % 4 <> 0""")
+def _(spark, d):
+    # One row for each board of a document that has a slug, with its own limit or the default.
+    id_, name = F.col("n_nationkey").cast("string"), F.col("n_name")
+    boards = F.concat(F.lit("---\ntargets:\n  boards:\n    - slug: \""), name, F.lit("\"\n      per_loop_read_limit: "), (F.col("n_nationkey") + 20).cast("string"), F.lit("\n    - per_loop_read_limit: 7\n    - slug: b"), F.col("n_regionkey").cast("string"), F.lit("\nquotas:\n  slug: none\n---\nbody"))
+    text = F.when(F.col("n_nationkey") % 4 != 0, boards).otherwise(F.concat(F.lit("--- "), id_))
+    found = table(spark, d, "nation").select(F.col("n_nationkey").alias("id"), F.explode(D.entries(D.front_matter(text)["matter"], "targets.boards")).alias("board"))
+    rows = found.select("id", D.setting(F.col("board"), "slug").alias("slug"), D.setting(F.col("board"), "per_loop_read_limit", "20").cast("int").alias("read_limit"))
+    return rows.where("slug is not null")
+
+
 @query("s10_log_tail", """WITH t AS (SELECT event_id AS seq, event_type || ' ' || props AS line FROM events WHERE event_id > 100 ORDER BY seq DESC LIMIT 200),
 s AS (SELECT *, sum(strlen(line) + 1) OVER (ORDER BY seq DESC) AS bytes FROM t)
 SELECT seq, line, (SELECT count(*) FROM events WHERE event_id > 100) > (SELECT count(*) FROM s WHERE bytes <= 3000) AS cut FROM s WHERE bytes <= 3000""")
@@ -56,10 +78,13 @@ def _(spark, d):
     return X.log_tail(lines, 100, 200, 3_000)
 
 
-@query("s16_seed", """SELECT id, ['free', 'news', 'help'][id % 3 + 1] AS board, id % 7 AS actor, ['free', 'news', 'help'][id % 3 + 1] || ' #' || (id // 3) AS title,
-TIMESTAMP '2024-01-01 00:00:00' + to_hours(id) AS created, id < 3 AS pinned FROM range(1000) r(id)""")
+@query("s16_seed", """SELECT id, ['free', 'news', 'help'][id % 3 + 1] AS board, c_custkey AS actor, ['free', 'news', 'help'][id % 3 + 1] || ' #' || (id // 3) AS title,
+TIMESTAMP '2024-01-01 00:00:00' + to_hours(id) AS created, id < 3 AS pinned FROM (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) - 1 AS id FROM customer WHERE c_custkey <= 700)
+WHERE id NOT IN (SELECT o_orderkey FROM orders)""")
 def _(spark, d):
-    return seed_posts(spark, 1000)
+    # A post for each of the first actors, but for those whose id is there: seeding again adds nothing.
+    actors = table(spark, d, "customer").where("c_custkey <= 700").select(F.col("c_custkey").alias("actor"))
+    return seed_posts(actors).join(posts(spark, d).select("id"), "id", "left_anti")
 
 
 @query("m01_append", "SELECT c_custkey, c_name FROM customer UNION ALL SELECT c_custkey, c_name FROM customer WHERE c_nationkey = 3")
@@ -86,13 +111,13 @@ def _(spark, d):
     return table(spark, d, "events").select("event_id", P.allowed(asked, P.SORTS, "new").alias("sort"))
 
 
-@query("p30_checks", """SELECT event_id, CAST(CASE WHEN event_id % 6 IN (0, 1, 2) THEN 30 ELSE least(event_id % 80 + 1, 50) END AS BIGINT) AS page_limit,
-CASE WHEN event_id % 3 = 1 THEN 'SHORT' WHEN event_id % 3 = 2 THEN 'LONG' END AS text, CASE WHEN event_id > 200 THEN 'DEEP' END AS page FROM events""")
+@query("p30_checks", """SELECT event_id, CAST(CASE WHEN event_id % 7 IN (0, 1, 2) THEN 30 WHEN event_id % 7 = 6 THEN 50 ELSE least(event_id % 80 + 1, 50) END AS BIGINT) AS page_limit,
+CASE WHEN event_id % 4 IN (1, 3) THEN 'SHORT' WHEN event_id % 4 = 2 THEN 'LONG' END AS text, CASE WHEN event_id > 200 THEN 'DEEP' END AS page FROM events""")
 def _(spark, d):
     event = F.col("event_id")
     n = (event % 80 + 1).cast("string")
-    asked = F.when(event % 6 == 1, F.concat(F.lit("-"), n)).when(event % 6 == 2, F.concat(F.lit("x"), n)).when(event % 6 == 3, F.concat(F.lit(" "), n, F.lit("px"))).when(event % 6 > 3, n)
-    text = F.when(event % 3 == 1, F.lit("  a ")).when(event % 3 == 2, F.repeat(F.lit("ab "), 41)).otherwise(F.when(event % 2 == 0, "").otherwise("ab"))
+    asked = F.when(event % 7 == 1, F.concat(F.lit("-"), n)).when(event % 7 == 2, F.concat(F.lit("x"), n)).when(event % 7 == 3, F.concat(F.lit(" "), n, F.lit("px"))).when(event % 7 == 6, F.concat(n, F.repeat(F.lit("9"), 20))).when(event % 7 > 3, n)
+    text = F.when(event % 4 == 1, F.lit("  a ")).when(event % 4 == 2, F.repeat(F.lit("ab "), 41)).when(event % 4 == 3, F.lit("\u3000a\u3000")).otherwise(F.when(event % 8 == 0, "").otherwise("ab"))
     return table(spark, d, "events").select("event_id", P.limit(asked).cast("long").alias("page_limit"), P.query_error(text).alias("text"), P.page_error(event).alias("page"))
 
 

@@ -41,9 +41,11 @@ def _(spark, d):
     return spark.sql("SELECT o_orderstatus, count(*) AS n FROM {orders} WHERE o_totalprice > :least GROUP BY 1", args={"least": 100_000}, orders=table(spark, d, "orders"))
 
 
-@query("s06_constant_relation", "SELECT key, place FROM (VALUES ('1-URGENT', 1), ('2-HIGH', 2)) v(key, place)")
+@query("s06_constant_relation", f"SELECT key, place, count(id) AS n FROM (VALUES ('1-URGENT', 1), ('2-HIGH', 2), ('none', 3)) v(key, place) LEFT JOIN ({POSTS}) ON board = key GROUP BY 1, 2")
 def _(spark, d):
-    return spark.createDataFrame([("1-URGENT", 1), ("2-HIGH", 2)], "key string, place int")
+    fixed = spark.createDataFrame([("1-URGENT", 1), ("2-HIGH", 2), ("none", 3)], "key string, place int")
+    counts = posts(spark, d).groupBy(F.col("board").alias("key")).agg(F.count("*").alias("n"))
+    return fixed.join(counts, "key", "left").select("key", "place", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
 @query("s11_sequence_gaps", "SELECT board, before + 1 AS expected, o_orderkey AS received FROM (SELECT o_orderpriority AS board, o_orderkey, lag(o_orderkey) OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) AS before FROM orders) WHERE o_orderkey > before + 1")

@@ -3,31 +3,40 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.scoring import salted_hash
+
 
 def load_state(spark: SparkSession, path: str, schema: str, defaults: dict, fixed: dict | None = None) -> DataFrame:
-    """One row of `schema` from a JSON file. What the file lacks has its default; without a readable file all has.
+    """One row of `schema` from a JSON file. What the file lacks has its default, what it sets to null is null; without a readable file all has its default.
 
     fixed: values that hold whatever the file says.
     """
-    base = spark.createDataFrame([()], "").select(*(F.lit(defaults.get(c.name)).cast(c.dataType).alias(c.name) for c in spark.createDataFrame([], schema).schema))
+    kinds = spark.createDataFrame([], schema).schema
     try:
-        read = spark.read.schema(f"{schema}, _broken string").option("multiLine", True).option("columnNameOfCorruptRecord", "_broken").json(path)
-        found = read.where("_broken is null").drop("_broken").limit(1)
+        texts = spark.read.text(path, wholetext=True).where("value <> ''").limit(1)
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
-        found = base.limit(0)
-    rows = found.withColumn("_rank", F.lit(1)).unionByName(base.withColumn("_rank", F.lit(0)))
-    state = rows.agg(*(F.max_by(c, F.when(F.col(c).isNotNull(), F.col("_rank"))).alias(c) for c in base.columns))
-    return state.withColumns({c: F.lit(v).cast(state.schema[c].dataType) for c, v in (fixed or {}).items()})
+        texts = spark.createDataFrame([], "value string")
+    parsed = F.from_json("value", f"{schema}, _broken string", {"columnNameOfCorruptRecord": "_broken"})
+    found = texts.select(F.json_object_keys("value").alias("keys"), parsed.alias("held")).select(F.when(F.col("held._broken").isNull(), F.col("keys")).alias("keys"), "held")
+    row = spark.range(1).join(found, F.lit(True), "left")  # one row by one row at the most
+    values = fixed or {}
+
+    def value(c) -> Column:
+        default = F.lit(values.get(c.name, defaults.get(c.name))).cast(c.dataType)
+        told = F.coalesce(F.array_contains("keys", F.lit(c.name)), F.lit(False))
+        return default if c.name in values else F.when(told, F.col(f"held.{c.name}")).otherwise(default)
+
+    return row.select(*(value(c).alias(c.name) for c in kinds))
 
 
 def save_state(state: DataFrame, path: str) -> None:
     """Replace the file's state: one row as JSON."""
-    state.limit(1).coalesce(1).write.mode("overwrite").json(path)
+    state.limit(1).coalesce(1).write.mode("overwrite").option("ignoreNullFields", False).json(path)
 
 
 def append(rows: DataFrame, path: str) -> None:
@@ -35,6 +44,19 @@ def append(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").parquet(path)
 
 
+def log_audit(rows: DataFrame, path: str, pepper: str) -> bool:
+    """Append audit rows (actor_type, actor_id, endpoint, method, status, ip, user_agent, latency_ms) with the address hashed.
+
+    Whether it worked: a failure never reaches who is being audited. An empty address is none.
+    """
+    address = F.when(F.coalesce("ip", F.lit("")) != "", salted_hash(F.col("ip"), pepper))
+    try:
+        append(rows.withColumn("ip", address), path)
+    except Exception:
+        return False
+    return True
+
+
 def log_tail(lines: DataFrame, cursor: int | None, limit: int, most_bytes: int) -> DataFrame:
     """seq, line, cut of the newest lines after the cursor: `limit` at most, and `most_bytes` bytes at most.
 
