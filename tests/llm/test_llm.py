@@ -536,6 +536,20 @@ def test_odd_pages_and_turns(spark):
     assert chat.format_chats(turns.limit(0)).count() == 0
 
 
+def test_hosts_of_very_many_labels(spark):
+    rules = spark.createDataFrame([*url_filter.RULES, ("a.b.c.d", "/", "block")], "host string, path string, verdict string")
+    long = "x." * 100_000
+    pages = spark.createDataFrame([(1, f"http://{long}net/fr/"), (2, f"http://{long}example.com/en/1"), (3, f"http://{long}b.c.d/"), (4, f"http://{long}a.b.c.d/"), (5, f"http://{long}/")], "page_id long, url string")
+    verdicts = sorted((r["page_id"], r["rule"], r["verdict"]) for r in url_filter.judge(pages, rules).collect())
+    assert verdicts == [(1, "net/fr/", "block"), (2, "example.com/en/", "block"), (3, None, "allow"), (4, "a.b.c.d/", "block"), (5, None, "allow")]
+
+
+def test_target_uri_loses_line_ends_only():
+    url = "http://x/\u2028a\x85b\x0bc\x0cd\x1ce\r\nf"
+    head = warc.record(1, url, b"", "", None).split(b"\r\n\r\n")[0]
+    assert warc.parse_head(head)["WARC-Target-URI"] == url.replace("\r\n", "")
+
+
 def _kept(text, rules):
     """The base rules and the decision list, in plain Python."""
     w, lines = WORD.findall(text), [x for x in text.split("\n") if WORD.search(x)]

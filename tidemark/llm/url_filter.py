@@ -1,7 +1,7 @@
 """URL filters: rules on hosts and path prefixes, matched by short hashes of URL expressions.
 
-Each distinct (host, path) is expanded into expressions: the host and every parent domain, each with every prefix of the
-path whose length some rule path has. An expression's SHA-256 joins the rules' on its first 8 hex digits; the full digest
+Each distinct (host, path) is expanded into expressions: the host and its parent domains of as many labels as some rule's host has
+at the most, each with every prefix of the path whose length some rule path has. An expression's SHA-256 joins the rules' on its first 8 hex digits; the full digest
 then confirms the match, and the longest rule decides (host and path together; then the longer host; then block before
 allow). Everything is a DataFrame expression.
 
@@ -44,15 +44,16 @@ def digest_rules(rules: DataFrame) -> DataFrame:
     return one.select(
         digest.substr(1, PREFIX_DIGITS).alias("short"),
         digest.alias("rule_digest"),
+        F.size(F.split("host", r"\.")).alias("n_labels"),
         F.struct(F.length(key).alias("size"), F.length("host").alias("host_size"), "blocks", key.alias("rule")).alias("found"),
     )
 
 
-def expressions(path_lengths: list[int]):
+def expressions(path_lengths: list[int], most_labels: int):
     """The (host suffix, path prefix) digests of a row's host and path, first of all a null that every row has."""
     labels = F.split("host", r"\.")
     n = F.size(labels)
-    hosts = F.transform(F.sequence(F.lit(1), n), lambda k: F.array_join(F.slice(labels, k, n - k + 1), "."))
+    hosts = F.transform(F.sequence(F.greatest(F.lit(1), n - most_labels + 1), n), lambda k: F.array_join(F.slice(labels, k, n - k + 1), "."))
     lengths = F.filter(F.array(*(F.lit(x) for x in path_lengths)).cast("array<int>"), lambda x: x <= F.length("path"))
     paths = F.transform(lengths, lambda x: F.substring("path", F.lit(1), x))
     each = F.transform(hosts, lambda h: F.transform(paths, lambda p: F.sha2(F.concat(h, F.lit("\n"), p), 256)))
@@ -62,11 +63,13 @@ def expressions(path_lengths: list[int]):
 def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", most_rules: int = MOST_RULES, salts: int = SALTS) -> DataFrame:
     """page_id, host, path, rule and verdict of every row of pages(page_id, url)."""
     rules = digest_rules(rules)
+    most_labels = rules.agg(F.max("n_labels")).first()[0] or 1
+    rules = rules.drop("n_labels")
     lengths = [r[0] for r in rules.select((F.col("found.size") - F.col("found.host_size")).alias("n")).distinct().orderBy("n").collect()]  # as many as path lengths
     small = rules.limit(most_rules + 1).count() <= most_rules
     # Equal rows are judged once, before anything is expanded.
     rows = split_url(pages.select("page_id", "url")).groupBy("page_id", "host", "path").agg(F.count("*").alias("copies"))
-    wide = rows.withColumn("digest", F.explode(expressions(lengths))).withColumn("short", F.substring("digest", 1, PREFIX_DIGITS))
+    wide = rows.withColumn("digest", F.explode(expressions(lengths, most_labels))).withColumn("short", F.substring("digest", 1, PREFIX_DIGITS))
     if small:
         joined = wide.join(F.broadcast(rules), "short", "left")
     else:

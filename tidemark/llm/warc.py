@@ -44,7 +44,7 @@ def record(page_id: int | None, url: str, payload: bytes, digest: str, refers_to
     """One WARC record. A revisit has no block; Payload-Length tells the length of the full payload."""
     head = [
         ("WARC-Type", "response" if refers_to is None else "revisit"), ("WARC-Record-ID", record_id(page_id)), ("WARC-Date", DATE),
-        ("WARC-Target-URI", "".join(url.splitlines())), ("WARC-Payload-Digest", f"sha256:{digest}"), ("Payload-Length", str(len(payload))), ("Content-Type", "text/html; charset=utf-8"),
+        ("WARC-Target-URI", url.replace("\r", "").replace("\n", "")), ("WARC-Payload-Digest", f"sha256:{digest}"), ("Payload-Length", str(len(payload))), ("Content-Type", "text/html; charset=utf-8"),
     ]
     if page_id is not None:
         head.append(("Page-ID", str(page_id)))
