@@ -254,7 +254,7 @@ def test_first_reached_across_blocks(spark):
 _STATE = "version string, cursor long, tags array<string>"
 
 
-@pytest.mark.parametrize(("text", "state"), [(None, ("0", 7, None)), ("{ broken", ("0", 7, None)), ('{"cursor": 9, "tags": ["x"]}', ("0", 9, ["x"])), ('{"cursor": null, "other": 1}', ("0", 7, None))])
+@pytest.mark.parametrize(("text", "state"), [(None, ("0", 7, None)), ("{ broken", ("0", 7, None)), ('{"cursor": 9, "tags": ["x"]}', ("0", 9, ["x"])), ('{"cursor": null, "other": 1}', ("0", None, None)), ('{"cursor": "no number"}', ("0", 7, None))])
 def test_state_with_defaults(spark, tmp_path, text, state):
     if text is not None:
         (tmp_path / "state.json").write_text(text)
