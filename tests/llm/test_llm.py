@@ -112,6 +112,31 @@ def test_plans_use_few_sequences(seed):
     assert exact[2] and exact[3] and exact[4]  # single, pair and triple sums fill gaps
 
 
+def test_sums_fill_gaps_of_real_lengths():
+    """On the documents of sf0.1: pairs and triples of the index fill gaps, and one sequence more than the tokens need is made."""
+    import pyarrow.parquet as pq
+
+    from tidemark.llm.tokens import encoder
+
+    counts = Counter()
+    for batch in pq.ParquetFile("/root/testdata/sf0.1/documents.parquet").iter_batches(500, columns=["text"]):
+        counts.update(size for ids in encoder(TOKENIZER).encode(batch.column(0)) for _, size in packing.cuts(len(ids) // 4 + 1, 1024))
+    assert sum(times for _, times in packing.plan(counts, 1024)) <= 9872
+    left = np.zeros(1025, np.int64)
+    left[list(counts)] = list(counts.values())
+    left[1024] = 0
+    before = left.copy()
+    filled = packing.exact_fills(left, 1024)
+    of_size = Counter()
+    for lengths, times in filled:
+        assert sum(lengths) == 1024
+        of_size[len(lengths)] += times
+        for x in lengths:
+            before[x] -= times
+    assert (before == left).all() and left.min() >= 0
+    assert of_size[2] > 3_000 and of_size[3] > 500 and of_size[4] > 20
+
+
 def test_ids_of_odd_texts_are_the_librarys():
     import pyarrow as pa
     from tokenizers import Tokenizer

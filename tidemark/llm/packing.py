@@ -1,12 +1,13 @@
 """Best-fit packing of token pieces into sequences of a fixed capacity, by exact-complement hashing.
 
-Only the number of pieces of each length matters, so packing plans on a histogram of at most `capacity` counts. The
-longest piece opens a sequence; its gap is looked up in an index of single lengths, pair sums and triple sums, and the
-combinations that fill it exactly are consumed as often as the counts allow. Combinations of two and three serve gaps of up
-to an eighth of the capacity (`NARROW`): there short pieces are of most use, and wider gaps would take them from
-longer openers, which then stay alone; a wider gap takes one exact piece. What nothing completes is placed best-fit, longest
-first. The plan is a list of patterns (lengths in a sequence, how many sequences); a piece finds its place by its rank among
-all pieces of its length.
+Only the number of pieces of each length matters, so packing plans on a histogram of at most `capacity` counts. A piece opens a
+sequence; its gap is looked up in an index of single lengths, pair sums and triple sums, and the combinations that fill it
+exactly are consumed as often as the counts allow: first each opener's exact complement, then pairs for the openers that
+are left, then triples, longest opener first each time, even combinations before uneven ones, which would take long pieces. What
+nothing completes is placed best-fit, longest first. Where lengths are few, exact pairs and triples can use up the short pieces
+that best fit would need, so the plans with sums of up to three, two and one lengths are made, and the one with the
+fewest sequences is taken. A plan is a list of patterns (lengths in a sequence, how many sequences); a piece finds its place
+by its rank among all pieces of its length.
 
 Ranks need no shuffle of documents: each task numbers its own pieces by length, and a table of counts by task and length
 gives each task's first rank. Null text is an empty document (the end id alone); repeated doc_ids are packed each for itself.
@@ -30,8 +31,6 @@ from .tokens import encoder as open_encoder
 
 CAPACITY = 1024
 END_ID = 2
-#: Combinations of two and three pieces fill gaps of up to capacity // NARROW.
-NARROW = 8
 
 
 def cuts(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -48,46 +47,61 @@ class Sums:
         self.left = left
         self.pairs: dict[int, list[tuple[int, int]]] = {}
 
-    def _pairs(self, total: int) -> list[tuple[int, int]]:
-        """Pairs (longer, shorter) with this sum of lengths that were available at the first look-up, longest first."""
+    def pairs_of(self, total: int) -> list[tuple[int, int]]:
+        """Pairs (longer, shorter) with this sum of lengths that were available at the first look-up, most even first."""
         if total not in self.pairs:
-            self.pairs[total] = [(a, total - a) for a in range(total - 1, (total - 1) // 2, -1) if self.left[a] and self.left[total - a]]
+            short = np.arange(total // 2, 0, -1)
+            short = short[(self.left[short] > 0) & (self.left[total - short] > 0)]
+            self.pairs[total] = list(zip((total - short).tolist(), short.tolist(), strict=True))
         return self.pairs[total]
 
-    def filling(self, gap: int, most: int) -> Iterator[tuple[int, ...]]:
-        """Combinations of up to `most` (three at the most) lengths that fill the gap; fewest pieces first."""
-        yield (gap,)
-        if most > 1:
-            yield from self._pairs(gap)
-        if most > 2:
-            for x in range(gap - 2, (gap - 1) // 3, -1):
+    def filling(self, gap: int, size: int) -> Iterator[tuple[int, ...]]:
+        """Combinations of one, two or three lengths that fill the gap."""
+        if size == 1:
+            yield (gap,)
+        elif size == 2:
+            yield from self.pairs_of(gap)
+        else:
+            for x in range((gap + 2) // 3, gap - 1):
                 if self.left[x]:
-                    yield from ((x, a, b) for a, b in self._pairs(gap - x) if a <= x)
+                    yield from ((x, a, b) for a, b in self.pairs_of(gap - x) if a <= x)
 
 
 Patterns = list[tuple[tuple[int, ...], int]]
 
 
+def exact_fills(left: np.ndarray, capacity: int, most: int = 3) -> Patterns:
+    """Patterns of openers and combinations of up to `most` lengths that fill their gaps exactly; takes the pieces out of `left`."""
+    made: Patterns = []
+    sums = Sums(left)
+    for size in range(1, most + 1):
+        for length in range(capacity - 1, 0, -1):
+            if not left[length]:
+                continue
+            for rest in sums.filling(capacity - length, size):
+                pattern = (length, *rest)
+                times = min(int(left[x]) // n for x, n in Counter(pattern).items())
+                if times:
+                    for x in pattern:
+                        left[x] -= times
+                    made.append((pattern, times))
+                if not left[length]:
+                    break
+    return made
+
+
 def plan(counts: dict[int, int], capacity: int) -> Patterns:
     """Patterns (lengths, times) that together hold exactly `counts` pieces of each length."""
     left = np.zeros(capacity + 1, np.int64)
     for length, n in counts.items():
         left[length] = n
-    made: Patterns = []
-    if left[capacity]:
-        made.append(((capacity,), int(left[capacity])))
-        left[capacity] = 0
-    sums = Sums(left)
-    for length in range(capacity - 1, 0, -1):
-        gap = capacity - length
-        for rest in sums.filling(gap, 3 if gap <= capacity // NARROW else 1) if left[length] else ():
-            pattern = (length, *rest)
-            times = min(int(left[x]) // n for x, n in Counter(pattern).items())
-            if times:
-                for x in pattern:
-                    left[x] -= times
-                made.append((pattern, times))
-    return made + _best_fit(left, capacity)
+    whole: Patterns = [((capacity,), int(left[capacity]))] if left[capacity] else []
+    left[capacity] = 0
+    plans = []
+    for most in (3, 2, 1):
+        rest = left.copy()
+        plans.append(exact_fills(rest, capacity, most) + _best_fit(rest, capacity))
+    return whole + min(plans, key=lambda made: sum(times for _, times in made))
 
 
 def _best_fit(left: np.ndarray, capacity: int) -> Patterns:
