@@ -434,6 +434,17 @@ def test_phrases_of_a_common_passage(spark):
     _check_phrases(docs, rows, hot=50)
 
 
+def test_phrases_of_a_passage_in_every_group(spark):
+    """Many small groups, one licence text in each of them, and copies of documents in others."""
+    rng = random.Random(12)
+    licence = " ".join(_words(rng, 70))
+    rows = [" ".join([*_words(rng, 40 + k % 7), licence if k % 3 else licence[: 40 * (k % 5)], *_words(rng, 30)]) for k in range(80)]
+    rows += rows[:10] + [licence]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(5)
+    for grouped in (1, 2_000):
+        _check_phrases(docs, dict(enumerate(rows)), grouped=grouped)
+
+
 def _check_phrases(docs, texts, **more):
     lists = {k: WORD.findall(t) for k, t in texts.items()}
     times = Counter(tuple(w[s : s + 35]) for w in lists.values() for s in range(len(w) - 34))

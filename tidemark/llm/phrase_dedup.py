@@ -2,8 +2,9 @@
 
 1. `anchors` finds the places whose neighbourhood can recur. Documents are put in groups of about 1 MB, and each group lists its
    different passages there (up to 62 words), once each.
-2. `_confirm` brings equal and similar passages of all groups together and compares them word by word. What occurs at two
-   places or more is a confirmed phrase: a whole passage, or a run of its windows.
+2. `_confirm` brings equal and similar passages together and compares them word by word. What occurs at two
+   places or more is a confirmed phrase: a whole passage, or a run of its windows. It holds each passage, not who has it: groups
+   ask for a passage's phrases by its digest, in a join that Spark splits where very many groups have one passage.
 3. A group's confirmed phrases are compiled into Aho-Corasick automata with a letter per word, in shards of `SHARD` words. All
    documents of the group are streamed through them; the words removed are those that the automata find, wherever
    and however often they occur. A group is a shard of the corpus: its automata need no phrase that its documents don't have.
@@ -32,6 +33,7 @@ SHAPE = anchors.Shape(WINDOW, GRAM)
 GROUPED, COLLECTED, COMPARED = 1 << 20, 24 << 20, 4 << 20
 #: Words of the phrases in one automaton (some 40 MB), and letters that strings can hold.
 SHARD, LETTERS = 1_000_000, 1_112_000
+DIGEST = 16
 PASSAGE = np.dtype([("key", "<u8"), ("doc", "<u4"), ("low", "<u4"), ("high", "<u4"), ("several", "?")])
 
 
@@ -46,8 +48,8 @@ def units_of():
     return units
 
 
-def _groups(texts: DataFrame, hot: frozenset[int]) -> DataFrame:
-    """Documents in groups, each with its different passages, from texts(doc_id, tie, packed, points). A written table."""
+def _groups(texts: DataFrame, hot: frozenset[int], grouped: int) -> DataFrame:
+    """Documents in groups, each with its different passages and their digests, from texts(doc_id, tie, packed, points). A written table."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -58,7 +60,8 @@ def _groups(texts: DataFrame, hot: frozenset[int]) -> DataFrame:
 
         def give() -> pa.RecordBatch:
             raw = packer.compress(pickle.dumps((docs, np.array(rows, PASSAGE)), 5))
-            return pa.RecordBatch.from_arrays([pa.array([first + made], pa.int64()), pa.array([raw], pa.binary())], names=["group", "packed"])
+            asked = b"".join([_digest_of(key, context) for key, context in seen])  # in the order of rows
+            return pa.RecordBatch.from_arrays([pa.array([first + made], pa.int64()), pa.array([raw], pa.binary()), pa.array([asked], pa.binary())], names=["group", "packed", "asked"])
 
         for batch in batches:
             for doc_id, tie, packed, own in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "tie", "packed", "points")), strict=True):
@@ -77,17 +80,36 @@ def _groups(texts: DataFrame, hot: frozenset[int]) -> DataFrame:
                             rows[known] = (k, d, low, high, True)
                 docs.append((doc_id, tie, text))
                 size += len(text) + 50
-                if size >= GROUPED:
+                if size >= grouped:
                     yield give()
                     docs, seen, rows, size, made = [], {}, [], 0, made + 1
         if docs:
             yield give()
 
-    return common.settle(common.in_arrow(texts, work, "group long, packed binary"), "groups")
+    return common.settle(common.in_arrow(texts, work, "group long, packed binary, asked binary"), "groups")
+
+
+def _digest_of(key: int, context: bytes) -> bytes:
+    from xxhash import xxh3_128_digest
+
+    return xxh3_128_digest(context, key)
+
+
+def _asks(groups: DataFrame) -> DataFrame:
+    """group, passage (its place in the group) and id (its digest) of all passages of all groups."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for group, asked in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                n = len(asked.as_buffer()) // DIGEST
+                ids = pa.Array.from_buffers(pa.binary(DIGEST), n, [None, asked.as_buffer()]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, group)), pa.array(np.arange(n, dtype=np.int32)), ids], names=["group", "passage", "id"])
+
+    return common.in_arrow(groups.select("group", "asked"), work, "group long, passage int, id binary")
 
 
 def _passages(groups: DataFrame) -> DataFrame:
-    """The groups' passages dealt by key; a task sends equal ones once, with all that list them."""
+    """The groups' passages dealt by key; a task sends equal ones once."""
     buckets = 4 * common.tasks(groups)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,27 +117,23 @@ def _passages(groups: DataFrame) -> DataFrame:
 
         opener, packer = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=3)
         seen: dict[tuple[int, bytes], int] = {}
-        places, several, listed, size = [], [], [], 0
+        places, several, size = [], [], 0
 
         def send() -> Iterator[pa.RecordBatch]:
             keys = np.fromiter((k for k, _ in seen), np.uint64, len(seen))
             contexts = [c for _, c in seen]
-            where, who = np.array(places, np.int64).reshape(-1, 3), np.array(listed, np.int64).reshape(-1, 3)
-            who = who[np.argsort(who[:, 0], kind="stable")]
-            edges = np.searchsorted(who[:, 0], np.arange(len(contexts) + 1))
+            where = np.array(places, np.int64).reshape(-1, 3)
             rows = []
             for b, own in anchors.parts((keys % np.uint64(buckets)).astype(np.int64), buckets):
-                times = edges[own + 1] - edges[own]
-                refs = who[np.repeat(edges[own] - (np.cumsum(times) - times), times) + np.arange(int(times.sum())), 1:]
-                raw = (keys[own], where[own], np.array(several, bool)[own], [contexts[k] for k in own.tolist()], times, refs)
+                raw = (keys[own], where[own], np.array(several, bool)[own], [contexts[k] for k in own.tolist()])
                 rows.append((b, packer.compress(pickle.dumps(raw, 5))))
             yield from anchors.packed_rows(rows)
 
         for batch in batches:
-            for group, packed in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for packed in batch.column(0):
                 docs, passages = pickle.loads(opener.decompress(packed.as_buffer()))
                 words, own = [], None
-                for k, (key, d, low, high, twice) in enumerate(passages.tolist()):
+                for key, d, low, high, twice in passages.tolist():
                     if d != own:
                         words, own = docs[d][2].split(), d
                     context = b" ".join(words[low:high])
@@ -127,30 +145,27 @@ def _passages(groups: DataFrame) -> DataFrame:
                         size += len(context) + 300
                     elif twice or places[n] != place:
                         several[n] = True
-                    listed.append((n, group, k))
-                    size += 100
                 if size >= COLLECTED:
                     yield from send()
                     seen.clear()
-                    places, several, listed, size = [], [], [], 0
+                    places, several, size = [], [], 0
         if seen:
             yield from send()
 
-    return common.in_arrow(groups, work, "bucket int, packed binary")
+    return common.in_arrow(groups.select("packed"), work, "bucket int, packed binary")
 
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (group, phrases): int32 triples (passage, first word, end word) of the group's confirmed phrases."""
+    """Rows (id, phrases) of the passages that hold confirmed phrases: int32 pairs (first word, end word)."""
     import zstandard
 
     opener = zstandard.ZstdDecompressor()
     for bucket in anchors.by_bucket(batches):
         # Equal passages of all tasks are one.
         seen: dict[tuple[int, bytes], int] = {}
-        places, several, refs = [], [], []
+        places, several = [], []
         for packed in bucket:
-            keys, where, twice, contexts, times, who = pickle.loads(opener.decompress(packed))
-            to = []
+            keys, where, twice, contexts = pickle.loads(opener.decompress(packed))
             for key, place, again, context in zip(keys.tolist(), where.tolist(), twice.tolist(), contexts, strict=True):
                 n = seen.setdefault((key, context), len(places))
                 if n == len(places):
@@ -158,22 +173,14 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     several.append(again)
                 elif again or places[n] != place:
                     several[n] = True
-                to.append(n)
-            refs.append(np.column_stack([np.repeat(to, times), who]))
         phrases = _phrases(seen, np.array(places, np.int64).reshape(-1, 3), np.array(several, bool))
-        order = np.argsort(phrases[:, 0], kind="stable")
-        phrases, refs = phrases[order], np.concatenate(refs)
-        low, high = np.searchsorted(phrases[:, 0], refs[:, 0]), np.searchsorted(phrases[:, 0], refs[:, 0], "right")
-        times = high - low
-        own = np.repeat(low - (np.cumsum(times) - times), times) + np.arange(int(times.sum()))
-        group, triples = np.repeat(refs[:, 1], times), np.column_stack([np.repeat(refs[:, 2], times), phrases[own, 1:]]).astype("<i4")
-        order = np.argsort(group, kind="stable")
-        group, triples = group[order], triples[order]
-        edges = [*np.flatnonzero(~anchors.same_as_before(group)).tolist(), len(group)]
-        rows = [(int(group[a]), triples[a:b].tobytes()) for a, b in zip(edges, edges[1:], strict=False) if a < b]
+        phrases = phrases[np.argsort(phrases[:, 0], kind="stable")]
+        pairs, edges = phrases[:, 1:].astype("<i4"), [*np.flatnonzero(~anchors.same_as_before(phrases[:, 0])).tolist(), len(phrases)]
+        passages = list(seen)
+        rows = [(_digest_of(*passages[phrases[a, 0]]), pairs[a:b].tobytes()) for a, b in zip(edges, edges[1:], strict=False) if a < b]
         for at in range(0, len(rows), 5000):
             columns = zip(*rows[at : at + 5000], strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.binary()), strict=True)], names=["group", "phrases"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in columns], names=["id", "phrases"])
 
 
 def _phrases(seen: dict[tuple[int, bytes], int], places: np.ndarray, several: np.ndarray) -> np.ndarray:
@@ -272,16 +279,18 @@ def occurrences(lists: list[list[bytes]], phrases: list[tuple[int, int, int]], s
 Finish = Callable[[list[bytes], np.ndarray], tuple]
 
 
-def locate(docs: DataFrame, finish: Finish, schema: str, hot: int = anchors.HOT) -> DataFrame:
+def locate(docs: DataFrame, finish: Finish, schema: str, hot: int = anchors.HOT, grouped: int = GROUPED) -> DataFrame:
     """doc_id and the values of `schema` that finish(words, merged ranges of recurring words) gives, for every row of docs.
 
-    hot: contexts from which on a gram is split.
+    hot: contexts from which on a gram is split; grouped: bytes of text in a group.
     """
     found = anchors.meet(docs, units_of, SHAPE, hot)
     texts = anchors.squeezed(docs).join(anchors.of_kind(found, anchors.POINTS, "points"), ["doc_id", "tie"], "left")
-    groups = _groups(texts, anchors.hot_grams(found))
-    phrases = common.in_arrow(anchors.dealt(_passages(groups)), _confirm, "group long, phrases binary")
-    phrases = phrases.groupBy("group").agg(F.collect_list("phrases").alias("phrases"))
+    groups = _groups(texts, anchors.hot_grams(found), grouped)
+    confirmed = common.in_arrow(anchors.dealt(_passages(groups)), _confirm, "id binary, phrases binary")
+    # A passage that a third of all groups have makes one large key of `_asks`; the other side has one row of it, so Spark may split it.
+    told = _asks(groups).join(confirmed, "id")
+    phrases = told.groupBy("group").agg(F.collect_list(F.struct("passage", "phrases")).alias("phrases"))
     names, kinds = zip(*(c.split() for c in schema.split(", ")), strict=True)
     targets = [{"long": pa.int64(), "string": pa.string()}[k] for k in kinds]
 
@@ -293,9 +302,11 @@ def locate(docs: DataFrame, finish: Finish, schema: str, hot: int = anchors.HOT)
             for packed, confirmed in zip(batch.column("packed"), batch.column("phrases"), strict=True):
                 members, passages = pickle.loads(opener.decompress(packed.as_buffer()))
                 lists = [text.split() for _, _, text in members]
-                triples = np.concatenate([np.zeros((0, 3), "<i4"), *(np.frombuffer(x.as_buffer(), "<i4").reshape(-1, 3) for x in confirmed.values or [])])
-                of, low = passages["doc"][triples[:, 0]].tolist(), passages["low"][triples[:, 0]].astype(np.int64)
-                hits = occurrences(lists, list(zip(of, (low + triples[:, 1]).tolist(), (low + triples[:, 2]).tolist(), strict=True)))
+                told = confirmed.as_py() or []
+                own = np.repeat([x["passage"] for x in told], [len(x["phrases"]) // 8 for x in told]).astype(np.int64)
+                pairs = np.frombuffer(b"".join([x["phrases"] for x in told]), "<i4").reshape(-1, 2)
+                of, low = passages["doc"][own].tolist(), passages["low"][own].astype(np.int64)
+                hits = occurrences(lists, list(zip(of, (low + pairs[:, 0]).tolist(), (low + pairs[:, 1]).tolist(), strict=True)))
                 rows = []
                 for (doc_id, _, _), words, pairs in zip(members, lists, hits, strict=True):
                     rows.append((None if doc_id == anchors.NULL_ID else doc_id, *finish(words, anchors.merged(*pairs.T) if len(pairs) else pairs)))
@@ -313,9 +324,9 @@ def _digest(words: list[bytes], ranges: np.ndarray) -> tuple:
     return len(words), int((ranges[:, 1] - ranges[:, 0]).sum()), hashlib.sha256(b" ".join(kept_words(words, ranges))).hexdigest()
 
 
-def dedup(docs: DataFrame, hot: int = anchors.HOT) -> DataFrame:
+def dedup(docs: DataFrame, hot: int = anchors.HOT, grouped: int = GROUPED) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every row."""
-    return locate(docs, _digest, "n_words long, n_removed long, kept_sha256 string", hot)
+    return locate(docs, _digest, "n_words long, n_removed long, kept_sha256 string", hot, grouped)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
