@@ -7,7 +7,8 @@ conversations share a first turn or all turns. All of it is DataFrame expression
 
 Turns are ordered by turn, then role (nulls first), then the digest of role and text, so that only digests travel until a
 conversation is rendered. A null role or text differs from an empty one in order and digest, and is rendered as empty. Rows with a null conv_id form one conversation of their own. A conversation is one output row,
-so its turns must fit in a row; that is the only group that is ever gathered.
+so its turns must fit in a row; that is the only group that is ever gathered. An empty table has no conversations. Other
+columns, whatever their names, aren't read.
 """
 
 from __future__ import annotations

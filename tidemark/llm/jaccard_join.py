@@ -12,7 +12,8 @@ compared in full. Every answer is that of whole sets.
 
 Words are lower-cased (A-Z) runs of bytes other than \\x20 and \\x09-\\x0D; a text of fewer than 5 words has one shingle, and
 one without words has none and links with nothing. Shingles are compared by 64-bit hashes. Null doc_ids take part, but
-are never the smallest of a group with others. Repeated rows link like equal texts.
+are never the smallest of a group with others. Repeated rows link like equal texts. An empty table has no rows and no groups. Other
+columns, whatever their names, aren't read; `one_of_each` gives them back.
 """
 
 from __future__ import annotations

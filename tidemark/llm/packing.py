@@ -11,6 +11,7 @@ by its rank among all pieces of its length.
 
 Ranks need no shuffle of documents: each task numbers its own pieces by length, and a table of counts by task and length
 gives each task's first rank. Null text is an empty document (the end id alone); repeated doc_ids are packed each for itself.
+An empty table has no pieces. Other columns, whatever their names, aren't read.
 """
 
 from __future__ import annotations

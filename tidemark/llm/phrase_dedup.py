@@ -10,7 +10,7 @@
    and however often they occur. A group is a shard of the corpus: its automata need no phrase that its documents don't have.
 
 Words are runs of bytes other than \\x20 and \\x09-\\x0D, unchanged. Null text has none. Rows that share doc_id and text are one
-document, and its words don't recur by that.
+document, and its words don't recur by that. An empty table gives an empty result. Other columns, whatever their names, aren't read.
 """
 
 from __future__ import annotations

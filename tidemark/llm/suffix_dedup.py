@@ -10,6 +10,7 @@ same in two contexts if they are in one run of the first order and in one run of
 Equal contexts of a task are found by comparing their bytes before anything is sent, so a task sends each context once.
 "Earlier" means a smaller doc_id (null is the smallest), or the same document and an earlier start. Null text is empty. Texts under 100
 bytes lose nothing. Rows that share doc_id and text are one document; of one doc_id with different texts, a hash decides.
+An empty table gives an empty result. Other columns, whatever their names, aren't read; `without_repeats` gives them back.
 """
 
 from __future__ import annotations

@@ -9,7 +9,8 @@ Rules are broadcast up to `most_rules` of them; a larger rule table is joined by
 `salts` ways, as one host may hold a third of all rows.
 
 A null url, or one without "://", has an empty host and path and no rule. Where no rule fits, rule is null and the verdict is
-`default`. Repeated rows stay, each with its verdict.
+`default`. Repeated rows stay, each with its verdict. An empty table of pages gives no verdicts, one of rules gives `default` for all. Other
+columns, whatever their names, aren't read.
 """
 
 from __future__ import annotations

@@ -7,7 +7,8 @@ the smallest page_id.
 
 Null html is an empty payload, null url an empty target. A null page_id is never the response that others revisit, but
 revisits one. Pages that share a page_id and a payload are each written; which of them is the response is settled by
-their url, and equal rows are all responses.
+their url, and equal rows are all responses. An empty table makes no archive, and reading none gives no rows. Other columns, whatever their
+names, aren't read.
 """
 
 from __future__ import annotations
