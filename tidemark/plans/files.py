@@ -80,11 +80,11 @@ def _(spark, d):
 
 @query("s16_seed", """SELECT id, ['free', 'news', 'help'][id % 3 + 1] AS board, c_custkey AS actor, ['free', 'news', 'help'][id % 3 + 1] || ' #' || (id // 3) AS title,
 TIMESTAMP '2024-01-01 00:00:00' + to_hours(id) AS created, id < 3 AS pinned FROM (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) - 1 AS id FROM customer WHERE c_custkey <= 700)
-WHERE id NOT IN (SELECT o_orderkey FROM orders)""")
+WHERE id NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')""")
 def _(spark, d):
     # A post for each of the first actors, but for those whose id is there: seeding again adds nothing.
     actors = table(spark, d, "customer").where("c_custkey <= 700").select(F.col("c_custkey").alias("actor"))
-    return seed_posts(actors).join(posts(spark, d).select("id"), "id", "left_anti")
+    return seed_posts(actors).join(posts(spark, d).where("status = 'F'").select("id"), "id", "left_anti")
 
 
 @query("m01_append", "SELECT c_custkey, c_name FROM customer UNION ALL SELECT c_custkey, c_name FROM customer WHERE c_nationkey = 3")

@@ -19,6 +19,7 @@ from ..sources import buckets as B
 from ..sources import files as X
 from ..sources import layout as L
 from ..sources.tables import comments, ledger, posts, shared_folder, table
+from ..streaming import limits
 from .queries import _AUTHORS, _THREADS
 from .registry import FOUND, LEDGER, NOW, POSTS, now, query
 
@@ -66,12 +67,12 @@ def _(spark, d):
     return P.ilike(spark, grams, folder, "doc_id", "text", "%the_on%", _BLOCK).where(F.col("lang").isin("en", "fr")).select("doc_id", "lang")
 
 
-@query("p11_trigram_search", "SELECT p_partkey, p_name FROM part WHERE contains(lower(p_type), 'steel')")
+@query("p11_trigram_search", "SELECT p_partkey, p_name FROM part WHERE contains(lower(p_type), 'econ')")
 def _(spark, d):
     part, grams, folder = table(spark, d, "part"), P.Index(shared_folder(spark, "types")), shared_folder(spark, "parts")
     P.add(grams, part, "p_partkey", P.trigrams(F.col("p_type")))
     P.lay_out(part, "p_partkey", folder, _BLOCK)
-    return P.ilike(spark, grams, folder, "p_partkey", "p_type", "%steel%", _BLOCK).select("p_partkey", "p_name")
+    return P.ilike(spark, grams, folder, "p_partkey", "p_type", "%ECon%", _BLOCK).select("p_partkey", "p_name")
 
 
 @query("m02_upsert_in_place", FOUND["m02_upsert"][1])
@@ -229,3 +230,14 @@ SELECT a.user_id, count(a.ts) AS computed, (SELECT count(*) FROM events e WHERE
 def _(spark, d):
     rows = R.fold(table(spark, d, "events").select("event_id", "user_id", "ts"), "user_id", ["ts", "event_id"], ["ts"], R.cached(36_000))
     return rows.groupBy("user_id").agg(F.count_if(~F.col("hit")).alias("computed"), F.count_if("hit").alias("hits"))
+
+
+@query("t20_flushes", "SELECT event_type, count(*) AS n, sum(event_id) AS ids FROM events GROUP BY 1")
+def _(spark, d):
+    # A stream of the events, flushed into a table at an interval; what came twice would count twice.
+    folder, rows, schema = shared_folder(spark, "flushed"), shared_folder(spark, "events"), "event_id long, event_type string"
+    table(spark, d, "events").select("event_id", "event_type").write.parquet(rows)
+    flushes = limits.flushed(spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(rows), lambda batch, number: X.append(batch, folder), shared_folder(spark, "flushes"))
+    flushes.processAllAvailable()
+    flushes.stop()
+    return spark.read.schema(schema).parquet(folder).groupBy("event_type").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))
