@@ -18,7 +18,7 @@ from ..operators import writes as W
 from ..sources import buckets as B
 from ..sources import files as X
 from ..sources import layout as L
-from ..sources.tables import comments, ledger, posts, shared_folder, table
+from ..sources.tables import comments, ledger, posts, settled, shared_folder, table
 from ..streaming import limits
 from .queries import _AUTHORS, _THREADS
 from .registry import FOUND, LEDGER, NOW, POSTS, now, query
@@ -42,6 +42,17 @@ def _(spark, d):
     return P.of_ids(spark, folder, "doc_id", P.search(spark, words, ["the", "that", "with"]), _BLOCK).select("doc_id", "source")
 
 
+@query("p13_index_page", r"SELECT doc_id, source, (SELECT count(*) FROM documents WHERE list_has_all(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'), ['the', 'that'])) AS total FROM documents WHERE list_has_all(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'), ['the', 'that']) ORDER BY doc_id DESC LIMIT 30 OFFSET 60")
+def _(spark, d):
+    # A page of what was found, newest first, and how much there is: texts are read for the rows of the page only.
+    docs, words, _, folder = _texts(spark, d)
+    P.add(words, docs, "doc_id", P.words(F.col("text")))
+    P.lay_out(docs, "doc_id", folder, _BLOCK)
+    found = settled(P.search(spark, words, ["the", "that"]))
+    page = settled(C.page(found, [F.desc("id")], 30, 60))
+    return P.of_ids(spark, folder, "doc_id", page, _BLOCK).select("doc_id", "source", F.lit(found.count()).cast("long").alias("total"))
+
+
 @query("p13_term_counts", r"SELECT term, count(*) AS n FROM (SELECT unnest(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'))) AS term FROM documents) WHERE term IN ('the', 'that', 'und', 'nowhere') GROUP BY 1")
 def _(spark, d):
     docs, words, _, _ = _texts(spark, d)
