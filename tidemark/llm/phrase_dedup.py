@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from xxhash import xxh3_128_digest
 
 from . import anchors, common
 
@@ -60,7 +61,7 @@ def _groups(texts: DataFrame, hot: frozenset[int], grouped: int) -> DataFrame:
 
         def give() -> pa.RecordBatch:
             raw = packer.compress(pickle.dumps((docs, np.array(rows, PASSAGE)), 5))
-            asked = b"".join([_digest_of(key, context) for key, context in seen])  # in the order of rows
+            asked = b"".join([xxh3_128_digest(context, key) for key, context in seen])  # in the order of rows
             return pa.RecordBatch.from_arrays([pa.array([first + made], pa.int64()), pa.array([raw], pa.binary()), pa.array([asked], pa.binary())], names=["group", "packed", "asked"])
 
         for batch in batches:
@@ -89,12 +90,6 @@ def _groups(texts: DataFrame, hot: frozenset[int], grouped: int) -> DataFrame:
     return common.settle(common.in_arrow(texts, work, "group long, packed binary, asked binary"), "groups")
 
 
-def _digest_of(key: int, context: bytes) -> bytes:
-    from xxhash import xxh3_128_digest
-
-    return xxh3_128_digest(context, key)
-
-
 def _asks(groups: DataFrame) -> DataFrame:
     """group, passage (its place in the group) and id (its digest) of all passages of all groups."""
 
@@ -176,11 +171,13 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         phrases = _phrases(seen, np.array(places, np.int64).reshape(-1, 3), np.array(several, bool))
         phrases = phrases[np.argsort(phrases[:, 0], kind="stable")]
         pairs, edges = phrases[:, 1:].astype("<i4"), [*np.flatnonzero(~anchors.same_as_before(phrases[:, 0])).tolist(), len(phrases)]
-        passages = list(seen)
-        rows = [(_digest_of(*passages[phrases[a, 0]]), pairs[a:b].tobytes()) for a, b in zip(edges, edges[1:], strict=False) if a < b]
-        for at in range(0, len(rows), 5000):
-            columns = zip(*rows[at : at + 5000], strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in columns], names=["id", "phrases"])
+        passages, flat = list(seen), pairs.tobytes()
+        numbers, edges = phrases[edges[:-1], 0].tolist(), (8 * np.array(edges)).astype(np.int32)
+        for at in range(0, len(numbers), 50_000):
+            ids = [xxh3_128_digest(context, key) for key, context in (passages[n] for n in numbers[at : at + 50_000])]
+            own = edges[at : at + len(ids) + 1]
+            told = pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer((own - own[0]).tobytes()), pa.py_buffer(flat[own[0] : own[-1]])])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), told], names=["id", "phrases"])
 
 
 def _phrases(seen: dict[tuple[int, bytes], int], places: np.ndarray, several: np.ndarray) -> np.ndarray:
@@ -276,6 +273,15 @@ def occurrences(lists: list[list[bytes]], phrases: list[tuple[int, int, int]], s
     return [np.array(own, np.int64).reshape(-1, 2) // width for own in hits]
 
 
+def _told(confirmed: pa.ListScalar) -> tuple[np.ndarray, np.ndarray]:
+    """(passage, (first word, end word)) of a group's list of struct(passage, phrases)."""
+    if confirmed.values is None:
+        return np.zeros(0, np.int64), np.zeros((0, 2), np.int32)
+    passage, phrases = confirmed.values.field("passage"), confirmed.values.field("phrases")
+    data, starts = common.bytes_of(phrases)
+    return np.repeat(passage.to_numpy().astype(np.int64), np.diff(starts) // 8), np.frombuffer(data.tobytes(), "<i4").reshape(-1, 2)
+
+
 Finish = Callable[[list[bytes], np.ndarray], tuple]
 
 
@@ -302,9 +308,7 @@ def locate(docs: DataFrame, finish: Finish, schema: str, hot: int = anchors.HOT,
             for packed, confirmed in zip(batch.column("packed"), batch.column("phrases"), strict=True):
                 members, passages = pickle.loads(opener.decompress(packed.as_buffer()))
                 lists = [text.split() for _, _, text in members]
-                told = confirmed.as_py() or []
-                own = np.repeat([x["passage"] for x in told], [len(x["phrases"]) // 8 for x in told]).astype(np.int64)
-                pairs = np.frombuffer(b"".join([x["phrases"] for x in told]), "<i4").reshape(-1, 2)
+                own, pairs = _told(confirmed)
                 of, low = passages["doc"][own].tolist(), passages["low"][own].astype(np.int64)
                 hits = occurrences(lists, list(zip(of, (low + pairs[:, 0]).tolist(), (low + pairs[:, 1]).tolist(), strict=True)))
                 rows = []
