@@ -243,7 +243,7 @@ def _(spark, d):
     return rows.groupBy("user_id").agg(F.count_if(~F.col("hit")).alias("computed"), F.count_if("hit").alias("hits"))
 
 
-@query("t20_flushes", "SELECT event_type, count(*) AS n, sum(event_id) AS ids FROM events GROUP BY 1")
+@query("t20_flushes", "SELECT event_type, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids FROM events GROUP BY 1")
 def _(spark, d):
     # A stream of the events, flushed into a table at an interval; what came twice would count twice.
     folder, rows, schema = shared_folder(spark, "flushed"), shared_folder(spark, "events"), "event_id long, event_type string"
