@@ -151,12 +151,13 @@ def truncated(text: Column, most: int) -> Column:
     return F.struct(F.left(text, F.lit(most)).alias("text"), (F.length(text) > most).alias("truncated"), F.length(text).cast("long").alias("total"))
 
 
-def byte_size(n: Column) -> Column:
-    """Bytes as B, KB, MB, GB or TB; one decimal below ten."""
+def byte_size(n: Column, units: tuple[str, ...] = ("KB", "MB", "GB", "TB"), tenths: tuple[str, ...] = ()) -> Column:
+    """Bytes as B or in the largest of the units that they fill; one decimal below ten, and always in the units of `tenths`."""
     text = F.concat(n.cast("string"), F.lit(" B"))
-    for power, unit in enumerate(("KB", "MB", "GB", "TB"), 1):
+    for power, unit in enumerate(units, 1):
         size = n / float(1024**power)
-        shown = F.when(size < 10, F.format_string("%.1f", size)).otherwise(F.format_string("%.0f", size))
+        decimal = F.format_string("%.1f", F.floor(n / (1024**power / 10) + 0.5) / 10)
+        shown = decimal if unit in tenths else F.when(size < 10, decimal).otherwise(F.format_string("%.0f", F.floor(size + 0.5).cast("double")))
         text = F.when(n >= 1024**power, F.concat(shown, F.lit(f" {unit}"))).otherwise(text)
     return F.when(n.isNull(), "-").otherwise(text)
 
