@@ -4,6 +4,7 @@ import glob
 import os
 
 import duckdb
+import pytest
 
 from tidemark.plans import FOUND
 
@@ -30,3 +31,9 @@ def put(folder, name, sql):
 def test_sizes_of_ten_megabytes_and_more(spark, tmp_path):
     put(tmp_path, "part", f"SELECT * REPLACE (p_partkey * 997 + 100_000 AS p_partkey) FROM '{SF}/part.parquet' UNION ALL SELECT * REPLACE (p_partkey * 30_000_001 AS p_partkey) FROM '{SF}/part.parquet'")
     assert differences(spark, "f37_formats", tmp_path) == ([], [])
+
+
+@pytest.mark.parametrize("start", ["2024-01-17 11:59:58", "2024-01-17 11:58:59", "1969-12-31 23:59:59", "2310-05-05 05:05:05"])
+def test_ages_within_a_millisecond(spark, tmp_path, start):
+    put(tmp_path, "events", f"SELECT k AS event_id, TIMESTAMP '{start}' + to_microseconds(k * 499 + k % 3) AS ts, k AS user_id, 'view' AS event_type, 1.0 AS value, '' AS props FROM (SELECT unnest(range(8_000)) AS k)")
+    assert differences(spark, "f36_ages", tmp_path) == ([], [])

@@ -131,6 +131,13 @@ def _steps(seconds: Column, unit: list[str]) -> Column:
     return F.when(seconds < 60, text(seconds, 0)).when(minutes < 60, text(minutes, 1)).when(hours < 48, text(hours, 2)).otherwise(text(whole(hours / 24), 3))
 
 
+def epoch_ms(ts: Column) -> Column:
+    """Milliseconds since 1970 of a time without zone, to the nearest; halves go away from 1970."""
+    us = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), ts)
+    nearest = F.call_function("div", F.abs(us) + 500, F.lit(1000))
+    return F.when(us < 0, -nearest).otherwise(nearest)
+
+
 def age_text(milliseconds: Column) -> Column:
     """Time since, from its length; "n/a" if unknown and "just now" if in the future."""
     seconds = F.floor(milliseconds / 1000 + 0.5).cast("long")
