@@ -5,8 +5,10 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.plans import FOUND
+from tidemark.sources import layout as L
 
 SF = "/root/testdata/sf0.001"
 
@@ -37,3 +39,35 @@ def test_sizes_of_ten_megabytes_and_more(spark, tmp_path):
 def test_ages_within_a_millisecond(spark, tmp_path, start):
     put(tmp_path, "events", f"SELECT k AS event_id, TIMESTAMP '{start}' + to_microseconds(k * 499 + k % 3) AS ts, k AS user_id, 'view' AS event_type, 1.0 AS value, '' AS props FROM (SELECT unnest(range(8_000)) AS k)")
     assert differences(spark, "f36_ages", tmp_path) == ([], [])
+
+
+def test_runs_of_pages_go_on_after_a_failure(spark, tmp_path):
+    keyset, told, calls = L.Keyset(f"{tmp_path}/k", "id"), {}, []
+    L.lay_out(keyset, spark.range(1_003).select((F.col("id") * 7919 % 100_003 - 50_000).alias("id")), 7)
+    want = sorted(k * 7919 % 100_003 - 50_000 for k in range(1_003))
+
+    def work(rows):
+        calls.append(1)
+        if len(calls) == 2:
+            raise RuntimeError("lost")
+        for r in rows.groupBy("page").agg(F.sort_array(F.collect_list("id")).alias("ids")).collect():
+            assert told.setdefault(r["page"], r["ids"]) is r["ids"]
+
+    with pytest.raises(RuntimeError):
+        L.each_run(spark, keyset, 50, work, f"{tmp_path}/cursor", 8)
+    assert L.each_run(spark, keyset, 50, work, f"{tmp_path}/cursor", 8) == 2 and len(calls) == 4
+    assert [told[k] for k in range(21)] == [want[k : k + 50] for k in range(0, 1_003, 50)]
+    assert L.each_run(spark, keyset, 50, work, f"{tmp_path}/cursor", 8) == 0
+
+
+def test_pages_take_few_jobs(spark, tmp_path):
+    put(tmp_path, "orders", f"SELECT * REPLACE (o_orderkey * 1_000 + k AS o_orderkey) FROM '{SF}/orders.parquet', (SELECT unnest(range(100)) AS k)")
+    spark.sparkContext.setJobGroup("pages", "")
+    assert differences(spark, "o10_keyset_pages", tmp_path) == ([], [])
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("pages")) < 40
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_pages_of_an_empty_table(spark, tmp_path):
+    put(tmp_path, "orders", f"FROM '{SF}/orders.parquet' LIMIT 0")
+    assert differences(spark, "o10_keyset_pages", tmp_path) == ([], [])

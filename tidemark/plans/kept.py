@@ -176,19 +176,22 @@ def _(spark, d):
 
 
 _PAGE = 5_000
+#: Rows in a range of a large keyset.
+_RANGE = 1_000_000
 
 
 @query("o10_keyset_pages", f"SELECT (k - 1) // {_PAGE} AS page, min(id) AS first, max(id) AS last, count(*) AS n FROM (SELECT o_orderkey AS id, row_number() OVER (ORDER BY o_orderkey) AS k FROM orders) GROUP BY 1")
 def _(spark, d):
     keyset, told, state = L.Keyset(shared_folder(spark, "keyset"), "id"), shared_folder(spark, "pages"), shared_folder(spark, "cursor")
-    L.lay_out(keyset, posts(spark, d).select("id", "board"), 16)
-    numbers = iter(range(10**9))
+    rows, schema = posts(spark, d).select("id", "board"), "page long, first long, last long, n long"
+    L.lay_out(keyset, rows, max(16, rows.count() // _RANGE))
+    X.append(spark.createDataFrame([], schema), told)
 
-    def work(page):
-        X.append(page.agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count("*").alias("n")).withColumn("page", F.lit(next(numbers)).cast("long")), told)
+    def work(pages):
+        X.append(pages.groupBy("page").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count("*").alias("n")), told)
 
-    L.each_page(spark, keyset, _PAGE, work, state)
-    return spark.read.parquet(told).select("page", "first", "last", "n")
+    L.each_run(spark, keyset, _PAGE, work, state)
+    return spark.read.schema(schema).parquet(told)
 
 
 @query("m14_audit_log", """SELECT CASE WHEN user_id % 2 = 0 THEN 'HUMAN' ELSE 'AGENT' END AS actor_type, user_id AS actor_id, event_type AS endpoint, 'POST' AS method, CASE WHEN event_type = 'error' THEN 500 ELSE 200 END AS status,
