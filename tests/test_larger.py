@@ -7,6 +7,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.operators import community as C
 from tidemark.plans import FOUND
 from tidemark.sources import layout as L
 
@@ -71,3 +72,18 @@ def test_pages_take_few_jobs(spark, tmp_path):
 def test_pages_of_an_empty_table(spark, tmp_path):
     put(tmp_path, "orders", f"FROM '{SF}/orders.parquet' LIMIT 0")
     assert differences(spark, "o10_keyset_pages", tmp_path) == ([], [])
+
+
+def test_threads_write_open_rows_only(spark, monkeypatch):
+    written = []
+
+    def settled(df):
+        df = df.cache()
+        written.append(df.count())
+        return df
+
+    monkeypatch.setattr(C, "settled", settled)
+    rows = spark.createDataFrame([(k, None if k % 10 == 0 else k - 1) for k in range(100)] + [(200, 201), (201, 200), (202, 201)], "id long, parent long")
+    assert C.thread_paths(rows, "id", "parent").count() == 100
+    # A thread has a row of each depth from 0 to 9. The cycle and the row that hangs on it stay: a round that finishes none is the last.
+    assert written == [103, 93, 83, 63, 23, 3]

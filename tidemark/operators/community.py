@@ -155,22 +155,36 @@ def thread_paths(edges: DataFrame, id_: str, parent: str) -> DataFrame:
     """id, root, depth, path (ids from the root's child on to the row) of a reply forest: rows without a known parent are roots;
     cycles and what hangs on them vanish.
 
+    Ids must be unique; see `resolve`.
+    """
+    return resolve(edges, id_, parent)[0].select(id_, "root", "depth", "path")
+
+
+def resolve(edges: DataFrame, id_: str, parent: str, top: tuple[Column, Column] | None = None, step: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """(id, root, depth, path, asked) of the rows that a root holds, and (id, asked) of the others: cycles and what hangs on them.
+
+    top: root and path of a row without a known parent (itself, and none). step: what another row adds to its parent's path (its id).
+    asked: the parent as it was given.
+
     Pointer jumping: each round takes every open row to the ancestor of its ancestor, so a thread of depth d needs log2(d) rounds. A
-    round that finishes no row has only cycles left. Ids must be unique; each round is checkpointed.
+    round that finishes no row has only cycles left. Each round writes the open rows only; finished ones stay where they were written.
     """
     known = edges.select(F.col(id_).alias("p_id"))
     rows = edges.join(known, F.col(parent) == F.col("p_id"), "left")
-    top, path = F.col("p_id").isNull(), F.array(F.col(id_))
-    rows = settled(rows.select(id_, F.when(top, F.col(id_)).otherwise(F.col(parent)).alias("root"), F.when(top, 0).otherwise(1).cast("long").alias("depth"), F.when(top, F.slice(path, 1, 0)).otherwise(path).alias("path"), top.alias("done")))
+    first, step = F.col("p_id").isNull(), F.array(F.col(id_)) if step is None else step
+    top_root, top_path = (F.col(id_), F.slice(step, 1, 0)) if top is None else top
+    moved = settled(rows.select(id_, F.when(first, top_root).otherwise(F.col(parent)).alias("root"), F.when(first, 0).otherwise(1).cast("long").alias("depth"), F.when(first, top_path).otherwise(step).alias("path"), F.col(parent).alias("asked"), first.alias("done")))
+    done = moved.where("done").drop("done")
     while True:
-        open_ = rows.where("not done")
-        above = rows.select(F.col(id_).alias("a_id"), F.col("root").alias("a_root"), F.col("depth").alias("a_depth"), F.col("path").alias("a_path"), F.col("done").alias("a_done"))
-        joined = open_.join(above, open_["root"] == above["a_id"])
-        moved = settled(joined.select(id_, F.col("a_root").alias("root"), (F.col("depth") + F.col("a_depth")).alias("depth"), F.concat("a_path", "path").alias("path"), F.col("a_done").alias("done")))
-        rows = rows.where("done").unionByName(moved)
-        if not moved.where("done").limit(1).count():
-            return rows.where("done").select(id_, "root", "depth", "path")
-        rows = settled(rows)
+        open_ = moved.where("not done").drop("done")
+        n, finished = moved.agg(F.count("*"), F.count_if("done")).first()
+        if finished in (0, n):
+            return done, open_.select(id_, "asked")
+        above = done.withColumn("done", F.lit(True)).unionByName(open_.withColumn("done", F.lit(False)))
+        above = above.select(F.col(id_).alias("a_id"), F.col("root").alias("a_root"), F.col("depth").alias("a_depth"), F.col("path").alias("a_path"), F.col("done").alias("a_done"))
+        joined = open_.join(above, F.col("root") == F.col("a_id"))
+        moved = settled(joined.select(id_, F.col("a_root").alias("root"), (F.col("depth") + F.col("a_depth")).alias("depth"), F.concat("a_path", "path").alias("path"), "asked", F.col("a_done").alias("done")))
+        done = done.unionByName(moved.where("done").drop("done"))
 
 
 def thread_order(paths: DataFrame, id_: str) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from ..functions.scoring import reply_parent
 from ..sources import buckets as B
 from ..sources.tables import settled
-from .community import thread_paths
+from .community import resolve
 
 _NODES = "id long, frag long, path array<bigint>, bucket long"
 
@@ -46,37 +46,30 @@ def create(spark: SparkSession, forest: Forest) -> None:
 
 def add(spark: SparkSession, forest: Forest, comments: DataFrame) -> None:
     """Append a batch of comments(id, body)."""
-    batch = settled(comments.select(F.col("id").cast("long").alias("id"), reply_parent(F.col("body")).try_cast("long").alias("asked")))
-    local = settled(thread_paths(batch, "id", "asked"))
+    batch = comments.select(F.col("id").cast("long").alias("id"), reply_parent(F.col("body")).try_cast("long").alias("parent"))
+    local, lost = resolve(batch, "id", "parent")
     # Rows in cycles of the batch, and what hangs on them, are fragments of one comment each; their links show the cycle.
-    alone = batch.join(local.select("id"), "id", "left_anti").select("id", F.col("id").alias("root"), F.array().cast("array<bigint>").alias("path"))
-    rows = settled(local.select("id", "root", F.col("path").cast("array<bigint>").alias("path")).unionByName(alone))
-    roots = rows.where("id = root").select("root").join(batch.withColumnRenamed("id", "root"), "root")
+    none = F.array().cast("array<bigint>")
+    alone = lost.select("id", F.col("id").alias("root"), none.alias("path"))
+    rows = local.select("id", "root", F.col("path").cast("array<bigint>").alias("path")).unionByName(alone)
+    roots = local.where("depth = 0").unionByName(lost, allowMissingColumns=True).select(F.col("id").alias("root"), "asked")
     held = [r[0] for r in roots.where("asked is not null").select(forest.nodes.bucket(F.col("asked"))).distinct().collect()]
     parents = spark.read.schema(_NODES).parquet(forest.nodes.folder).where(F.col(B.BUCKET).isin(held)).select(F.col("id").alias("asked"), "frag", F.col("path").alias("above"))
     grafts = settled(roots.join(parents, "asked", "left"))
-    none = F.array().cast("array<bigint>")
     base = F.when(F.col("frag").isNull(), none).otherwise(F.concat("above", F.array("root")))
     placed = rows.join(grafts.select("root", F.coalesce("frag", "root").alias("frag"), base.alias("base")), "root").select("id", "frag", F.concat("base", "path").alias("path"))
     grafts.where("frag is null and asked is not null").select(F.col("root").alias("frag"), "asked").write.mode("append").parquet(forest.open)
     placed.withColumn(B.BUCKET, forest.nodes.bucket(F.col("id"))).repartition(B.BUCKET).sortWithinPartitions(B.BUCKET, "id").write.mode("append").partitionBy(B.BUCKET).parquet(forest.nodes.folder)
 
 
-def _links(spark: SparkSession, forest: Forest) -> tuple[DataFrame, DataFrame]:
-    """(frag, into, path: from the root of `into` to the fragment's first comment; frag, root and path of those that lead to a root)."""
-    nodes = spark.read.schema(_NODES).parquet(forest.nodes.folder).select(F.col("id").alias("asked"), F.col("frag").alias("into"), "path")
-    links = settled(spark.read.schema("frag long, asked long").parquet(forest.open).join(nodes, "asked").select("frag", "into", F.concat("path", F.array("frag")).alias("path")))
-    tops = links.select(F.col("into").alias("frag")).distinct().join(links.select("frag"), "frag", "left_anti").withColumn("into", F.lit(None).cast("long"))
-    chains = thread_paths(links.select("frag", "into").unionByName(tops), "frag", "into").where("depth > 0").select(F.col("frag").alias("of"), "root", F.posexplode("path").alias("pos", "frag"))
-    parts = chains.join(links.select("frag", "path"), "frag").groupBy("of", "root").agg(F.array_sort(F.collect_list(F.struct("pos", "path"))).alias("parts"))
-    return links, parts.select(F.col("of").alias("frag"), "root", F.flatten(F.transform("parts", lambda x: x["path"])).alias("base"))
-
-
 def paths(spark: SparkSession, forest: Forest) -> DataFrame:
     """id, root, depth, path of the whole forest, as `community.thread_paths` gives them."""
-    links, found = _links(spark, forest)
     nodes = spark.read.schema(_NODES).parquet(forest.nodes.folder).select("id", "frag", "path")
-    lost = links.select("frag").join(found.select("frag"), "frag", "left_anti")
+    parents = nodes.select(F.col("id").alias("asked"), F.col("frag").alias("into"), F.col("path").alias("above"))
+    links = spark.read.schema("frag long, asked long").parquet(forest.open).join(parents, "asked").select("frag", "into", F.concat("above", F.array("frag")).alias("base"))
+    # A linked fragment's base leads from the root of its chain's last fragment, which is linked to nothing, to its first comment.
+    found, lost = resolve(links, "frag", "into", (F.col("into"), F.col("base")), F.col("base"))
+    linked = found.select("frag", "root", F.col("path").alias("base")).unionByName(lost.select("frag"), allowMissingColumns=True).withColumn("linked", F.lit(True))
+    rows = nodes.join(linked, "frag", "left").where("linked is null or root is not null")
     whole = F.concat(F.coalesce("base", F.array().cast("array<bigint>")), "path")
-    rows = nodes.join(lost, "frag", "left_anti").join(found, "frag", "left").select("id", F.coalesce("root", "frag").alias("root"), whole.alias("path"))
-    return rows.select("id", "root", F.size("path").cast("long").alias("depth"), "path")
+    return rows.select("id", F.coalesce("root", "frag").alias("root"), whole.alias("path")).select("id", "root", F.size("path").cast("long").alias("depth"), "path")
