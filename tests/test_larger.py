@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import community as C
+from tidemark.operators import postings
 from tidemark.plans import FOUND
 from tidemark.sources import layout as L
 
@@ -87,3 +88,23 @@ def test_threads_write_open_rows_only(spark, monkeypatch):
     assert C.thread_paths(rows, "id", "parent").count() == 100
     # A thread has a row of each depth from 0 to 9. The cycle and the row that hangs on it stay: a round that finishes none is the last.
     assert written == [103, 93, 83, 63, 23, 3]
+
+
+def test_trigrams_have_no_row_each(spark, tmp_path, monkeypatch):
+    texts = {0: "abcabc", 1: "ABCd", -70: "xy\U0001f600z", 65: "İabc", 66: None, 67: "ab", 68: "abcd abcd"}
+    monkeypatch.setattr(postings, "HELD", 5)
+    monkeypatch.setattr(postings, "LISTED", 2)
+    index = postings.Index(f"{tmp_path}/grams", buckets=4, block=64)
+    rows = spark.createDataFrame([*texts.items(), (0, "abc!"), (None, "abc")], "id long, body string").repartition(2)
+    postings.add(index, rows, "id", postings.trigrams(F.col("body")))
+    found = {}
+    for r in spark.read.parquet(f"{index.folder}/postings").collect():
+        assert r["ids"] == sorted(set(r["ids"])) and r["n"] == len(r["ids"])
+        assert found.setdefault((r["term"], r["block"]), r["ids"]) is r["ids"]
+    lower = {id_: [t for (t,) in spark.createDataFrame([(x or "",)], "t string").select(F.lower("t")).collect()] for id_, x in texts.items()}
+    lower[0].append("abc!")
+    want = {}
+    for id_, own in lower.items():
+        for gram in {t[k : k + 3] for t in own for k in range(len(t) - 2)}:
+            want.setdefault((gram, id_ // 64), []).append(id_ % 64)
+    assert found == {k: sorted(v) for k, v in want.items()}

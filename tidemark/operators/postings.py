@@ -12,9 +12,12 @@ batch a row's older postings no longer hold. Ids are whole numbers; rows with a
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from zlib import crc32
 
+import numpy as np
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,6 +26,8 @@ from pyspark.sql import functions as F
 MOST_BLOCKS = 10_000
 #: Blocks of one partition of terms that a task writes together.
 SPREAD = 256
+#: Trigrams of texts that a task gathers into lists at once (some 100 MB), and lists that it sends at once.
+HELD, LISTED = 4_000_000, 20_000
 
 
 @dataclass(frozen=True)
@@ -37,11 +42,50 @@ def words(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"([\p{L}\p{N}_]+)")))
 
 
-def trigrams(text: Column) -> Column:
+@dataclass(frozen=True)
+class Trigrams:
+    """The terms of `trigrams(text)`, which tasks list without a row for each."""
+
+    text: Column
+
+
+def trigrams(text: Column) -> Trigrams:
     """Distinct runs of three characters of the lower-case text."""
-    chars = F.split(F.lower(F.coalesce(text, F.lit(""))), "")
-    runs = lambda c: F.transform(F.slice(c, 1, F.greatest(F.size(c) - 2, F.lit(0))), lambda x, k: F.concat(x, F.get(c, k + 1), F.get(c, k + 2)))
-    return F.array_distinct(F.transform(F.array(chars), runs)[0])
+    return Trigrams(text)
+
+
+def _trigram_lists(block: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """From batches (id, text) to rows (term, block, ids): the sorted ids, from the block's start on, of each `HELD` characters of text."""
+
+    def lists(codes: np.ndarray, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
+        order = np.lexsort((ids, codes))
+        codes, ids = codes[order], ids[order]
+        own = ids // block
+        first = np.flatnonzero(np.append(True, (codes[1:] != codes[:-1]) | (own[1:] != own[:-1])))
+        heads, edges, at = codes[first], np.append(first, len(codes)), (ids - own * block).astype(np.int32)
+        units = np.stack([heads >> 42, heads >> 21 & 0x1FFFFF, heads & 0x1FFFFF], 1).astype("<u4")
+        for low in range(0, len(first), LISTED):
+            high = min(low + LISTED, len(first))
+            terms = units[low:high].tobytes().decode("utf-32-le", "surrogatepass")
+            told = pa.ListArray.from_arrays(pa.array((edges[low : high + 1] - edges[low]).astype(np.int32)), pa.array(at[edges[low] : edges[high]]))
+            yield pa.RecordBatch.from_arrays([pa.array([terms[k : k + 3] for k in range(0, len(terms), 3)], pa.string()), pa.array(own[first[low:high]]), told], names=["term", "block", "ids"])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes, ids, held = [], [], 0
+        for batch in batches:
+            for id_, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                units = np.frombuffer(text.as_py().encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+                own = np.unique(units[:-2] << 42 | units[1:-1] << 21 | units[2:]) if len(units) > 2 else units[:0]
+                codes.append(own)
+                ids.append(np.full(len(own), id_, np.int64))
+                held += len(own)
+                if held >= HELD:
+                    yield from lists(np.concatenate(codes), np.concatenate(ids))
+                    codes, ids, held = [], [], 0
+        if held:
+            yield from lists(np.concatenate(codes), np.concatenate(ids))
+
+    return work
 
 
 def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -56,16 +100,21 @@ def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
 _POSTINGS = "term string, block long, batch long, n int, ids array<int>, bucket int"
 
 
-def add(index: Index, rows: DataFrame, id_: str, terms: Column, replaces: bool = False) -> int:
-    """Index rows under their terms (an array); gives the batch's number. replaces: earlier versions of the same ids no longer hold."""
+def add(index: Index, rows: DataFrame, id_: str, terms: Column | Trigrams, replaces: bool = False) -> int:
+    """Index rows under their terms (an array, or trigrams); gives the batch's number. replaces: earlier versions of the same ids no longer hold."""
     spark = rows.sparkSession
     batch = 1 + (_read(spark, f"{index.folder}/batches", "batch long").agg(F.max("batch")).first()[0] or 0)
     own = rows.where(F.col(id_).isNotNull())
+    block = F.floor(F.col("id") / index.block)
+    if isinstance(terms, Trigrams):
+        parts = own.select(F.col(id_).cast("long").alias("id"), F.lower(F.coalesce(terms.text, F.lit(""))).alias("text")).mapInArrow(_trigram_lists(index.block), "term string, block long, ids array<int>")
+        # A task has sent a term once for each block and some megabytes of text.
+        lists = parts.groupBy("term", "block").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))).alias("ids"))
+    else:
+        flat = own.select(F.col(id_).cast("long").alias("id"), F.explode(terms).alias("term"))
+        lists = flat.groupBy("term", block.alias("block")).agg(F.array_sort(F.collect_set((F.col("id") - block * index.block).cast("int"))).alias("ids"))
     if replaces:
         own.select(F.col(id_).cast("long").alias("id"), F.lit(batch - 1).cast("long").alias("upto")).distinct().write.mode("append").parquet(f"{index.folder}/voids")
-    flat = own.select(F.col(id_).cast("long").alias("id"), F.explode(terms).alias("term"))
-    block = F.floor(F.col("id") / index.block)
-    lists = flat.groupBy("term", block.alias("block")).agg(F.array_sort(F.collect_set((F.col("id") - block * index.block).cast("int"))).alias("ids"))
     bucket = F.pmod(F.crc32(F.col("term").cast("binary")), F.lit(index.buckets)).cast("int")
     laid = lists.select("term", "block", F.lit(batch).cast("long").alias("batch"), F.size("ids").alias("n"), "ids", bucket.alias("bucket"))
     dealt = laid.repartition("bucket", F.floor(F.col("block") / SPREAD)).sortWithinPartitions("bucket", "term", "block")
