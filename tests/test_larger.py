@@ -2,11 +2,13 @@
 
 import glob
 import os
+import random
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.llm import phrase_dedup
 from tidemark.operators import community as C
 from tidemark.operators import postings
 from tidemark.plans import FOUND
@@ -108,3 +110,17 @@ def test_trigrams_have_no_row_each(spark, tmp_path, monkeypatch):
         for gram in {t[k : k + 3] for t in own for k in range(len(t) - 2)}:
             want.setdefault((gram, id_ // 64), []).append(id_ % 64)
     assert found == {k: sorted(v) for k, v in want.items()}
+
+
+def test_phrases_that_others_cover_are_not_compiled():
+    row = [(0, k, k + 62) for k in range(0, 1_400, 14)]
+    few = phrase_dedup.needed(row, [False] * len(row))
+    assert sum(b - a for _, a, b in few) < 2 * 1_448 and {w for _, a, b in few for w in range(a, b)} == set(range(1_448))
+    assert phrase_dedup.needed(row, [True] * len(row)) == row
+    rng = random.Random(4)
+    for _ in range(300):
+        phrases = [(rng.randrange(2), a, a + rng.randrange(35, 63)) for a in (rng.randrange(200) for _ in range(rng.randrange(12)))]
+        several = [rng.random() < 0.2 for _ in phrases]
+        kept = phrase_dedup.needed(phrases, several)
+        cover = lambda x: {(d, w) for d, a, b in x for w in range(a, b)}
+        assert cover(kept) == cover(phrases) and set(kept) <= set(phrases) and {p for p, s in zip(phrases, several, strict=True) if s} <= set(kept)

@@ -7,7 +7,8 @@
    ask for a passage's phrases by its digest, in a join that Spark splits where very many groups have one passage.
 3. A group's confirmed phrases are compiled into Aho-Corasick automata with a letter per word, in shards of `SHARD` words. All
    documents of the group are streamed through them; the words removed are those that the automata find, wherever
-   and however often they occur. A group is a shard of the corpus: its automata need no phrase that its documents don't have.
+   and however often they occur. Passages overlap, so a phrase whose words others of its document cover isn't compiled, unless the group has
+   its passage at several places; each other place of it has a passage with phrases of its own. A group is a shard of the corpus: its automata need no phrase that its documents don't have.
 
 Words are runs of bytes other than \\x20 and \\x09-\\x0D, unchanged. Null text has none. Rows that share doc_id and text are one
 document, and its words don't recur by that. An empty table gives an empty result. Other columns, whatever their names, aren't read.
@@ -18,6 +19,7 @@ from __future__ import annotations
 import hashlib
 import pickle
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -236,17 +238,13 @@ def _runs(lists: list[list[bytes]], group, places, several, numbers) -> np.ndarr
 
 def lines_of(lists: list[list[bytes]], alphabet: int = LETTERS) -> tuple[list[str], int]:
     """(each list of words as a string, letters per word): one while the alphabet suffices for all different words, else two."""
-    numbers: dict[bytes, int] = {}
-    for words in lists:
-        for w in words:
-            if w not in numbers:
-                numbers[w] = len(numbers)
+    numbers = {w: k for k, w in enumerate(dict.fromkeys(chain.from_iterable(lists)))}
     letter = lambda k: chr(k + 1 if k + 1 < 0xD800 else k + 0x801)  # noqa: E731 (strings can't hold the 0x800 codes from 0xD800 on)
     if len(numbers) <= alphabet:
         width, codes = 1, {w: letter(k) for w, k in numbers.items()}
     else:
         width, codes = 2, {w: letter(k // alphabet) + letter(k % alphabet) for w, k in numbers.items()}
-    return ["".join([codes[w] for w in words]) for words in lists], width
+    return ["".join(map(codes.__getitem__, words)) for words in lists], width
 
 
 def automata(phrases: list[str], shard: int = SHARD) -> Iterator:
@@ -273,6 +271,26 @@ def occurrences(lists: list[list[bytes]], phrases: list[tuple[int, int, int]], s
     return [np.array(own, np.int64).reshape(-1, 2) // width for own in hits]
 
 
+def needed(phrases: list[tuple[int, int, int]], several: list[bool]) -> list[tuple[int, int, int]]:
+    """The phrases (document, first word, end word) without those whose words others of the document cover.
+
+    A phrase of a passage that a group has at several places stays, as it has to be found at the other ones as well.
+    """
+    kept: list[tuple[int, int, int, bool, int]] = []  # with the largest end up to there
+    out: list[tuple[int, int, int]] = []
+    own = None
+    for d, a, b, stays in sorted(((d, a, b, s) for (d, a, b), s in zip(phrases, several, strict=True)), key=lambda x: (x[0], x[1], -x[2])):
+        if d != own:
+            out += [x[:3] for x in kept]
+            kept, own = [], d
+        if kept and b <= kept[-1][4] and not stays:
+            continue
+        while len(kept) > 1 and not kept[-1][3] and a <= kept[-2][4] and b >= kept[-1][2]:
+            kept.pop()
+        kept.append((d, a, b, stays, max(b, kept[-1][4]) if kept else b))
+    return out + [x[:3] for x in kept]
+
+
 def _told(confirmed: pa.ListScalar) -> tuple[np.ndarray, np.ndarray]:
     """(passage, (first word, end word)) of a group's list of struct(passage, phrases)."""
     if confirmed.values is None:
@@ -310,7 +328,8 @@ def locate(docs: DataFrame, finish: Finish, schema: str, hot: int = anchors.HOT,
                 lists = [text.split() for _, _, text in members]
                 own, pairs = _told(confirmed)
                 of, low = passages["doc"][own].tolist(), passages["low"][own].astype(np.int64)
-                hits = occurrences(lists, list(zip(of, (low + pairs[:, 0]).tolist(), (low + pairs[:, 1]).tolist(), strict=True)))
+                phrases = list(zip(of, (low + pairs[:, 0]).tolist(), (low + pairs[:, 1]).tolist(), strict=True))
+                hits = occurrences(lists, needed(phrases, passages["several"][own].tolist()))
                 rows = []
                 for (doc_id, _, _), words, pairs in zip(members, lists, hits, strict=True):
                     rows.append((None if doc_id == anchors.NULL_ID else doc_id, *finish(words, anchors.merged(*pairs.T) if len(pairs) else pairs)))
